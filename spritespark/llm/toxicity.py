@@ -23,7 +23,7 @@ LENGTHS = (3, 4, 5)
 BUCKETS = 1 << 19
 BLOCK = 1 << 13
 #: So many n-grams of the greatest weight of evidence get a coefficient.
-KEPT = 12_000
+KEPT = 4_000
 #: At most about so many labelled rows fit the coefficients (the ratios count all of them).
 SAMPLE = 20_000
 THRESHOLD = 0.7
@@ -97,7 +97,7 @@ class NaiveBayesLinear:
         return float(self.bias + self.weight[np.unique(at[at > 0])].sum())
 
 
-def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, prior: float, decay: float = 2e-3, steps: int = 250, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, prior: float, decay: float = 3e-3, steps: int = 250, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Coefficients over x = ratio * presence, by full-batch Adam on the logistic loss."""
     ids, row = np.concatenate(rows) if rows else np.zeros(0, np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     w, bias = np.zeros(len(ratio)), prior
@@ -105,7 +105,7 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, prior: float,
     for t in range(1, steps + 1):
         z = bias + np.bincount(row, (w * ratio)[ids], minlength=len(rows))
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        d = np.r_[np.bincount(ids, g[row], minlength=len(ratio)) * ratio + decay / len(ratio) * w, g.sum()]
+        d = np.r_[np.bincount(ids, g[row], minlength=len(ratio)) * ratio + decay * w, g.sum()]
         m, v = 0.9 * m + 0.1 * d, 0.999 * v + 0.001 * d * d
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
@@ -126,7 +126,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, kept: int = KEPT, sa
     if not total.all():
         return NaiveBayesLinear(slot, np.zeros(1), prior)
     ratio = np.log((n[1] + 0.5) / (total[1] + 1)) - np.log((n[0] + 0.5) / (total[0] + 1))
-    evidence = np.abs(ratio) * np.sqrt(n.sum(0)) * (n.sum(0) > 2)
+    evidence = np.abs(ratio) * np.sqrt(n.sum(0)) * (n.sum(0) > 4)
     best = np.argsort(-evidence, kind="stable")[:kept]
     best = best[evidence[best] > 0]
     slot[best] = np.arange(1, len(best) + 1)
