@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spritespark.llm.jaccard import shingle_links
+from spritespark.llm.packing import packed_pieces
 from spritespark.llm.quality import quality_scores
+from spritespark.llm.token_output import packed_ids
 from spritespark.llm.toxicity import toxicity_scores
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": quality_scores, "op2_toxicity": toxicity_scores}
+    return {
+        "op1_quality": quality_scores,
+        "op2_toxicity": toxicity_scores,
+        "op4_token_output": packed_ids,
+        "op9_packing": packed_pieces,
+        "op10_jaccard": shingle_links,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
