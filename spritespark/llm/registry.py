@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spritespark.llm.jaccard import shingle_links
 from spritespark.llm.packing import packed_pieces
+from spritespark.llm.pii import personal_data
 from spritespark.llm.quality import quality_scores
 from spritespark.llm.simhash import fingerprints
 from spritespark.llm.token_output import packed_ids
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": quality_scores,
         "op2_toxicity": toxicity_scores,
         "op4_token_output": packed_ids,
+        "op6_pii": personal_data,
         "op8_simhash": fingerprints,
         "op9_packing": packed_pieces,
         "op10_jaccard": shingle_links,
