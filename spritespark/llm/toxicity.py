@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier over character n-grams, each scaled by its naive Bayes log-count ratio.
 
-The ratios r = log((p + a) / |p|) - log((q + a) / |q|) count, over all labelled training texts, in how many texts of
-either class an n-gram occurs; a logistic regression over x = r * presence is fitted on a bounded sample of them.
-Counting is one narrow pass with a small block-wise sum; texts are scored where they are read.
+The ratios r = log((p + a) / |p|) - log((q + a) / |q|) count in how many labelled texts of either class an n-gram
+occurs; a logistic regression over x = r * presence is then fitted. Both learn from bounded samples of the labelled
+rows, whose ids are broadcast: texts are never shuffled. Counts are summed by blocks of fixed size, and texts are
+scored where they are read.
 
 Defined cases: a null text counts as empty, an empty text scores the intercept; a null doc_id is never held out
 and never learnt from; repeated rows are scored each; with one class only, every score is the smoothed rate.
@@ -24,8 +25,8 @@ BUCKETS = 1 << 19
 BLOCK = 1 << 13
 #: So many n-grams of the greatest weight of evidence get a coefficient.
 KEPT = 4_000
-#: At most about so many labelled rows fit the coefficients (the ratios count all of them).
-SAMPLE = 20_000
+#: At most about so many labelled rows are counted for the ratios, and of these so many fit the coefficients.
+COUNTED, SAMPLE = 200_000, 20_000
 THRESHOLD = 0.7
 _PRIME = np.uint32(0x01000193)
 
@@ -112,10 +113,12 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, prior: float,
     return w, float(bias)
 
 
-def train_toxicity(documents: DataFrame, labels: DataFrame, kept: int = KEPT, sample: int = SAMPLE, label: str = "toxic") -> NaiveBayesLinear:
-    """labels: those to learn from. The ratios come from all of them, the coefficients from a bounded sample."""
+def train_toxicity(documents: DataFrame, labels: DataFrame, kept: int = KEPT, counted: int = COUNTED, sample: int = SAMPLE, label: str = "toxic") -> NaiveBayesLinear:
+    """labels: those to learn from; at most about ``counted`` give the ratios, ``sample`` of them the coefficients."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1)).dropna().dropDuplicates(["doc_id"])
-    texts = documents.select("doc_id", text_bytes().alias("text")).join(known, "doc_id")
+    known = bounded(known, counted)
+    # the samples are bounded by their parameters, and so may be broadcast
+    texts = documents.select("doc_id", text_bytes().alias("text")).join(F.broadcast(known), "doc_id")
     n, total = np.zeros((2, BUCKETS)), np.zeros(2)
     for r in class_counts(texts).collect():  # BUCKETS / BLOCK rows of fixed size
         for i in (0, 1):
@@ -136,7 +139,6 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, kept: int = KEPT, sa
             got = [np.unique(slot[ngram_buckets(t)]) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([x[x > 0].astype(np.int32).tobytes() for x in got], pa.binary())], names=["doc_id", "label", "ids"])
 
-    # the sample is bounded by its parameter, and so may be broadcast
     few = documents.select("doc_id", text_bytes().alias("text")).join(F.broadcast(bounded(known, sample)), "doc_id").select("doc_id", "label", "text")
     got = sorted(few.mapInArrow(extract, "doc_id long, label int, ids binary").collect(), key=lambda r: (r.doc_id, r.label, bytes(r.ids)))
     own = np.r_[0.0, ratio[best]]
