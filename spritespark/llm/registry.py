@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spritespark.llm.jaccard import shingle_links
+from spritespark.llm.lm_scoring import class_scores
 from spritespark.llm.packing import packed_pieces
 from spritespark.llm.pii import personal_data
 from spritespark.llm.quality import quality_scores
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": toxicity_scores,
         "op4_token_output": packed_ids,
         "op6_pii": personal_data,
+        "op7_lm_scoring": class_scores,
         "op8_simhash": fingerprints,
         "op9_packing": packed_pieces,
         "op10_jaccard": shingle_links,
