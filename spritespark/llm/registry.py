@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spritespark.llm.decontamination import contaminated_documents
 from spritespark.llm.jaccard import shingle_links
 from spritespark.llm.lm_scoring import class_scores
 from spritespark.llm.packing import packed_pieces
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": quality_scores,
         "op2_toxicity": toxicity_scores,
         "op4_token_output": packed_ids,
+        "op5_decontamination": contaminated_documents,
         "op6_pii": personal_data,
         "op7_lm_scoring": class_scores,
         "op8_simhash": fingerprints,
