@@ -6,10 +6,12 @@ when 100 * overlap >= 80 * union, so overlap >= ceil(0.8 n): only a row's first
 such an overlap, and the blocks of the other columns are never multiplied for candidates. Pairs out of size
 (5 * min < 4 * max), or whose columns left of the common one can't make up 4 (n + m) / 9, are discarded.
 
-Components need no product inside a group that is linked already: within each column, rows in order of size are first
-paired with the column's leader alone (a row per entry, never all pairs), the overlap of these pairs is accumulated
-exactly over the whole sets, and only rows of *different* components that still share a column are multiplied.
-No link between components is lost, and a group of m near copies costs about m pairs.
+Components need no product inside a group that is linked already: within each column and band of sizes, rows are first
+paired with the column's leader alone (a row per entry, never all pairs): the row whose shingles are the most common,
+which is the least edited of a group of near copies. The overlap of these pairs is accumulated exactly over the whole
+sets, and only rows of *different* components that still share a column are multiplied. There, and before any whole set
+is moved, parity bitmaps discard pairs exactly: every bit in which two rows' bitmaps differ needs another shingle that
+only one of them has, and a link allows at most (n + m) / 9 of these. No link between components is lost.
 
 Defined cases: a null or empty text has an empty set, size 0, and is its own component; a null doc_id is not linked
 and has a null component; repeated rows give equal rows; an empty table gives no rows; other columns are not read.
@@ -30,6 +32,8 @@ from spritespark.llm.components import components
 
 WORDS = 5
 SKETCH = 1 << 21
+#: Longs of a parity bitmap.
+PARITY = 16
 BLOCK = 1 << 15
 #: Candidate ids up to this many are broadcast to pick their texts (16 bytes each); more are joined by shuffle.
 FEW = 1_000_000
@@ -93,57 +97,69 @@ def column_counts(texts: DataFrame, words: int = WORDS) -> np.ndarray:
     return out
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """Of each of 64 * PARITY bits, whether an odd number of the set's hashes fall to it."""
+    odd = np.bincount(((s >> np.uint64(24)) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def incidence(texts: DataFrame, counts: np.ndarray, words: int = WORDS) -> DataFrame:
-    """(doc_id, n, sig, keys): set size, 128-bit digest of the set, and its first columns in the global order."""
+    """(doc_id, n, w, sig, keys, p0..): set size, how common its shingles are, 128-bit digest, its first columns in the
+    global order, and its parity bitmap."""
     shared = texts.sparkSession.sparkContext.broadcast(counts)
-    schema = "doc_id long, n int, sig binary, keys binary"
+    schema = "doc_id long, n int, w int, sig binary, keys binary, " + ", ".join(f"p{i} long" for i in range(PARITY))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in batches:
-            out = []
+            out, bits = [], []
             for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 s = shingle_set(t, hashes, words)
-                order = np.argsort(shared.value[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")  # ties: by hash
-                out.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), s[order[: len(s) - (4 * len(s) + 4) // 5 + 1]].tobytes()))
-            yield _batch(schema, list(zip(*out, strict=True)) or [[]] * 4)
+                c = shared.value[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
+                order = np.argsort(c, kind="stable")  # ties: by hash
+                common = int(64 * np.log2(c + 1.0).mean()) if len(s) else 0
+                out.append((doc_id, len(s), common, xxhash.xxh3_128_digest(s.tobytes()), s[order[: len(s) - (4 * len(s) + 4) // 5 + 1]].tobytes()))
+                bits.append(_parity(s))
+            yield _batch(schema, [*(list(zip(*out, strict=True)) or [[]] * 5), *np.array(bits, np.int64).reshape(-1, PARITY).T])
 
     return texts.mapInArrow(rows, schema)
 
 
 def _exploded(rows: DataFrame) -> DataFrame:
-    schema = "key long, doc long, n int, pos int"
+    schema = "key long, doc long, n int, pos int, band int, w int"
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = [np.frombuffer(k, np.int64) for k in b.column("keys").to_pylist()]
             sizes = [len(k) for k in keys]
-            yield _batch(schema, [np.concatenate([*keys, np.zeros(0, np.int64)]), np.repeat(b.column("doc_id").to_numpy(zero_copy_only=False), sizes).astype(np.int64), np.repeat(b.column("n").to_numpy(zero_copy_only=False), sizes).astype(np.int32), np.concatenate([np.arange(n, dtype=np.int32) for n in [*sizes, 0]])])
+            doc, n, w = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "n", "w"))
+            band = np.floor(np.log(np.maximum(n, 1)) / np.log(1.25) + 1e-9).astype(np.int64)
+            yield _batch(schema, [np.concatenate([*keys, np.zeros(0, np.int64)]), np.repeat(doc, sizes), np.repeat(n, sizes).astype(np.int32), np.concatenate([np.arange(k, dtype=np.int32) for k in [*sizes, 0]]), np.repeat(band, sizes).astype(np.int32), np.repeat(-w, sizes).astype(np.int32)])
 
-    return rows.select("doc_id", "n", "keys").mapInArrow(explode, schema)
+    return rows.select("doc_id", "n", "w", "keys").mapInArrow(explode, schema)
 
 
 def shared_columns(rows: DataFrame) -> DataFrame:
     """(key, doc, n, pos, leader) of columns with two rows or more.
 
     One shuffle by column; a sorted stream then holds only the current leader, so a column of any length takes
-    constant memory. A leader gives way when a row is too large to link with it.
+    constant memory. Each band of sizes has its own leader.
     """
     schema = "key long, doc long, n int, pos int, leader long"
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, before, leader, most, at = None, None, 0, 0, None  # kept: the last row, whose successor is still to come
+        kept, before, leader, at = None, None, 0, None  # kept: the last row, whose successor is still to come
 
         def several(part: np.ndarray, following: int | None) -> pa.RecordBatch:
-            nonlocal before, leader, most, at
+            nonlocal before, leader, at
             k = part[0]
             same = k[1:] == k[:-1]
             some = np.r_[before is not None and before == k[0], same] | np.r_[same, following is not None and following == k[-1]]
             out = part[:, some]
             leaders = np.empty(out.shape[1], np.int64)
-            for i, (key, doc, n) in enumerate(zip(out[0].tolist(), out[1].tolist(), out[2].tolist(), strict=True)):
-                if key != at or 5 * most < 4 * n:
-                    at, leader, most = key, doc, n
+            for i, (key, doc, band) in enumerate(zip(out[0].tolist(), out[1].tolist(), out[4].tolist(), strict=True)):
+                if (key, band) != at:
+                    at, leader = (key, band), doc
                 leaders[i] = leader
             before = int(k[-1])
             return _batch(schema, [out[0], out[1], out[2].astype(np.int32), out[3].astype(np.int32), leaders])
@@ -151,7 +167,7 @@ def shared_columns(rows: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            part = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+            part = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
             part = part if kept is None else np.concatenate([kept, part], axis=1)
             kept = part[:, -1:]
             if part.shape[1] > 1:
@@ -159,7 +175,13 @@ def shared_columns(rows: DataFrame) -> DataFrame:
         if kept is not None:
             yield several(kept, None)
 
-    return _exploded(rows).repartition("key").sortWithinPartitions("key", "n", "doc").mapInArrow(lead, schema)
+    return _exploded(rows).repartition("key").sortWithinPartitions("key", "band", "w", "doc").mapInArrow(lead, schema)
+
+
+def _within(one: str = "1", two: str = "2"):
+    """Whether sizes and parity bitmaps of two rows allow a link."""
+    differ = " + ".join(f"bit_count(p{i}{one} ^ p{i}{two})" for i in range(PARITY))
+    return F.expr(f"5 * least(n{one}, n{two}) >= 4 * greatest(n{one}, n{two}) AND 9 * ({differ}) <= n{one} + n{two}")
 
 
 def verified(texts: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -194,17 +216,20 @@ def jaccard_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
     ids = rows.select("doc_id", "n", "sig")
     standing = ids.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     distinct = rows.join(standing.select("sig", F.col("rep").alias("doc_id")), ["sig", "doc_id"], "left_semi")
+    bits = distinct.select(F.col("doc_id").alias("doc"), "n", *(f"p{i}" for i in range(PARITY)))
+    named = lambda k, a: bits.select(F.col("doc").alias(a), *(F.col(c).alias(f"{c}{k}") for c in bits.columns[1:]))
     shared = stored(shared_columns(distinct), "columns")
-    stars = stored(shared.filter("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct(), "stars")
+    stars = shared.filter("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+    stars = stored(stars.join(named("1", "a"), "a").join(named("2", "b"), "b").filter(_within()).select("a", "b"), "stars")
     links = stored(verified(texts, stars, words), "links")
     labels = components(links)
     # columns where rows of several components meet
-    known = stored(shared.join(labels.select(F.col("id").alias("doc"), "component"), "doc", "left").select("key", "doc", "n", "pos", F.coalesce("component", "doc").alias("c")), "labelled")
+    known = stored(shared.join(labels.select(F.col("id").alias("doc"), "component"), "doc", "left").select("key", "doc", "pos", F.coalesce("component", "doc").alias("c")), "labelled")
     open_keys = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    left = known.join(open_keys, "key", "left_semi")
-    x, y = left.select("key", *(F.col(c).alias(f"{c}1") for c in ("doc", "n", "pos", "c"))), left.select("key", *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos", "c")))
-    bound = F.expr("9 * (1 + least(n1 - pos1 - 1, n2 - pos2 - 1)) >= 4 * (n1 + n2)")
-    cross = x.join(y, "key").filter(F.expr("c1 < c2 AND 5 * least(n1, n2) >= 4 * greatest(n1, n2)") & bound).select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b")).distinct()
+    left = stored(known.join(open_keys, "key", "left_semi").join(bits, "doc"), "open")
+    x, y = (left.select("key", *(F.col(c).alias(f"{c}{k}") for c in left.columns if c != "key")) for k in "12")
+    bound = F.expr("c1 < c2 AND 9 * (1 + least(n1 - pos1 - 1, n2 - pos2 - 1)) >= 4 * (n1 + n2)")
+    cross = x.join(y, (x["key"] == y["key"]) & bound & _within()).select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b")).distinct()
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = stored(cross.join(tried, ["a", "b"], "left_anti"), "cross")
     labels = components(links.union(verified(texts, cross, words)))
@@ -215,6 +240,21 @@ def jaccard_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
     )
 
 
+def keep_one_of_each(documents: DataFrame, words: int = WORDS) -> DataFrame:
+    """documents without those that link to one of a smaller doc_id, and one row of each doc_id; all columns stay.
+
+    Only ids move: those to drop are broadcast up to FEW, and joined by shuffle beyond. A null doc_id stays.
+    """
+    found = stored(jaccard_components(documents.select("doc_id", "text"), words), "groups")
+    away = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    kept = documents.join(F.broadcast(away) if away.count() <= FEW else away, "doc_id", "left_anti")
+    again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if n := again.count():
+        again = F.broadcast(again) if n <= FEW else again
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*(f"`{c}`" for c in documents.columns))
+
+
 def shingle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: every document's component under the 0.8 Jaccard links of its five-word shingles."""
     return jaccard_components(table(spark, sf_dir, "documents"))

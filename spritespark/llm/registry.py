@@ -15,12 +15,15 @@ from spritespark.llm.quality import quality_scores
 from spritespark.llm.simhash import fingerprints
 from spritespark.llm.token_output import packed_ids
 from spritespark.llm.toxicity import toxicity_scores
+from spritespark.llm.url_filters import listed_captures
+from spritespark.llm.sql import ORACLES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality_scores,
         "op2_toxicity": toxicity_scores,
+        "op3_url_filters": listed_captures,
         "op4_token_output": packed_ids,
         "op5_decontamination": contaminated_documents,
         "op6_pii": personal_data,
@@ -32,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
