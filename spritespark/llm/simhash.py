@@ -112,12 +112,14 @@ def following(ids: DataFrame) -> DataFrame:
 def edited_fingerprints(documents: DataFrame) -> DataFrame:
     """Each document's and its edited text's fingerprints, and their likeness."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    chain = following(texts.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("take")))
+    live = texts.filter("doc_id IS NOT NULL")  # the same rows on both sides, so that their one shuffle serves both
+    chain = following(live.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("take")))
     chain = stored(chain, "chain")
-    given = texts.join(chain.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), "take"), "doc_id").select(F.col("to").alias("doc_id"), F.col("text").substr(F.lit(1), F.col("take")).alias("given"))
+    given = live.join(chain.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), "take"), "doc_id").select(F.col("to").alias("doc_id"), F.col("text").substr(F.lit(1), F.col("take")).alias("given"))
     given = given.groupBy("doc_id").agg(F.min("given").alias("given"))
     third = F.floor(F.length("text") / 3).cast("int")
-    whole = texts.join(chain.select("doc_id", "next_id"), "doc_id", "left").join(given, "doc_id", "left")
+    whole = live.join(chain.select("doc_id", "next_id"), "doc_id").join(given, "doc_id", "left").select("doc_id", "text", "next_id", "given")
+    whole = whole.union(texts.filter("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("long"), F.lit(None).cast("string")))
     edited = F.concat(F.col("text").substr(F.lit(1), F.length("text") - third), F.coalesce(F.col("given").substr(F.lit(1), third), F.lit("")))
     both = whole.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("text_hash"), "text", edited.alias("edited"))
     both = both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
