@@ -111,7 +111,9 @@ def following(ids: DataFrame) -> DataFrame:
 
 def edited_fingerprints(documents: DataFrame) -> DataFrame:
     """Each document's and its edited text's fingerprints, and their likeness."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # no alias around a doc_id that needs no cast: both uses of the texts then have the same plan, and share its shuffle
+    own = F.col("doc_id") if dict(documents.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    texts = documents.select(own, F.coalesce("text", F.lit("")).alias("text"))
     live = texts.filter("doc_id IS NOT NULL")  # the same rows on both sides, so that their one shuffle serves both
     chain = following(live.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("take")))
     chain = stored(chain, "chain")
