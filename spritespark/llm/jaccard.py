@@ -203,9 +203,20 @@ def verified(texts: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFram
                     out.append((x, y))
             yield _batch("a long, b long", list(zip(*out, strict=True)) or [[], []])
 
-    own = texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary").dropDuplicates(["doc_id", "s"])
-    own = stored(own, "sets")
-    return pairs.join(own.select(F.col("doc_id").alias("a"), "s"), "a").join(own.select(F.col("doc_id").alias("b"), F.col("s").alias("t")), "b").select("a", "b", "s", "t").mapInArrow(check, "a long, b long").distinct()
+    own = stored(texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary"), "sets")
+    one = lambda name: own.select(F.col("doc_id").alias("a"), F.col("s").alias(name))
+    return attached(pairs, one("s"), one("t")).mapInArrow(check, "a long, b long").distinct()
+
+
+def attached(pairs: DataFrame, of_a: DataFrame, of_b: DataFrame) -> DataFrame:
+    """pairs (a, b) with the other columns of of_a and of_b, both keyed by a column a.
+
+    While there are few pairs they are broadcast to the rows of b, and only the rows that some pair needs move.
+    """
+    of_b = of_b.withColumnRenamed("a", "b")
+    if pairs.count() <= FEW:
+        return of_b.join(F.broadcast(pairs), "b").join(of_a.join(F.broadcast(pairs.select("a").distinct()), "a", "left_semi"), "a").select("a", "b", *of_a.columns[1:], *of_b.columns[1:])
+    return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", *of_a.columns[1:], *of_b.columns[1:])
 
 
 def jaccard_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
@@ -216,11 +227,11 @@ def jaccard_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
     ids = rows.select("doc_id", "n", "sig")
     standing = ids.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     distinct = rows.join(standing.select("sig", F.col("rep").alias("doc_id")), ["sig", "doc_id"], "left_semi")
-    bits = distinct.select(F.col("doc_id").alias("doc"), "n", *(f"p{i}" for i in range(PARITY)))
-    named = lambda k, a: bits.select(F.col("doc").alias(a), *(F.col(c).alias(f"{c}{k}") for c in bits.columns[1:]))
+    bits = stored(distinct.select(F.col("doc_id").alias("doc"), "n", *(f"p{i}" for i in range(PARITY))), "bits")
+    named = lambda k: bits.select(F.col("doc").alias("a"), *(F.col(c).alias(f"{c}{k}") for c in bits.columns[1:]))
     shared = stored(shared_columns(distinct), "columns")
-    stars = shared.filter("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-    stars = stored(stars.join(named("1", "a"), "a").join(named("2", "b"), "b").filter(_within()).select("a", "b"), "stars")
+    stars = stored(shared.filter("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct(), "stars")
+    stars = stored(attached(stars, named("1"), named("2")).filter(_within()).select("a", "b"), "stars")
     links = stored(verified(texts, stars, words), "links")
     labels = components(links)
     # columns where rows of several components meet
