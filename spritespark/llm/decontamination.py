@@ -112,7 +112,7 @@ class BlockMaxIndex:
             terms = part[known]
             size = self.start[terms + 1] - self.start[terms]
             at = np.repeat(self.start[terms] - np.r_[0, size.cumsum()[:-1]] if len(size) else size, size) + np.arange(size.sum())
-            sums = np.bincount(np.repeat(known // half, size) * self.coarse_blocks + self.coarse[at], self.coarse_impact[at], n * self.coarse_blocks).reshape(n, -1)
+            sums = np.bincount(np.repeat(known // half, size) * self.coarse_blocks + self.coarse[at], self.coarse_impact[at], n * self.coarse_blocks).reshape(n, self.coarse_blocks)
             both = sums[:-1] + sums[1:] if n > 1 else sums
             if both.size:
                 out += ((first + np.flatnonzero(both.max(1) >= self.threshold - self.aside - 1e-9)) * half).tolist()
