@@ -39,6 +39,18 @@ def resize_nearest(pixels: DataFrame, width: int, height: int, new_width: int, n
     return out.drop("x", "y").withColumnsRenamed({"__x": "x", "__y": "y"})
 
 
+def resize_bilinear(pixels: DataFrame, width: int, height: int, new_width: int, new_height: int, value: str = "v", keys: tuple = KEYS) -> DataFrame:
+    """Each target pixel mixes the four sources around its centre; a source is sent to the targets that it has a part in."""
+
+    def parts(c: str, old: int, new: int) -> Column:
+        at = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(float(old - 1)), (t + 0.5) * (old / new) - 0.5))
+        reach = F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - 1) * new / old).cast("int") - 1), F.least(F.lit(new - 1), F.ceil((F.col(c) + 2) * new / old).cast("int")))
+        return F.filter(F.transform(reach, lambda t: F.struct(t.alias("t"), (1 - F.abs(at(t) - F.col(c))).alias("part"))), lambda s: s["part"] > 0)
+
+    each = pixels.select(*keys, "x", "y", value).withColumn("__h", F.explode(parts("x", width, new_width))).withColumn("__v", F.explode(parts("y", height, new_height)))
+    return each.groupBy(*keys, F.col("__h.t").alias("x"), F.col("__v.t").alias("y")).agg(F.floor(F.sum(F.col(value) * F.col("__h.part") * F.col("__v.part")) + 0.5).cast("int").alias(value))
+
+
 def crop(pixels: DataFrame, x: int | Column, y: int | Column, w: int | Column, h: int | Column) -> DataFrame:
     """The rectangle, moved to the origin."""
     x, y, w, h = (_c(v) for v in (x, y, w, h))

@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def image_hashes(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, hash, size) by content: transparent pixels are equal whatever their colour, positions count from the origin.
+def content_sums() -> Column:
+    """An image's content as text, an aggregate over its pixels: transparent ones are equal whatever their colour.
 
-    Pixels are folded into sums of position-dependent hashes, which combine before the shuffle.
+    Sums of position-dependent hashes, which combine before the shuffle.
     """
     from spritespark.functions.color import pack_rgba
 
     visible = F.when(F.col("a") > 0, pack_rgba()).otherwise(F.lit(0).cast("long"))
     one, two = F.xxhash64("x", "y", visible), F.hash("y", visible, "x").cast("long")
-    fold = lambda h, n: F.sum(F.shiftrightunsigned(h, 24).cast("decimal(20,0)")).cast("string").alias(n)
-    return pixels.groupBy(*keys).agg(fold(one, "h1"), F.sum(two).cast("string").alias("h2"), F.max("x").alias("mx"), F.max("y").alias("my"), F.count("*").alias("n")).select(*keys, F.concat_ws(":", "h1", "h2", "mx", "my", "n").alias("hash"))
+    return F.concat_ws(":", F.sum(F.shiftrightunsigned(one, 24)).cast("string"), F.sum(two).cast("string"), F.max("x"), F.max("y"), F.count("*"))
+
+
+def image_hashes(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, hash): positions count from the origin."""
+    return pixels.groupBy(*keys).agg(content_sums().alias("hash"))
 
 
 def merge_duplicates(hashes: DataFrame, order: str, within: tuple = ()) -> DataFrame:
