@@ -61,15 +61,16 @@ def frame_ranges(frames: DataFrame, key: str = "sprite_id") -> DataFrame:
 
 
 def play(tags: DataFrame) -> DataFrame:
-    """The frames that each tag shows, in order: 0 forward, 1 reverse, 2 ping-pong, 3 ping-pong from the end; rep times, at least once.
+    """The frames that each tag shows, in order: 0 forward, 1 reverse, 2 ping-pong, 3 ping-pong from the end.
 
-    A ping-pong shows its turning frames once.
+    rep times, once where it is 0; a ping-pong's passes count each, without a number it goes there and back. It shows
+    its turning frames once.
     """
     there, back = F.expr("sequence(from_frame, to_frame)"), F.expr("sequence(to_frame, from_frame, -1)")
     inner = lambda a: F.when(F.size(a) > 1, F.slice(a, 2, F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
     tail = F.when(F.col("dir") % 2 == 0, inner(back)).otherwise(inner(there))
     head = F.when(F.col("dir") % 2 == 0, there).otherwise(back)
-    n = F.greatest(F.lit(1), F.col("rep"))
+    n = F.when((F.col("rep") == 0) & (F.col("dir") >= 2), 2).otherwise(F.greatest(F.lit(1), F.col("rep")))
     once = F.when(F.col("dir") < 2, F.flatten(F.array_repeat(head, n))).otherwise(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i == 1, head).when(i % 2 == 0, tail).otherwise(F.when(F.col("dir") % 2 == 0, inner(there)).otherwise(inner(back))))))
     return tags.select("sprite_id", "tag_id", F.posexplode(once).alias("step", "frame"))
 

@@ -151,7 +151,7 @@ def reverse_frames(spark, d):
     return X.frames_tbl(spark, d).join(X.turns(spark, d), "sprite_id").select("sprite_id", (F.col("n") - 1 - F.col("frame")).alias("frame"), "duration_ms")
 
 
-@query("playback_expand", "WITH t AS (SELECT *, to_frame-from_frame+1 AS len, greatest(1, rep) AS k FROM tags_tbl), p AS (SELECT *, unnest(range(k)) AS pass FROM t), s AS (SELECT *, unnest(range(len)) AS i FROM p), f AS (SELECT sprite_id, tag_id, pass, i, CASE WHEN dir=0 OR (dir=2 AND pass%2=0) OR (dir=3 AND pass%2=1) THEN from_frame+i ELSE to_frame-i END AS frame FROM s WHERE dir<2 OR pass=0 OR i>0) SELECT sprite_id, tag_id, row_number() OVER (PARTITION BY sprite_id, tag_id ORDER BY pass, i)-1 AS step, frame FROM f")
+@query("playback_expand", "WITH t AS (SELECT *, to_frame-from_frame+1 AS len, CASE WHEN rep=0 AND dir>=2 THEN 2 ELSE greatest(1, rep) END AS k FROM tags_tbl), p AS (SELECT *, unnest(range(k)) AS pass FROM t), s AS (SELECT *, unnest(range(len)) AS i FROM p), f AS (SELECT sprite_id, tag_id, pass, i, CASE WHEN dir=0 OR (dir=2 AND pass%2=0) OR (dir=3 AND pass%2=1) THEN from_frame+i ELSE to_frame-i END AS frame FROM s WHERE dir<2 OR pass=0 OR i>0) SELECT sprite_id, tag_id, row_number() OVER (PARTITION BY sprite_id, tag_id ORDER BY pass, i)-1 AS step, frame FROM f")
 def playback_expand(spark, d):
     return S.play(X.tags_tbl(spark, d))
 
