@@ -54,9 +54,11 @@ def active_entries(captures: DataFrame, entries: DataFrame, slot: int = SLOT) ->
     """
     held = intervals(entries, slot)
     rows = captures.select("page_id", F.unix_timestamp("fetched").alias("t"), host_of(F.col("url")).alias("host")).withColumn("row", F.monotonically_increasing_id())
-    # an interval without an end reaches the last slot of any capture
-    last = rows.agg(F.max(F.floor(F.col("t") / slot)).alias("last"), F.min(F.floor(F.col("t") / slot)).alias("first"))
-    held = held.crossJoin(F.broadcast(last)).select("category", "pattern", "since", "until", F.explode(F.expr(f"CASE WHEN greatest(floor(since / {slot}), first) <= least(last, coalesce(floor((until - 1) / {slot}), last)) THEN sequence(greatest(floor(since / {slot}), first), least(last, coalesce(floor((until - 1) / {slot}), last))) ELSE array() END")).alias("slot"))  # last: one row
+    # an interval without an end reaches the last slot of any capture: two numbers
+    lo, hi = rows.agg(F.min(F.floor(F.col("t") / slot)), F.max(F.floor(F.col("t") / slot))).first()
+    lo, hi = (0, -1) if lo is None else (lo, hi)
+    since, until = f"greatest(floor(since / {slot}), {lo})", f"least({hi}, coalesce(floor((until - 1) / {slot}), {hi}))"
+    held = held.select("category", "pattern", "since", "until", F.explode(F.expr(f"CASE WHEN {since} <= {until} THEN sequence({since}, {until}) ELSE array() END")).alias("slot"))
     asked = rows.filter("host <> '' AND t IS NOT NULL").select("row", "page_id", "t", F.floor(F.col("t") / slot).alias("slot"), F.explode(domains_of(F.col("host"))).alias("pattern"))
     found = asked.join(held, ["pattern", "slot"]).filter("since <= t AND (until IS NULL OR t < until)")
     each = rows.select("page_id", "row", F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("string").alias("category")).union(found.select("page_id", "row", "pattern", "category"))
