@@ -61,7 +61,7 @@ SEPARABLE: dict[str, Callable[[Column, Column], Column]] = {
 NUMBERED = ("normal", "multiply", "screen", "overlay", "darken", "lighten", "color_dodge", "color_burn")
 
 
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value), value being computed once: without it, the nested colour formulas would repeat their inputs many times."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
@@ -93,11 +93,11 @@ def _clip(c: Column) -> Column:
         l, x = _lum(c), F.greatest(*_each(c))
         return _rgb(*(F.when(x > 1, l + (v - l) * (1 - l) / F.when(x != l, x - l)).otherwise(v) for v in _each(c)))
 
-    return _let(_let(c, low), high)
+    return let(let(c, low), high)
 
 
 def _set_lum(c: Column, to: Column) -> Column:
-    return _clip(_let(F.struct(c.alias("c"), (to - _lum(c)).alias("d")), lambda s: _rgb(*(v + s["d"] for v in _each(s["c"])))))
+    return _clip(let(F.struct(c.alias("c"), (to - _lum(c)).alias("d")), lambda s: _rgb(*(v + s["d"] for v in _each(s["c"])))))
 
 
 def _set_sat(c: Column, to: Column) -> Column:
@@ -109,12 +109,12 @@ def hsl_mode(mode: str, backdrop: list, source: list) -> list[Column]:
     """hue, saturation, color or luminosity: channels of 0 to 255."""
     both = F.struct(_rgb(*(_c(x) / F.lit(255.0) for x in backdrop)).alias("b"), _rgb(*(_c(x) / F.lit(255.0) for x in source)).alias("s"))
     made = {
-        "hue": lambda v: _let(F.struct(_set_sat(v["s"], _sat(v["b"])).alias("c"), v["b"].alias("b")), lambda w: _set_lum(w["c"], _lum(w["b"]))),
-        "saturation": lambda v: _let(F.struct(_set_sat(v["b"], _sat(v["s"])).alias("c"), v["b"].alias("b")), lambda w: _set_lum(w["c"], _lum(w["b"]))),
+        "hue": lambda v: let(F.struct(_set_sat(v["s"], _sat(v["b"])).alias("c"), v["b"].alias("b")), lambda w: _set_lum(w["c"], _lum(w["b"]))),
+        "saturation": lambda v: let(F.struct(_set_sat(v["b"], _sat(v["s"])).alias("c"), v["b"].alias("b")), lambda w: _set_lum(w["c"], _lum(w["b"]))),
         "color": lambda v: _set_lum(v["s"], _lum(v["b"])),
         "luminosity": lambda v: _set_lum(v["b"], _lum(v["s"])),
     }[mode]
-    out = _let(both, made)
+    out = let(both, made)
     return [F.floor(255 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)) + 1e-9).cast("int") for v in _each(out)]
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spritespark.functions.blend import SEPARABLE, over
-from spritespark.functions.color import _c, mul_un8
+from spritespark.functions.blend import SEPARABLE, let
+from spritespark.functions.color import _c, idiv, mul_un8
 
 KEYS = ("image_id",)
 
@@ -147,20 +147,36 @@ def flatten(cels: DataFrame, keys: tuple = ("sprite_id", "frame")) -> DataFrame:
     layers = cels.filter("a > 0").groupBy(*keys, "x", "y").agg(F.sort_array(F.collect_list(F.struct("place", "mode", "opacity", "r", "g", "b", "a"))).alias("__l"))
 
     def step(acc: Column, s: Column) -> Column:
-        b, src = [acc[c] for c in "rgba"], [s[c] for c in "rgb"]
         mixed = []
-        for x, y in zip(b, src, strict=False):
-            e = y
+        for c in "rgb":
+            e = s[c]
             for mode in ("multiply", "screen", "darken", "lighten", "difference", "addition", "subtract", "exclusion"):
-                e = F.when(s["mode"] == mode, SEPARABLE[mode](x, y)).otherwise(e)
-            mixed.append(F.when(b[3] == 0, y).otherwise(e))
-        out = over(b, [*mixed, s["a"]], s["opacity"])
-        return F.struct(*(v.cast("int").alias(c) for v, c in zip(out, "rgba", strict=True)))
+                e = F.when(s["mode"] == mode, SEPARABLE[mode](acc[c], s[c])).otherwise(e)
+            mixed.append(F.when(acc["a"] == 0, s[c]).otherwise(e).alias(c))
+        given = F.struct(acc.alias("b"), F.struct(*mixed).alias("s"), mul_un8(s["a"], s["opacity"]).alias("sa"))
+        alpha = lambda v: F.struct(v["b"].alias("b"), v["s"].alias("s"), v["sa"].alias("sa"), (v["sa"] + v["b"]["a"] - mul_un8(v["b"]["a"], v["sa"])).alias("ra"))
+
+        def put(v: Column) -> Column:
+            ba, sa = v["b"]["a"], v["sa"]
+            mix = lambda c: v["b"][c] + idiv((v["s"][c] - v["b"][c]) * sa, F.when(v["ra"] > 0, v["ra"]))
+            channels = [F.when(ba == 0, v["s"][c]).when(sa == 0, v["b"][c]).otherwise(mix(c)).cast("int").alias(c) for c in "rgb"]
+            return F.struct(*channels, F.when(ba == 0, sa).when(sa == 0, ba).otherwise(v["ra"]).cast("int").alias("a"))
+
+        return let(let(given, alpha), put)  # each part is computed once: the plain formula would repeat them many times
 
     zero = F.struct(*(F.lit(0).alias(c) for c in "rgba"))
     return layers.select(*keys, "x", "y", F.aggregate("__l", zero, step).alias("p")).select(*keys, "x", "y", "p.*").filter("a > 0")
 
 
+def compose_groups(pixels: DataFrame, groups: DataFrame, keys: tuple = ("sprite_id", "frame")) -> DataFrame:
+    """Each group's layers flattened alone, then the groups over one another with their own place, opacity and mode.
+
+    pixels as for ``flatten``, with group_id; groups: group_id, place, opacity, mode, a few rows that Spark may broadcast.
+    """
+    alone = flatten(pixels, (*keys, "group_id"))
+    return flatten(alone.join(groups.select("group_id", "place", "opacity", "mode"), "group_id"), keys)
+
+
 def onion_skin(pixels: DataFrame, before: int, opacity: int, step: int, key: str = "sprite_id") -> DataFrame:
     """Each frame over the ones before it, which fade by a step each."""
     frames = pixels.select(key, "frame").distinct()
@@ -246,6 +262,15 @@ def cell_medians(pixels: DataFrame, pitch: int, value: str = "v", keys: tuple =
     return pixels.groupBy(*keys, u, w).agg(F.floor(F.median(value)).alias(value))
 
 
+def cell_purity(pixels: DataFrame, pitches: list[int], value: str = "v", keys: tuple = KEYS) -> DataFrame:
+    """(keys, pitch, phase, purity): for each grid, the share of pixels that have their cell's most frequent value."""
+    grids = F.explode(F.array(*(F.struct(F.lit(p).alias("pitch"), F.lit(o).alias("phase")) for p in pitches for o in range(p))))
+    at = pixels.select(*keys, "x", "y", value, grids.alias("g")).select(*keys, value, "g.*", *(F.floor((F.col(c) + F.col("g.phase")) / F.col("g.pitch")).alias(f"c{c}") for c in ("x", "y")))
+    counts = at.groupBy(*keys, "pitch", "phase", "cx", "cy", value).agg(F.count("*").alias("n"))
+    cells = counts.groupBy(*keys, "pitch", "phase", "cx", "cy").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    return cells.groupBy(*keys, "pitch", "phase").agg((F.sum("most") / F.sum("n")).alias("purity"))
+
+
 def extrude(pixels: DataFrame, width: int, height: int, keys: tuple = KEYS) -> DataFrame:
     """One more pixel on every side, a copy of the edge."""
     spots = lambda c, n: F.when((F.col(c) == 0) & (F.col(c) == n - 1), F.array(F.lit(0), F.lit(1), F.lit(2))).when(F.col(c) == 0, F.array(F.lit(0), F.lit(1))).when(F.col(c) == n - 1, F.array(F.lit(n), F.lit(n + 1))).otherwise(F.array(F.col(c) + 1))

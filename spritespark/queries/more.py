@@ -94,6 +94,20 @@ def src_palette_pal_act(spark, d):
     return files.parse_hex(lines).select(F.col("file").alias("sprite_id"), "idx", "r", "g", "b")
 
 
+@query("compose_groups", "SELECT sprite_id, frame, x, y, r, g, b, CASE WHEN layer=0 THEN 128 ELSE 200 END AS a FROM anim_rgba WHERE a>0")
+def compose_groups(spark, d):
+    """System layers in one group, the others in a second; each frame has one layer, which takes its group's opacity."""
+    p = X.anim_rgba(spark, d).withColumns({"place": F.col("layer"), "opacity": F.lit(255), "mode": F.lit("normal"), "group_id": F.when(F.col("layer") == 0, 0).otherwise(1)})
+    groups = spark.createDataFrame([(0, 0, 128, "normal"), (1, 1, 200, "normal")], "group_id int, place int, opacity int, mode string")
+    return N.compose_groups(p.drop("idx", "layer"), groups)
+
+
+@query("cell_purity", "WITH g AS (SELECT p.p, o.o FROM (SELECT unnest([2,4]) AS p) p, range(4) o(o) WHERE o.o < p.p), c AS (SELECT image_id, g.p, g.o, (x+g.o)//g.p AS cx, (y+g.o)//g.p AS cy, v//32 AS v, count(*) AS n FROM emb_gray, g GROUP BY ALL), m AS (SELECT image_id, p, o, cx, cy, max(n) AS most, sum(n) AS n FROM c GROUP BY ALL) SELECT image_id, p AS pitch, o AS phase, round(sum(most)/sum(n), 6) AS purity FROM m GROUP BY image_id, p, o")
+def cell_purity(spark, d):
+    p = X.emb_gray(spark, d).select("image_id", "x", "y", F.floor(F.col("v") / 32).alias("v"))
+    return N.cell_purity(p, [2, 4]).withColumn("purity", F.round("purity", 6))
+
+
 @query("native_pixel_report")
 def native_pixel_report(spark, d):
     """Per image: the grid found along x, cells, distinct cell values, and the mean distance of pixels from their cell."""
