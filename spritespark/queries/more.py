@@ -1,8 +1,10 @@
 """Further listings, conversions and round trips over the projections."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from spritespark.functions.color import oklab
+from spritespark.functions.color import cielab, oklab
 from spritespark.operators import lookups as L
 from spritespark.operators import neighbors as N
 from spritespark.operators import points as P
@@ -124,3 +126,45 @@ def native_pixel_report(spark, d):
 @query("mask_bounds", "SELECT image_id, min(x) AS x, min(y) AS y, max(x)-min(x)+1 AS w, max(y)-min(y)+1 AS h FROM emb_gray WHERE v%3=0 GROUP BY image_id")
 def mask_bounds(spark, d):
     return P.bounds(S.mask_add(X.emb_gray(spark, d).filter("v % 3 = 0").select("image_id", "x", "y"), X.emb_gray(spark, d).filter("v % 6 = 0").select("image_id", "x", "y")), ("image_id",))
+
+
+def _eight(spark):
+    return X.pal256(spark).filter("idx % 8 = 0").select("idx", *(F.col(c).alias(f"p{c}") for c in "rgba"))
+
+
+@query("cielab", "WITH n AS (SELECT DISTINCT r, g, b FROM emb_rgba), l AS (SELECT r, g, b, CASE WHEN r/255.0::DOUBLE<=0.04045 THEN r/255.0::DOUBLE/12.92 ELSE pow((r/255.0::DOUBLE+0.055)/1.055,2.4) END AS x1, CASE WHEN g/255.0::DOUBLE<=0.04045 THEN g/255.0::DOUBLE/12.92 ELSE pow((g/255.0::DOUBLE+0.055)/1.055,2.4) END AS x2, CASE WHEN b/255.0::DOUBLE<=0.04045 THEN b/255.0::DOUBLE/12.92 ELSE pow((b/255.0::DOUBLE+0.055)/1.055,2.4) END AS x3 FROM n), z AS (SELECT r, g, b, 100*(0.4124::DOUBLE*x1+0.3576::DOUBLE*x2+0.1805::DOUBLE*x3)/95.047::DOUBLE AS x, (0.2126::DOUBLE*x1+0.7152::DOUBLE*x2+0.0722::DOUBLE*x3) AS y, 100*(0.0193::DOUBLE*x1+0.1192::DOUBLE*x2+0.9505::DOUBLE*x3)/108.883::DOUBLE AS z FROM l), f AS (SELECT r, g, b, CASE WHEN x>0.008856 THEN cbrt(x) ELSE 7.787::DOUBLE*x+16/116.0::DOUBLE END AS x, CASE WHEN y>0.008856 THEN cbrt(y) ELSE 7.787::DOUBLE*y+16/116.0::DOUBLE END AS y, CASE WHEN z>0.008856 THEN cbrt(z) ELSE 7.787::DOUBLE*z+16/116.0::DOUBLE END AS z FROM z) SELECT r, g, b, CAST(round(100*(116*y-16)) AS BIGINT) AS cl, CAST(round(100*500*(x-y)) AS BIGINT) AS ca, CAST(round(100*200*(y-z)) AS BIGINT) AS cb FROM f")
+def cielab_query(spark, d):
+    return X.emb_rgba(spark, d).select("r", "g", "b").distinct().select("r", "g", "b", *(F.round(100 * c).cast("long").alias(n) for n, c in zip(("cl", "ca", "cb"), cielab(), strict=True)))
+
+
+@query("dither_ordered_old")
+def dither_ordered_old(spark, d):
+    """Two nearest colours, the second for the mirrored error; the matrix chooses by their distances."""
+    p = X.emb_rgba(spark, d)
+    palette = _eight(spark)
+    square = sum(((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in "rgb"), F.lit(0))
+    entry = lambda k: palette.select(F.col("idx").alias(f"i{k}"), *(F.col(f"p{c}").alias(f"{c}{k}") for c in "rgb"))
+    one = L.nearest_palette(p, palette, square, ("r", "g", "b")).select("r", "g", "b", F.col("idx").alias("i1"), F.col("distance").alias("d1")).join(F.broadcast(entry(1)), "i1")
+    mirrored = one.select("*", *(F.greatest(F.lit(0), F.least(F.lit(255), 2 * F.col(c) - F.col(f"{c}1"))).alias(f"m{c}") for c in "rgb"))
+    two = L.nearest_palette(mirrored.select(*(F.col(f"m{c}").alias(c) for c in "rgb")), palette, square, ("r", "g", "b")).select(*(F.col(c).alias(f"m{c}") for c in "rgb"), F.col("idx").alias("i2"))
+    both = mirrored.join(two, ["mr", "mg", "mb"]).join(F.broadcast(entry(2)), "i2")
+    apart = sum(((F.col(f"{c}1") - F.col(f"{c}2")) * (F.col(f"{c}1") - F.col(f"{c}2")) for c in "rgb"), F.lit(0))
+    pick = F.when(N.matrix_at(N.bayer(4)) * apart < F.col("d1") * 16, F.col("i2")).otherwise(F.col("i1"))
+    return p.join(both.withColumn("apart", apart), ["r", "g", "b"]).select("image_id", "x", "y", pick.alias("idx"))
+
+
+@query("rotsprite_resize")
+def rotsprite_resize(spark, d):
+    """Doubled three times along edges, then sampled down to 12 by 12."""
+    p = X.emb_gray(spark, d).select("image_id", "x", "y", F.floor(F.col("v") / 64).alias("v"))
+    for _ in range(3):
+        p = N.scale2x(p)
+    return N.resize_nearest(p, 64, 64, 12, 12)
+
+
+@query("sink_tables", "SELECT sprite_id, layer, count(*) AS n FROM anim GROUP BY sprite_id, layer")
+def sink_tables(spark, d):
+    """Pixels written to the shared folder, partitioned by layer, and counted from there."""
+    path = f"{files.shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    files.write_tables({"pixels": X.anim(spark, d)}, path, "layer")
+    return spark.read.parquet(f"{path}/pixels").groupBy("sprite_id", "layer").agg(F.count("*").alias("n"))

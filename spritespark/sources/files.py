@@ -61,6 +61,13 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("origin", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).alias("y"), byte(F.when(F.col("nChannels") > 2, 2).otherwise(0)).alias("r"), byte(F.when(F.col("nChannels") > 2, 1).otherwise(0)).alias("g"), byte(F.lit(0)).alias("b"), F.when(F.col("nChannels") == 4, byte(F.lit(3))).otherwise(255).alias("a"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    import tempfile
+
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")).rstrip("/")
+
+
 def write_tables(tables: dict[str, DataFrame], path: str, by: str | None = None) -> None:
     """Each table as Parquet under the path, partitioned where a column is named."""
     for name, df in tables.items():
