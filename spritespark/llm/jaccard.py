@@ -33,7 +33,7 @@ from spritespark.llm.components import components
 WORDS = 5
 SKETCH = 1 << 21
 #: Longs of a parity bitmap.
-PARITY = 16
+PARITY = 8
 BLOCK = 1 << 15
 #: Candidate ids up to this many are broadcast to pick their texts (16 bytes each); more are joined by shuffle.
 FEW = 1_000_000
