@@ -81,7 +81,7 @@ class FactorisationMachine:
         return float(self.w0 + self.w[ids] @ x + 0.5 * (s @ s - (vx * vx).sum()))
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rank: int = 4, epochs: int = 6, batch: int = 128, rate: float = 0.08, decay: float = 1e-4) -> FactorisationMachine:
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rank: int = 4, epochs: int = 6, steps: int = 250, batch: int = 128, rate: float = 0.08, decay: float = 1e-4) -> FactorisationMachine:
         rng = np.random.default_rng(7)
         mean = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.5
         w, v = np.zeros(SIZE, np.float32), rng.normal(0, 0.03, (SIZE, rank)).astype(np.float32)
@@ -89,7 +89,7 @@ class FactorisationMachine:
         if len(set(y.tolist())) < 2:
             return cls(w0, w, v * 0)
         gw, gv = np.full(SIZE, 1e-2, np.float32), np.full((SIZE, rank), 1e-2, np.float32)
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-steps * batch // len(rows)))):  # few rows: as many steps at least
             order = rng.permutation(len(rows))
             for at in range(0, len(order), batch):
                 part = order[at : at + batch]
