@@ -7,16 +7,19 @@ words were split, then one small row a text is shuffled.
 
 ``within_radius`` finds all pairs: fingerprints at most r bits apart agree in one of r + 1 blocks, so each fingerprint
 is entered under every block, and a pair is kept in the first table in which it agrees. Equal fingerprints stand
-for one class there and are never multiplied.
+for one class there and are never multiplied; blocks that many share are split by further blocks. n_near counts the
+other rows, equal ones too, within RADIUS of a document's own fingerprint.
 
 Defined cases: a null text counts as empty; an empty text has fingerprint zero; a null doc_id has no next document
-(its edited text is the part it keeps, near_next is null); rows that repeat a doc_id and text give one row, and
-where an id holds several texts its neighbours see the least of them; one document alone is its own next; an empty
+(its edited text is the part it keeps, near_next is null); rows that repeat a doc_id and text give one row, n_rows
+being their number, and where an id holds several texts its neighbours see the least of them; one document alone is its own next; an empty
 table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,10 @@ from spritespark.llm.common import stored, table
 
 BITS = 128
 HEAVIEST = 24
+RADIUS = 3
+#: Blocks of more fingerprints are split, so often at most; what then still agrees has few bits left to differ in.
+HOT = 256
+LEVELS = 5
 _SPLIT = "[\\x20\\x09-\\x0D]+"
 
 
@@ -51,11 +58,11 @@ def _word(prefix: str) -> Column:
 
 
 def fingerprint(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, hi, lo): the 128 bits of each group of rows with equal keys; one text for each is meant."""
-    each = texts.select(*keys, F.explode_outer(terms(F.col(text))).alias("t")).select(*keys, F.xxhash64("t.a", "t.b").alias("h"), F.least(F.length("t.a") + F.length("t.b"), F.lit(HEAVIEST)).cast("long").alias("w"))
+    """(keys, n_rows, hi, lo): number and 128 bits of each group of rows with equal keys; one text for each is meant."""
+    each = texts.select(*keys, F.posexplode_outer(terms(F.col(text))).alias("i", "t")).select(*keys, F.expr("coalesce(i, 0) = 0").cast("long").alias("first"), F.xxhash64("t.a", "t.b").alias("h"), F.least(F.length("t.a") + F.length("t.b"), F.lit(HEAVIEST)).cast("long").alias("w"))
     each = each.withColumn("w", F.coalesce("w", F.lit(0).cast("long"))).withColumn("g", F.xxhash64("h", F.lit(1)))
     votes = [v.alias(f"p{i}") for i, v in enumerate(_votes(F.col("h"), F.col("w")))] + [v.alias(f"q{i}") for i, v in enumerate(_votes(F.col("g"), F.col("w")))]
-    return each.groupBy(*keys).agg(F.sum("w").alias("total"), *votes).select(*keys, _word("p").alias("hi"), _word("q").alias("lo"))
+    return each.groupBy(*keys).agg(F.sum("first").alias("n_rows"), F.sum("w").alias("total"), *votes).select(*keys, "n_rows", _word("p").alias("hi"), _word("q").alias("lo"))
 
 
 def _hex(hi: str, lo: str) -> Column:
@@ -67,33 +74,71 @@ def likeness(hi1: str, lo1: str, hi2: str, lo2: str) -> Column:
     return 1 - (F.bit_count(F.col(hi1).bitwiseXOR(F.col(hi2))) + F.bit_count(F.col(lo1).bitwiseXOR(F.col(lo2)))) / F.lit(float(BITS))
 
 
-def within_radius(prints: DataFrame, radius: int = 3) -> DataFrame:
+def _partition(level: int, n: int) -> list[tuple[int, int]]:
+    """Masks (hi, lo) of n blocks that share out the 128 bits: runs of bits, at further levels in another order each."""
+    order = list(range(BITS))
+    if level:
+        random.Random(level).shuffle(order)
+    masks = [sum(1 << i for i in order[t * BITS // n : (t + 1) * BITS // n]) for t in range(n)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return [(signed(m >> 64), signed(m & ((1 << 64) - 1))) for m in masks]
+
+
+def _entries(prints: DataFrame, level: int, n: int) -> DataFrame:
+    """Every row of prints (hi, lo, block, t0..) under each block of a level, inside the block it had."""
+    blocks = [F.struct(F.lit(t).alias("t"), F.xxhash64("block", F.lit(t), F.col("hi").bitwiseAND(F.lit(h)), F.col("lo").bitwiseAND(F.lit(w))).alias("b")) for t, (h, w) in enumerate(_partition(level, n))]
+    before = [f"t{i}" for i in range(level)]
+    return prints.select("hi", "lo", *before, F.explode(F.array(*blocks)).alias("e")).select("hi", "lo", *before, F.col("e.t").alias(f"t{level}"), F.col("e.b").alias("block"))
+
+
+def _shared(entries: DataFrame) -> DataFrame:
+    """The entries whose block holds others, too, with their number n."""
+    keys = [c for c in entries.columns if c not in ("hi", "lo")]
+    return stored(entries.join(entries.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1"), keys), "blocks")
+
+
+def within_radius(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """(hi1, lo1, hi2, lo2, distance): all pairs of different fingerprints (hi, lo) at most ``radius`` bits apart.
 
-    radius + 1 tables; table t is sorted by a block of 128 / (radius + 1) bits, the join being the search in it.
+    radius + 1 tables, one for each block of bits, the join being the search in it. Blocks of more than ``hot``
+    fingerprints are split by the blocks of another order of the bits, and so on: a pair within the radius agrees in
+    one block of any order, so that none is lost. It is kept in the first block of each order in which it agrees.
     """
     if not 0 < radius < 16:
         raise ValueError("radius: 1 to 15")
-    n, size = radius + 1, 128 // (radius + 1)
-    distinct = prints.select("hi", "lo").dropna().distinct()
-
-    def block(t: int, hi: str, lo: str) -> Column:
-        at, take = t * size, size if t < n - 1 else 128 - t * size
-        out = F.lit(0).cast("long")
-        for word, first in ((lo, 0), (hi, 64)):
-            a, b = max(at, first), min(at + take, first + 64)
-            if a < b:
-                part = F.shiftrightunsigned(F.col(word), a - first)
-                out = F.xxhash64(out, part.bitwiseAND(F.lit((1 << (b - a)) - 1)) if b - a < 64 else part)
-        return out
-
-    entries = distinct.select("hi", "lo", F.posexplode(F.array(*(block(t, "hi", "lo") for t in range(n)))).alias("t", "block"))
-    x, y = entries.select("t", "block", F.col("hi").alias("hi1"), F.col("lo").alias("lo1")), entries.select("t", "block", F.col("hi").alias("hi2"), F.col("lo").alias("lo2"))
-    distance = F.bit_count(F.col("hi1").bitwiseXOR(F.col("hi2"))) + F.bit_count(F.col("lo1").bitwiseXOR(F.col("lo2")))
-    earlier = F.lit(False)
-    for t in range(n - 1):
-        earlier = earlier | ((F.col("t") > t) & (block(t, "hi1", "lo1") == block(t, "hi2", "lo2")))
-    return x.join(y, ["t", "block"]).filter((F.struct("hi1", "lo1") < F.struct("hi2", "lo2")) & (distance <= radius) & ~earlier).select("hi1", "lo1", "hi2", "lo2", distance.alias("distance"))
+    n = radius + 1
+    x1, x2 = F.col("hi1").bitwiseXOR(F.col("hi2")), F.col("lo1").bitwiseXOR(F.col("lo2"))
+    distance = F.bit_count(x1) + F.bit_count(x2)
+
+    def first(level: int) -> Column:
+        return F.coalesce(*(F.when((x1.bitwiseAND(F.lit(h)) == 0) & (x2.bitwiseAND(F.lit(w)) == 0), F.lit(t)) for t, (h, w) in enumerate(_partition(level, n))))
+
+    rest, found = prints.select("hi", "lo").dropna().distinct().withColumn("block", F.lit(0).cast("long")), None
+    for level in range(LEVELS):
+        met = _shared(_entries(rest, level, n))
+        last = level == LEVELS - 1 or not met.filter(F.col("n") > hot).take(1)
+        cool = met if last else met.filter(F.col("n") <= hot)
+        keys = ["block", *(f"t{i}" for i in range(level + 1))]
+        x, y = (cool.select(*keys, F.col("hi").alias(f"hi{i}"), F.col("lo").alias(f"lo{i}")) for i in (1, 2))
+        once = F.lit(True)
+        for i in range(level + 1):
+            once = once & (F.col(f"t{i}") == first(i))
+        pairs = x.join(y, keys).filter((F.struct("hi1", "lo1") < F.struct("hi2", "lo2")) & (distance <= radius) & once).select("hi1", "lo1", "hi2", "lo2", distance.alias("distance"))
+        found = pairs if found is None else found.union(pairs)
+        if last:
+            return found
+        rest = met.filter(F.col("n") > hot).drop("n")
+    return found
+
+
+def near_counts(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """(hi, lo, n_near): how many other rows have a fingerprint at most ``radius`` bits from a row's; prints: hi, lo, n_rows."""
+    classes = stored(prints.groupBy("hi", "lo").agg(F.sum("n_rows").alias("n")), "classes")
+    pairs = stored(within_radius(classes, radius, hot), "pairs")
+    both = pairs.select(F.col("hi1").alias("at_hi"), F.col("lo1").alias("at_lo"), F.col("hi2").alias("hi"), F.col("lo2").alias("lo"))
+    both = both.union(pairs.select("hi2", "lo2", "hi1", "lo1"))
+    more = both.join(classes, ["hi", "lo"]).groupBy(F.col("at_hi").alias("hi"), F.col("at_lo").alias("lo")).agg(F.sum("n").alias("more"))
+    return classes.join(more, ["hi", "lo"], "left").select("hi", "lo", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"))
 
 
 def following(ids: DataFrame) -> DataFrame:
@@ -110,7 +155,7 @@ def following(ids: DataFrame) -> DataFrame:
 
 
 def edited_fingerprints(documents: DataFrame) -> DataFrame:
-    """Each document's and its edited text's fingerprints, and their likeness."""
+    """Each document's and its edited text's fingerprints, their likeness, and how many rows' fingerprints are near."""
     # no alias around a doc_id that needs no cast: both uses of the texts then have the same plan, and share its shuffle
     own = F.col("doc_id") if dict(documents.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
     texts = documents.select(own, F.coalesce("text", F.lit("")).alias("text"))
@@ -129,13 +174,14 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     each = both.select(*keys, F.posexplode(F.array("text", "edited")).alias("which", "part"))
     prints = fingerprint(each, [*keys, "which"], "part")
     pick = lambda c, k: F.max(F.when(F.col("which") == k, F.col(c)))
-    rows = stored(prints.groupBy(*keys).agg(pick("hi", 0).alias("hi"), pick("lo", 0).alias("lo"), pick("hi", 1).alias("ehi"), pick("lo", 1).alias("elo")), "prints")
+    rows = stored(prints.groupBy(*keys).agg(F.max("n_rows").alias("n_rows"), pick("hi", 0).alias("hi"), pick("lo", 0).alias("lo"), pick("hi", 1).alias("ehi"), pick("lo", 1).alias("elo")), "prints")
     next_print = rows.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("next_id")).agg(F.min(F.struct("hi", "lo")).alias("n")).select("next_id", F.col("n.hi").alias("nhi"), F.col("n.lo").alias("nlo"))
+    rows = rows.join(near_counts(rows.select("hi", "lo", "n_rows")), ["hi", "lo"], "left")
     return rows.join(next_print, "next_id", "left").select(
-        "doc_id", "n_chars", "edited_sha256", _hex("hi", "lo").alias("fingerprint"), _hex("ehi", "elo").alias("edited_fingerprint"), likeness("hi", "lo", "ehi", "elo").alias("near_edited"), likeness("hi", "lo", "nhi", "nlo").alias("near_next")
+        "doc_id", "n_chars", "edited_sha256", _hex("hi", "lo").alias("fingerprint"), _hex("ehi", "elo").alias("edited_fingerprint"), likeness("hi", "lo", "ehi", "elo").alias("near_edited"), likeness("hi", "lo", "nhi", "nlo").alias("near_next"), "n_rows", "n_near"
     )
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8: fingerprints of every document and of its edited text."""
+    """op8: fingerprints of every document and of its edited text, and the number of near ones."""
     return edited_fingerprints(table(spark, sf_dir, "documents"))

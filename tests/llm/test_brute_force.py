@@ -122,6 +122,31 @@ def test_fingerprints_within_radius(spark):
     assert got == want
 
 
+def test_near_documents_are_counted(spark, tmp_path):
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, base[i % 4] + " a" * (i // 4 % 3)) for i in range(24)] + [(0, base[0]), (None, base[1]), (None, base[1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["op8_simhash"](spark, str(tmp_path)).collect()
+    assert sum(r.n_rows for r in got) == len(rows)
+    for r in got:
+        near = sum(s.n_rows for s in got if (int(r.fingerprint, 16) ^ int(s.fingerprint, 16)).bit_count() <= 3)
+        assert r.n_near == near - 1, r
+    assert any(r.n_near == 0 for r in got) and max(len({s.fingerprint for s in got if (int(r.fingerprint, 16) ^ int(s.fingerprint, 16)).bit_count() <= 3}) for r in got) > 1
+
+
+@pytest.mark.parametrize("radius", [2, 3])
+def test_hot_blocks_are_split_without_a_loss(spark, radius):
+    rng = random.Random(9)
+    one = rng.getrandbits(128)
+    prints = sorted({one ^ (rng.getrandbits(40) << 50 if k % 2 else 0) ^ (1 << rng.randrange(128)) ^ (1 << rng.randrange(128)) for k in range(400)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(signed(p >> 64), signed(p & ((1 << 64) - 1))) for p in prints]
+    got = [frozenset(((r.hi1, r.lo1), (r.hi2, r.lo2))) for r in within_radius(spark.createDataFrame(rows, "hi long, lo long"), radius, hot=20).collect()]
+    want = {frozenset((rows[a], rows[b])) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= radius}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_block_max_wand_finds_all_above_the_threshold():
     rng = random.Random(1)
     vocabulary = [f"w{k}" for k in range(60)]
