@@ -6,9 +6,11 @@ spans (a card inside a longer run of digits, a phone before an ip, an address sp
 boosted trees score each from its format and context; a threshold for each kind, calibrated on held-out proposals for
 precision, selects those that are added where no base span lies. Base spans always stay.
 
-The trees learn from proposals of a bounded sample of texts: those equal to a base span are positive, those that fail
-their check are negative, the rest are left out. They are then written as SQL CASE expressions, so that all texts are
-scored in the row that holds them: built-in functions only, and no shuffle.
+The trees learn from proposals of a bounded sample of texts: those equal to a base span, or that overlap none and pass
+the check of their normalised form, are positive, those that fail it are negative, parts of base spans are left out.
+The check reads [at] as @ and [dot] as a dot, and takes phones without a plus sign by their digits and context. The
+trees are then written as SQL CASE expressions, so that all texts are scored in the row that holds them: built-in
+functions only, and no shuffle. Thresholds are calibrated on the proposals of all texts that were not learnt from.
 
 The patterns are rewritten so that Java's matcher neither recurses nor backtracks over long runs: possessive loops, and
 starts that are tied to the start of a run (or to the end of the last match). They match the same spans.
@@ -38,18 +40,20 @@ BASE = {
 #: Generators: kind, pattern.
 PROPOSED = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)++"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:(?:\.|\x20\.\x20?|\x20?\[dot\]\x20?|\x20?\(dot\)\x20?)[A-Za-z0-9-]++)++"),
     ("ip", r"(?<![0-9])[0-9]{1,3}+\.[0-9]{1,3}+\.[0-9]{1,3}+\.[0-9]{1,3}(?![0-9])"),
     ("card", r"(?<![0-9])[0-9]{13,19}+(?![0-9])"),
     ("card", r"(?<![0-9])[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}(?![0-9])"),
     ("phone", r"\+[0-9]{1,3}[\x20.-]?+\(?[0-9]{3}\)?[\x20.-]?+[0-9]{3}[\x20.-]?+[0-9]{4}(?![0-9])"),
     ("phone", r"(?<![0-9.-])\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}(?![0-9])"),
+    ("phone", r"(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"),
 )
 #: What a text must hold for any proposal.
 _ANY = r"[0-9][0-9.\x20()-]{5,}[0-9]|@|[\[(]at[\])]"
 #: About so many texts give proposals to learn from.
 SAMPLE = 60_000
 PRECISION = 0.95
-#: At most so many learnt proposals; fewer than LEAST of either class, and none is added.
+#: With fewer than LEAST learnt proposals of either class there are no trees, and the check of the normalised form selects.
 LEAST = 20
 
 
@@ -89,6 +93,25 @@ def _valid(kind: str, m: str) -> str:
     }[kind]
 
 
+def _email(m: str) -> str:
+    """A loosely spelt address in its plain form."""
+    return f"regexp_replace(regexp_replace(regexp_replace({m}, {_q(r'[(\[]at[)\]]')}, '@'), {_q(r'[(\[]dot[)\]]')}, '.'), ' ', '')"
+
+
+_SENTENCE = r"[^\x20]\.\x20"  # a dot that ends a sentence rather than stands between spaces
+
+
+def _valid_loose(kind: str, x: str) -> str:
+    """The check of a proposal's normalised form and context."""
+    m, d = f"{x}.m", _DIGITS.format(m=f"{x}.m")
+    if kind == "email":
+        return f"({_valid(kind, _email(m))} AND {_email(m)} RLIKE {_q('[.][A-Za-z]{2,24}$')} AND NOT {m} RLIKE {_q(_SENTENCE)})"
+    if kind == "phone":
+        named = f"{x}.before RLIKE {_q('(?i)(phone|tel|call|fax|mobile|cell|contact|reach|text)')}"
+        return f"({_valid(kind, m)} OR (NOT startswith({m}, '+') AND char_length({d}) = 10 AND ({d} RLIKE {_q('^[2-9][0-9]{2}[2-9]')} OR {named}) AND NOT {x}.after RLIKE {_q('^[.-]?[0-9]')} AND NOT {x}.before RLIKE {_q('[A-Za-z0-9]$')}))"
+    return _valid(kind, m)
+
+
 def with_base(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents with __base: array of (k, s, e), by kind, then start. k: place in KINDS."""
     out = documents.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
@@ -115,17 +138,18 @@ def with_proposals(based: DataFrame) -> DataFrame:
 
 
 def _valid_any(x: str) -> str:
-    return "CASE " + " ".join(f"WHEN {x}.k = {k} THEN {_valid(kind, x + '.m')}" for k, kind in enumerate(KINDS)) + " END"
+    return "CASE " + " ".join(f"WHEN {x}.k = {k} THEN {_valid_loose(kind, x)}" for k, kind in enumerate(KINDS)) + " END"
 
 
 def _features(x: str) -> str:
-    """SQL: the array of doubles of a proposal's format and context."""
+    """SQL: the array of doubles of a proposal's format and context; last, which the trees do not see, its check."""
     m, d = f"{x}.m", _DIGITS.format(m=f"{x}.m")
     side = lambda c: f"CASE WHEN {c} = '' THEN 0 WHEN {c} RLIKE '[0-9]' THEN 3 WHEN {c} RLIKE '[A-Za-z_]' THEN 2 WHEN {c} RLIKE '[ \\\\n\\\\t]' THEN 1 ELSE 4 END"
     each = (
         f"{x}.k", f"char_length({m})", f"char_length({d})", f"char_length({m}) - char_length({d})", f"int(startswith({m}, '+'))", side(f"right({x}.before, 1)"), side(f"left({x}.after, 1)"),
         f"CASE WHEN {x}.k = 2 THEN int({_luhn(m)}) ELSE -1 END", f"CASE WHEN {x}.k = 1 THEN {_octets(m)} ELSE -1 END", f"size(array_distinct(split({d}, '')))", f"int({m} RLIKE '[(]')",
         f"int({x}.before RLIKE '(?i)(card|visa|phone|tel|call|mail|contact|addr|host|server)')", f"CASE WHEN {d} = '' THEN -1 ELSE int(left({d}, 1)) END", f"int({m} RLIKE '[\\\\[(](at|dot)[\\\\])]')", f"int({x}.before RLIKE '[0-9][ .-]$')", f"int({x}.after RLIKE '^[ .-][0-9]')",
+        f"int({m} RLIKE {_q(_SENTENCE)})", f"int({m} RLIKE {_q('[.)\\] ][A-Za-z]{2,24}$')})", f"CASE WHEN char_length({d}) < 4 THEN -1 ELSE int(substr({d}, 4, 1)) END", f"int({x}.before RLIKE {_q('(?i)(phone|tel|call|fax|mobile|cell|contact|reach|text)')})", f"int({x}.after RLIKE {_q('^[.-]?[0-9]')})", f"int({_valid_any(x)})",
     )
     return "array(" + ", ".join(f"cast({e} AS double)" for e in each) + ")"
 
@@ -146,22 +170,23 @@ class Selector:
 
 
 def train_selector(documents: DataFrame, sample: int = SAMPLE, trees: int = 12, depth: int = 3) -> Selector:
-    """Fits the trees and calibrates the thresholds on proposals from about ``sample`` texts, chosen by a hash of the text."""
+    """Fits the trees on proposals from about ``sample`` texts, chosen by a hash of the text, and calibrates the thresholds on all others."""
     n = documents.count()
     share = min(1.0, sample / max(1, n))
-    few = documents.select("text").filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)) + (share == 1.0))
-    each = with_proposals(with_base(few)).select(F.xxhash64("__text").alias("h"), F.explode("__proposed").alias("x"))
-    labelled = each.withColumn("valid", F.expr(_valid_any("x"))).filter("x.base OR NOT valid").select("h", F.col("x.k").alias("k"), F.expr("int(x.base)").cast("double").alias("label"), F.expr(_features("x")).alias("f"))
+    # explode_outer: explode would add a filter that finds all proposals twice more
+    each = with_proposals(with_base(documents.select("text"))).select(F.xxhash64("__text").alias("h"), F.pmod(F.xxhash64("__text", F.lit(3)), F.lit(1 << 30)).alias("u"), F.explode_outer("__proposed").alias("x")).filter("x IS NOT NULL")
+    labelled = each.withColumn("valid", F.expr(_valid_any("x"))).withColumn("good", F.expr("x.base OR (x.clear AND valid)")).filter("good OR NOT valid")
+    labelled = labelled.select("h", "u", F.col("x.k").alias("k"), F.col("good").cast("double").alias("label"), F.expr(_features("x")).alias("f"))
     rows = stored(labelled.dropDuplicates(["h", "k", "f"]), "proposals")
-    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    learn = (F.col("u") < int(share * (1 << 30)) + (share == 1.0)) & (F.pmod(F.col("h"), F.lit(4)) != 0)
+    counts = {r.label: r["count"] for r in rows.filter(learn).groupBy("label").count().collect()}
     if min(counts.get(0.0, 0), counts.get(1.0, 0)) < LEAST:
-        return Selector(None, {})
-    held = F.pmod(F.col("h"), F.lit(4)) == 0
-    model = GBTClassifier(featuresCol="v", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=5, cacheNodeIds=False).fit(rows.filter(~held).select("label", array_to_vector("f").alias("v")))
+        return Selector("element_at(f, -1)", dict.fromkeys(range(len(KINDS)), 0.5))
+    model = GBTClassifier(featuresCol="v", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=5, cacheNodeIds=False).fit(rows.filter(learn).select("label", array_to_vector(F.expr("slice(f, 1, size(f) - 1)")).alias("v")))
     java = model._java_obj
     margin = " + ".join(f"{float(w)!r}D * ({_tree(t.rootNode())})" for t, w in zip(java.trees(), java.treeWeights(), strict=True))
     score = f"1 / (1 + exp(-2 * ({margin})))"
-    bins = rows.filter(held).withColumn("s", F.floor(F.expr(score) * 100)).groupBy("k", "s").agg(F.sum("label").alias("good"), F.count("*").alias("all")).collect()  # 101 rows a kind
+    bins = rows.filter(~learn).withColumn("s", F.floor(F.expr(score) * 100)).groupBy("k", "s").agg(F.sum("label").alias("good"), F.count("*").alias("all")).collect()  # 101 rows a kind
     thresholds = {}
     for k in range(len(KINDS)):
         good = total = 0

@@ -13,7 +13,7 @@ import pytest
 from spritespark.llm import registry
 from spritespark.llm.decontamination import BlockMaxIndex
 from spritespark.llm.packing import Packer, best_fill
-from spritespark.llm.pii import Selector, _written, with_spans
+from spritespark.llm.pii import Selector, _written, redact, train_selector, with_spans
 from spritespark.llm.simhash import within_radius
 from spritespark.llm.token_output import best_fit_decreasing
 from spritespark.llm.tokens import SPECIAL, encode
@@ -100,6 +100,26 @@ def test_personal_data(spark, small, documents):
         assert r.n_phone == sum(x.startswith("phone") for x in base)
 
 
+def test_obfuscated_addresses_and_phones_without_a_plus_are_redacted(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    number = lambda n: "".join(rng.choice("23456789") for _ in range(n))
+    loose = [lambda: f"{word()} [at] {word()} [dot] com", lambda: f"{word()}(at){word()}(dot)org", lambda: f"{word()} @ {word()} . net", lambda: f"({number(3)}) {number(3)}-{number(4)}", lambda: f"{number(3)}-{number(3)}-{number(4)}"]
+    base = [lambda: f"{word()}@{word()}.com", lambda: f"+1 ({number(3)}) {number(3)}-{number(4)}"]
+    wrong = [lambda: f"{number(1)} @ {number(1)}.{number(2)}", lambda: f"{word()} @ {word()}. Then", lambda: f"(1{number(2)}) 0{number(2)}-{number(4)}", lambda: f"00{number(1)}-1{number(2)}-{number(4)}", lambda: f"{number(3)}.{number(3)}.{number(3)}.{number(3)}"]
+    rows = [(i, kind, f"we saw {made} there {word()}", made) for i in range(200) for kind, makers in (("loose", loose), ("base", base), ("wrong", wrong)) for made in [m() for m in makers]]
+    docs = spark.createDataFrame(rows, "doc_id long, kind string, text string, made string")
+    selector = train_selector(docs)
+    left = collections.Counter((r.kind, r.made in r.text) for r in redact(docs, selector).collect())
+    assert left["loose", True] <= 0.03 * left["loose", False] and not left["base", True] and left["wrong", False] <= 0.03 * left["wrong", True], (left, selector.thresholds)
+
+
+def test_loose_spans_are_redacted_where_too_few_are_wrong_to_learn_from(spark):
+    docs = spark.createDataFrame([(i, f"ask ann{i} [at] mail [dot] com or ({200 + i}) 345-6789 not 3 @ 4.99") for i in range(60)], "doc_id long, text string").limit(15)
+    for r in redact(docs, train_selector(docs)).collect():
+        assert r.text == "ask [EMAIL] or [PHONE] not 3 @ 4.99"
+
+
 def test_fingerprints(spark, small, documents):
     got = {r.doc_id: r for r in registry.queries()["op8_simhash"](spark, small).collect()}
     ids = sorted(documents, reverse=True)
