@@ -6,17 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def layer_paths(layers: DataFrame, levels: int = 8) -> DataFrame:
+#: A level is stored after so many joins, which keeps the plans of deep trees short.
+STORED_EVERY = 8
+
+
+def layer_paths(layers: DataFrame) -> DataFrame:
     """(layer_id, level, name, path, shown): one join a level up to the deepest; shown where all parents are visible.
 
     layers: layer_id, parent_id, level, name, visible.
     """
     out = layers.filter("parent_id IS NULL").select("layer_id", "level", "name", F.col("name").alias("path"), F.col("visible").alias("shown"))
     level = out
-    depth = layers.agg(F.max("level")).first()[0] or 0
-    for _ in range(min(levels, depth)):
+    lowest, deepest = layers.agg(F.min("level"), F.max("level")).first()
+    for step in range(1, (deepest or 0) - (lowest or 0) + 1):
         up = level.select(F.col("layer_id").alias("parent_id"), F.col("path").alias("__p"), F.col("shown").alias("__s"))
         level = layers.join(up, "parent_id").select("layer_id", "level", "name", F.concat_ws("/", "__p", "name").alias("path"), (F.col("visible") & F.col("__s")).alias("shown"))
+        if step % STORED_EVERY == 0:
+            level = level.localCheckpoint() if not level.sparkSession.sparkContext.getCheckpointDir() else level.checkpoint()
         out = out.union(level)
     return out
 

@@ -71,6 +71,12 @@ def test_glob_layers(spark):
     assert pick("a/*") == ["a/a", "a/b"] and pick("*/a") == ["a/a", "b/a"] and pick("b/*") == ["b/a", "b/b/c"] and pick("a") == ["a"]
 
 
+def test_paths_of_deep_layers(spark):
+    layers = spark.createDataFrame([(i, i - 1 if i else None, i, f"l{i}", i != 15) for i in range(20)], "layer_id int, parent_id int, level int, name string, visible boolean")
+    got = {r.layer_id: (r.path, r.shown) for r in S.layer_paths(layers).collect()}
+    assert got == {i: ("/".join(f"l{k}" for k in range(i + 1)), i < 15) for i in range(20)}
+
+
 def test_histogram_stream(spark, small, tmp_path):
     from spritespark.sources.fixtures import anim_rgba
     from spritespark.streaming.histograms import histogram_stream
