@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; a temporary one only on a local master where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -32,7 +34,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``stored`` gave and that no plan reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A group is hot with more than this share of all rows; so there are at most HOT_PARTS hot groups.
+HOT_PARTS = 1000
+
+
+def joined(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows inner-joined with groups, which has one row for each value of keys, its number of rows in the column ``size``.
+
+    Groups of more than a HOT_PARTS-th of all rows, of which there can be HOT_PARTS at most, are broadcast, so that no
+    task gets a hot group; all others meet by shuffle. Both tables are read twice: they should be stored ones.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.filter(F.col(size) > total / HOT_PARTS)
+    cool = groups.filter(F.col(size) <= total / HOT_PARTS)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cool, keys))
 
 
 def remainder(doc_id, modulus: int):
@@ -45,6 +73,14 @@ def text_bytes(text: str = "text"):
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded(labels: DataFrame, most: int) -> DataFrame:
     """At most about ``most`` rows of (doc_id, label), chosen by a hash of doc_id: every size takes the same rule.
 
