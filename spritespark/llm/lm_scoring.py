@@ -1,14 +1,20 @@
 """LM scoring: a Brown class-based bigram model, P(w | before) = P(class(w) | class(before)) * P(w | class(w)).
 
-The FREQUENT most frequent words are dealt to CLASSES classes by exchange clustering: each word in turn moves to the
-class that raises the likelihood of the class bigrams most. All other words fall into classes by their ending and
-punctuation, and the end of a text is a class by itself, which also stands before the first word. Transitions are
-smoothed with the class frequencies, emissions of the open classes by adding one to each of their words and to
-one unknown word, so that the model is a distribution over the same words as the plain add-one unigram (base_score).
+Every word of the training texts has a class by exchange, the move that raises the likelihood of the class bigrams most:
 
-All counts are of all training texts. Words are known by a 64-bit hash. The most frequent HEAD words' counts (a size
-bounded by a parameter) are broadcast; the other words of a text meet their counts in a join by word, no word of
-which can hold more than a HEAD-th of the tokens.
+1. The SEEDS most frequent words move in turn, one at a time, until no move gains (bigrams of these words, the driver).
+2. The HEAD most frequent words move at once, each against the seeds' classes: as their counts are small, the gain of a
+   move is linear in a word's counts of neighbours by class, so that Spark sums it by word.
+3. All rarer words move at once in the same way, against the classes of their neighbours among the head.
+
+Class bigrams are then counted over all training texts and all words, smoothed with the class frequencies; within a
+class each word has its count plus one. One unknown word belongs to the class that most words of a single occurrence
+have, so that the model is a distribution over the same words as the plain add-one unigram (base_score). The end of a
+text is a class by itself, which also stands before the first word.
+
+All counts are of all training texts. Words are known by a 64-bit hash. The most frequent HEAD words (a size bounded by
+a parameter) are broadcast; the others of a text meet their classes and counts in a join by word, no word of which can
+hold more than a HEAD-th of the tokens, and then each other in a shuffle by text.
 
 Defined cases: a null text counts as empty; an empty text is its end token alone; a null doc_id is not held out and
 not learnt from; repeated rows are scored each; without training texts N and V are 0; other columns are not read.
@@ -27,13 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spritespark.llm.common import remainder, stored, table, text_bytes
+from spritespark.llm.common import discard, remainder, stored, table, text_bytes
 from spritespark.llm.jaccard import _batch
 
-FREQUENT = 1000
+SEEDS = 1000
 CLASSES = 60
-ENDINGS = 32
-OPEN = ENDINGS * 3
 HEAD = 200_000
 _KEPT = 300_000
 
@@ -43,13 +47,6 @@ def _hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def open_class(word: bytes) -> int:
-    """0 to OPEN - 1: the last two bytes before trailing punctuation, and its kind."""
-    bare = word.rstrip(b".,;:!?'\")")
-    kind = 0 if len(bare) == len(word) else 1 if word[-1:] in b".!?" else 2
-    return kind * ENDINGS + (bare[-1] * 31 + bare[-2 if len(bare) > 1 else -1] if bare else 0) % ENDINGS
-
-
 class _Words(dict):
     """Word to a place in arrays of its properties; places above ``first`` are forgotten as a whole when many."""
 
@@ -97,15 +94,14 @@ class _Words(dict):
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(key, open, n): hash, open class and count of every word."""
-    schema = "key long, open int, n long"
+    """(key, n): hash and count of every word."""
+    schema = "key long, n long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            words = list(sums)
-            return _batch(schema, [[_hash(w) for w in words], [open_class(w) for w in words], list(sums.values())])
+            return _batch(schema, [[_hash(w) for w in sums], list(sums.values())])
 
         for b in batches:
             for t in b.column("text").to_pylist():
@@ -115,45 +111,57 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     sums.clear()
         yield out()
 
-    return texts.mapInArrow(count, schema).groupBy("key").agg(F.min("open").alias("open"), F.sum("n").alias("n"))
+    return texts.mapInArrow(count, schema).groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _top(counts: DataFrame, most: int) -> np.ndarray:
-    """(key, open, n) of at most ``most`` words, the most frequent, in order of key; ties at the edge all stay out."""
+    """(key, n) of at most ``most`` words, the most frequent, in order of key; ties at the edge all stay out."""
     by_n = sorted(((r.n, r.words) for r in counts.groupBy("n").agg(F.count("*").alias("words")).filter("words <= %d" % most).orderBy(F.desc("n")).limit(most).collect()), reverse=True)
     edge, total = None, 0
     for n, words in by_n:
         if total + words > most:
             break
         edge, total = n, total + words
-    rows = counts.filter(F.col("n") >= edge).select("key", "open", "n").toPandas() if edge is not None else None
-    if rows is None:
-        return np.zeros((0, 3), np.int64)
-    out = rows.to_numpy(np.int64)
+    if edge is None:
+        return np.zeros((0, 2), np.int64)
+    out = counts.filter(F.col("n") >= edge).select("key", "n").toPandas().to_numpy(np.int64)
     return out[np.argsort(out[:, 0])]
 
 
-def symbol_bigrams(texts: DataFrame, frequent: np.ndarray) -> np.ndarray:
-    """Counts of neighbours among the frequent words (in order of key), the open classes and, last, the end."""
-    size = len(frequent) + OPEN + 1
-    schema = "row int, counts binary"
-    first = len(frequent)
+def _sequences(batch: pa.RecordBatch, words: _Words, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols and keys of a batch's texts, end tokens before, between and after them."""
+    got = [words.places(t.lower().split()) for t in batch.column("text").to_pylist()]
+    symbols = [words.properties["symbol"][x] for x in got]
+    keys = [words.properties["key"][x] for x in got]
+    one, no = [np.array([end])], [np.zeros(1, np.int64)]
+    return np.concatenate([*one, *chain.from_iterable((x, *one) for x in symbols)]).astype(np.int64), np.concatenate([*no, *chain.from_iterable((x, *no) for x in keys)])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def symbol_bigrams(texts: DataFrame, seeds: np.ndarray) -> np.ndarray:
+    """Counts of neighbours among the seeds (in order of key), all other words as one, and, last, the end."""
+    size, schema = len(seeds) + 2, "row int, counts binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sums = _Words(frequent, {"symbol": np.arange(first)}, lambda w, h: {"symbol": first + open_class(w)}), np.zeros(size * size, np.int64)
-        for b in batches:
-            got = [words.properties["symbol"][words.places(t.lower().split())] for t in b.column("text").to_pylist()]
-            s = np.concatenate([[size - 1], *chain.from_iterable((x, [size - 1]) for x in got)]).astype(np.int64)
+        words = _Words(seeds, {"symbol": np.arange(len(seeds)), "key": seeds}, lambda w, h: {"symbol": len(seeds)})
+        sums = np.zeros(size * size, np.int64)
+        for b in _pieces(batches):
+            s, _ = _sequences(b, words, size - 1)
             sums += np.bincount(s[:-1] * size + s[1:], minlength=size * size)
         sums = sums.reshape(size, size)
         rows = np.flatnonzero(sums.any(1)).tolist()
-        yield _batch(schema, [rows, [sums[i].astype("<i4").tobytes() for i in rows]])
+        yield _batch(schema, [rows, [sums[i].astype("<i8").tobytes() for i in rows]])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(size, np.int64)
         for b in batches:
             for x in b.column("counts").to_pylist():
-                sums += np.frombuffer(x, "<i4")
+                sums += np.frombuffer(x, "<i8")
         yield _batch(schema, [[key[0].as_py()], [sums.astype("<i8").tobytes()]])
 
     out = np.zeros((size, size), np.int64)
@@ -188,7 +196,8 @@ def exchange(bigrams: np.ndarray, words: int, classes: int, rounds: int = 4) ->
             gain = (f(cols + a[:, None]) - f(cols)).sum(0) + (f(rows + b) - f(rows)).sum(1)
             d = c[everyone, everyone]
             gain += f(d + a[:classes] + b[:classes] + s) - f(d + a[:classes]) - f(d + b[:classes]) + f(d)
-            ins, outs, i, o = cols.sum(0), rows.sum(1), a.sum() + s, b.sum() + s
+            # the word's neighbours are in all sums, wherever it goes
+            ins, outs, i, o = cols.sum(0) + b[:classes], rows.sum(1) + a[:classes], a.sum() + s, b.sum() + s
             gain -= f(ins + i) - f(ins) + f(outs + o) - f(outs)
             best = int(gain.argmax())
             if gain[best] <= gain[k] + 1e-9:
@@ -203,74 +212,221 @@ def exchange(bigrams: np.ndarray, words: int, classes: int, rounds: int = 4) ->
     return own
 
 
-def score_texts(documents: DataFrame, training: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES, head: int = HEAD, smoothing: float = 20.0) -> DataFrame:
+def gains(c: np.ndarray, classes: int) -> np.ndarray:
+    """By neighbour's class (before a word, then after it) and new class: what each such neighbour adds to the gain of
+    moving a word of few tokens there. c: class bigrams, whose first ``classes`` are those a word can have."""
+    c = c + 0.1
+    return np.concatenate([np.log(c[:, :classes]) - np.log(c.sum(0)[:classes]), (np.log(c[:classes]) - np.log(c.sum(1)[:classes, None])).T])
+
+
+def best_moves(contexts: DataFrame, table: np.ndarray) -> DataFrame:
+    """contexts (key, at, n): neighbours by row of the table of gains -> (key, class): the class of the greatest gain."""
+    shared = contexts.sparkSession.sparkContext.broadcast(table)  # classes squared
+    schema = "key long, class int"
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, rest = None, np.zeros(table.shape[1])  # the last key, whose neighbours may go on
+        for b in batches:
+            for first in range(0, b.num_rows, 1 << 16):
+                part = b.slice(first, 1 << 16)
+                key, at, n = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "at", "n"))
+                starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                sums = np.add.reduceat(shared.value[at] * n[:, None], starts)
+                own = key[starts]
+                if kept is not None and own[0] == kept:
+                    sums[0] += rest
+                elif kept is not None:
+                    yield _batch(schema, [[kept], [int(rest.argmax())]])
+                kept, rest = int(own[-1]), sums[-1]
+                yield _batch(schema, [own[:-1], sums[:-1].argmax(1).astype(np.int32)])
+        if kept is not None:
+            yield _batch(schema, [[kept], [int(rest.argmax())]])
+
+    return contexts.select("key", "at", "n").repartition("key").sortWithinPartitions("key").mapInArrow(move, schema)
+
+
+def head_classes(texts: DataFrame, head: np.ndarray, seeds: np.ndarray, own: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
+    """The class of every head word (in order of key): the seeds' own, the others' by their neighbours among the seeds."""
+    at = np.searchsorted(head, seeds)
+    classes = int(own[-1]) - 1  # then all other words, then the end
+    out = np.zeros(len(head), np.int64)
+    out[at] = own[: len(seeds)]
+    if len(seeds) == len(head):
+        return out
+    size = classes + 2
+    c = np.zeros((size, size))
+    np.add.at(c, (own[:, None], own[None, :]), bigrams)
+    symbols = np.full(len(head), classes)
+    symbols[at] = own[: len(seeds)]
+    moving = np.ones(len(head), bool)
+    moving[at] = False
+    schema = "key long, at int, n long"
+    shared = texts.sparkSession.sparkContext.broadcast((head, symbols, moving))  # HEAD words
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, kinds, free = shared.value
+        words = _Words(keys, {"symbol": kinds, "key": np.where(free, np.arange(len(keys)), -1)}, lambda w, h: {"symbol": classes, "key": -1})
+        codes, held = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            code, n = np.unique(np.concatenate(codes), return_counts=True)
+            for i in range(0, len(code), 1 << 16):
+                part = code[i : i + (1 << 16)]
+                yield _batch(schema, [part // (2 * size), (part % (2 * size)).astype(np.int32), n[i : i + (1 << 16)]])
+
+        for b in _pieces(batches):
+            s, k = _sequences(b, words, classes + 1)
+            k[0] = -1
+            k[s == classes + 1] = -1
+            i = np.flatnonzero(k >= 0)
+            codes += [k[i] * (2 * size) + s[i - 1], k[i] * (2 * size) + size + s[i + 1]]
+            held += 2 * len(i)
+            if held > 4_000_000:
+                yield from out()
+                codes, held = [], 0
+        if held:
+            yield from out()
+
+    contexts = texts.mapInArrow(count, schema)
+    for r in best_moves(contexts, gains(c, classes)).collect():  # at most HEAD rows
+        out[r.key] = r["class"]
+    return out
+
+
+def neighbours(texts: DataFrame, head: np.ndarray, kinds: np.ndarray, classes: int) -> DataFrame:
+    """(key, before, after, next, n): for every token of a word that is not in the head, the classes of its neighbours, -1
+    for one of these words, whose hash is ``next`` where it follows. And (null, class, class, null, n): bigrams of the others."""
+    schema = "key long, before int, after int, next long, n long"
+    shared = texts.sparkSession.sparkContext.broadcast((head, kinds))  # HEAD words
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, own = shared.value
+        words = _Words(keys, {"symbol": own, "key": keys}, lambda w, h: {"symbol": -1, "key": h})
+        size = classes + 1
+        sums = np.zeros(size * size, np.int64)
+        for b in _pieces(batches):
+            s, k = _sequences(b, words, classes)
+            both = (s[:-1] >= 0) & (s[1:] >= 0)
+            sums += np.bincount(s[:-1][both] * size + s[1:][both], minlength=size * size)
+            i = np.flatnonzero(s < 0)
+            after = s[i + 1]
+            yield _batch(schema, [k[i], s[i - 1].astype(np.int32), after.astype(np.int32), pa.array(k[i + 1], mask=after >= 0), np.ones(len(i), np.int64)])
+        some = np.flatnonzero(sums)
+        yield _batch(schema, [[None] * len(some), (some // size).astype(np.int32), (some % size).astype(np.int32), [None] * len(some), sums[some]])
+
+    return texts.mapInArrow(find, schema)
+
+
+class ClassModel:
+    """head, kinds, counts: the head words' hashes (sorted), classes and counts; rare: table (key, n, class) of all other
+    words; tokens and words by class; step: log10 transitions, the end being the last class; unknown: the class of the unknown word."""
+
+    def __init__(self, head: np.ndarray, kinds: np.ndarray, counts: np.ndarray, rare: DataFrame, tokens: np.ndarray, words: np.ndarray, unknown: int, bigrams: np.ndarray, smoothing: float):
+        self.head, self.kinds, self.counts, self.rare, self.unknown = head, kinds, counts, rare, unknown
+        room = tokens + words + (np.arange(len(tokens)) == unknown)
+        self.share = np.log10(np.maximum(room, 1))
+        prior = np.where(np.r_[room > 0, True], bigrams.sum(0) + 1.0, 0.0)
+        prior /= prior.sum()
+        with np.errstate(divide="ignore"):
+            self.step = np.log10((bigrams + smoothing * prior) / (bigrams.sum(1, keepdims=True) + smoothing))
+
+
+def train_classes(training: DataFrame, counts: DataFrame, seeds: int = SEEDS, classes: int = CLASSES, head: int = HEAD, smoothing: float = 20.0) -> ClassModel:
+    """training: text (binary); counts: its word_counts, stored."""
+    first, top = _top(counts, min(seeds, head))[:, 0], _top(counts, head)
+    keys = top[:, 0]
+    bigrams = symbol_bigrams(training, first)
+    own = exchange(bigrams, len(first), classes)
+    k = int(own[-1]) - 1
+    kinds = head_classes(training, keys, first, own, bigrams)
+    found = stored(neighbours(training, keys, kinds, k), "neighbours")
+    c = np.zeros((k + 1, k + 1))
+    for r in found.filter("key IS NULL").groupBy("before", "after").agg(F.sum("n").alias("n")).collect():  # classes squared
+        c[r.before, r.after] += r.n
+    of_rare = found.filter("key IS NOT NULL")
+    contexts = of_rare.select("key", F.explode(F.array("before", F.expr(f"CASE WHEN after >= 0 THEN after + {k + 1} ELSE -1 END"), F.lit(-2))).alias("at"), F.lit(1).alias("n")).filter("at <> -1")
+    # a word without a neighbour in the head has no gain anywhere: a row of zeros keeps it
+    moves = best_moves(contexts.withColumn("at", F.when(F.col("at") == -2, 2 * (k + 1)).otherwise(F.col("at")).cast("int")), np.concatenate([gains(c, k), np.zeros((1, k))]))
+    rare = stored(moves.join(counts, "key").select("key", "n", "class"), "classes")
+    named = of_rare.join(rare.select("key", "class"), "key")
+    step = named.select(F.explode(F.array(F.struct(F.col("before").alias("i"), F.col("class").alias("j")), F.struct(F.col("class").alias("i"), F.col("after").alias("j")))).alias("x")).filter("x.i >= 0 AND x.j >= 0").groupBy("x.i", "x.j").count()
+    pairs = of_rare.filter("next IS NOT NULL").select("key", "next").join(rare.select("key", F.col("class").alias("i")), "key").join(rare.select(F.col("key").alias("next"), F.col("class").alias("j")), "next").groupBy("i", "j").count()
+    for r in step.union(pairs).collect():  # classes squared, twice
+        c[r[0], r[1]] += r[2]
+    discard(found)
+    tokens, words = np.bincount(kinds, top[:, 1], k).astype(float), np.bincount(kinds, minlength=k).astype(float)
+    single = np.zeros(k)
+    for r in rare.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.expr("int(n = 1)")).alias("once")).collect():  # a row a class
+        tokens[r["class"]], words[r["class"]], single[r["class"]] = tokens[r["class"]] + r.n, words[r["class"]] + r.v, r.once
+    return ClassModel(keys, kinds, top[:, 1], rare, tokens, words, int(single.argmax()), c, smoothing)
+
+
+def score_texts(documents: DataFrame, training: DataFrame, seeds: int = SEEDS, classes: int = CLASSES, head: int = HEAD, smoothing: float = 20.0) -> DataFrame:
     """documents: doc_id, text (binary), held_out; training: text (binary). See class_scores for the result."""
     counts = stored(word_counts(training), "words")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = training.count()
     tokens, distinct = totals.n + ends, totals.v + (ends > 0)
-    many = _top(counts, frequent)
-    top = _top(counts, head)
-    bigrams = symbol_bigrams(training, many[:, 0])
-    own = exchange(bigrams, len(many), classes)
-    size = own.max() + 1
-    c = np.zeros((size, size))
-    np.add.at(c, (own[:, None], own[None, :]), bigrams)
-    prior = (c.sum(0) + 1) / (c.sum() + size)
-    step = np.log10((c + smoothing * prior) / (c.sum(1, keepdims=True) + smoothing))
-    # open classes: all their words' counts, without the frequent ones
-    tokens_of, words_of = np.zeros(OPEN), np.zeros(OPEN)
-    for r in counts.groupBy("open").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # a row a class
-        tokens_of[r.open], words_of[r.open] = r.n, r.v
-    tokens_of -= np.bincount(many[:, 1], many[:, 2], OPEN)
-    words_of -= np.bincount(many[:, 1], minlength=OPEN)
-    share_of = np.log10(tokens_of + words_of + 1)
-    # head words: class, log10(n + 1) for the base, and emission
-    at = np.searchsorted(many[:, 0], top[:, 0])
-    is_many = np.isin(top[:, 0], many[:, 0])
-    first_open = len(many)
-    kind = np.where(is_many, own[np.minimum(at, len(own) - 1)], own[first_open + top[:, 1]] if len(top) else 0)
-    class_tokens = np.bincount(own[: len(many)], many[:, 2], size) if len(many) else np.ones(size)
-    emission = np.where(is_many, np.log10(np.maximum(top[:, 2], 1)) - np.log10(np.maximum(class_tokens[kind], 1)), np.log10(top[:, 2] + 1) - share_of[top[:, 1]] if len(top) else 0)
-    end_class = int(own[-1])
-    shared = documents.sparkSession.sparkContext.broadcast((top[:, 0], kind.astype(np.int64), np.log10(top[:, 2] + 1.0), emission, step, own[first_open:], share_of))  # head words and classes squared
+    model = train_classes(training, counts, seeds, classes, head, smoothing)
+    k = len(model.share)
+    emission = np.log10(model.counts + 1.0) - model.share[model.kinds]
+    shared = documents.sparkSession.sparkContext.broadcast((model.head, model.kinds, np.log10(model.counts + 1.0), emission, model.step))  # head words and classes squared
     log_end, floor = float(np.log10(ends + 1)), float(np.log10(tokens + distinct + 1))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, model double, keys binary, times binary"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, model double, keys binary, places binary, before binary, after binary"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, kinds, logs, emissions, steps, open_own, share = shared.value
-
-        def other(word: bytes, h: int) -> dict:
-            o = open_class(word)
-            return {"kind": open_own[o], "log": 0.0, "emission": -share[o], "key": h}
-
-        words = _Words(keys, {"kind": kinds, "log": logs, "emission": emissions, "key": keys}, other)
+        keys, kinds, logs, emissions, steps = shared.value
+        words = _Words(keys, {"kind": kinds, "log": logs, "emission": emissions, "key": keys}, lambda w, h: {"kind": -1, "log": 0.0, "emission": 0.0, "key": h})
         row = TaskContext.get().partitionId() << 36
-        for b in batches:
+        for b in _pieces(batches):
             out = []
             for doc_id, t, held in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("held_out").to_pylist(), strict=True):
                 at = words.places(t.lower().split())
                 p = words.properties
-                k = np.r_[end_class, p["kind"][at], end_class]
-                rare, times = np.unique(p["key"][at[at >= words.first]], return_counts=True)
-                known = int((at < words.first).sum()) + (ends > 0)
-                out.append((row, doc_id, held, len(at) + 1, known, float(p["log"][at].sum()) + log_end, float(steps[k[:-1], k[1:]].sum() + p["emission"][at].sum()), rare.tobytes(), times.astype("<i4").tobytes()))
+                s = np.r_[k, p["kind"][at], k]
+                both = (s[:-1] >= 0) & (s[1:] >= 0)
+                i = np.flatnonzero(s < 0)
+                out.append((row, doc_id, held, len(at) + 1, len(at) - len(i) + (ends > 0), float(p["log"][at].sum()) + log_end, float(steps[s[:-1][both], s[1:][both]].sum() + p["emission"][at].sum()), p["key"][at[i - 1]].tobytes(), i.astype("<i4").tobytes(), s[i - 1].astype("i1").tobytes(), s[i + 1].astype("i1").tobytes()))
                 row += 1
-            kinds_of = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), y) for x, y in zip(list(zip(*out, strict=True)) or [[]] * 9, kinds_of, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+            kinds_of = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), y) for x, y in zip(list(zip(*out, strict=True)) or [[]] * 11, kinds_of, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [np.frombuffer(x, np.int64) for x in b.column("keys").to_pylist()]
-            times = [np.frombuffer(x, "<i4") for x in b.column("times").to_pylist()]
-            yield _batch("row long, key long, times int", [np.repeat(b.column("row").to_numpy(), [len(x) for x in keys]), np.concatenate([*keys, np.zeros(0, np.int64)]), np.concatenate([*times, np.zeros(0, np.int32)])])
+            parts = [[np.frombuffer(x, kind) for x in b.column(c).to_pylist()] for c, kind in (("keys", np.int64), ("places", "<i4"), ("before", "i1"), ("after", "i1"))]
+            rows = np.repeat(b.column("row").to_numpy(), [len(x) for x in parts[0]])
+            keys, places, before, after = (np.concatenate([*x, np.zeros(0, x[0].dtype if x else "i1")]) for x in parts)
+            yield _batch("row long, key long, place int, before int, after int", [rows, keys, places.astype(np.int32), before.astype(np.int32), after.astype(np.int32)])
+
+    given = documents.sparkSession.sparkContext.broadcast((model.step, model.share))  # classes squared
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, share = given.value
+        step = np.c_[np.r_[step, np.zeros((1, k + 1))], np.zeros(k + 2)]  # -1: the neighbour is counted by its own row
+        last = None  # row and class of an entry whose follower is still to come
+        for b in batches:
+            if not b.num_rows:
+                continue
+            row, place, before, after, kind, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("row", "place", "before", "after", "class", "n"))
+            score = np.log10(n + 1.0) - share[kind] + step[before, kind] + step[kind, after]
+            if last is not None and last[0] == row[0] and before[0] < 0:
+                score[0] += step[last[1], kind[0]]
+            follows = (row[1:] == row[:-1]) & (before[1:] < 0)
+            score[1:] += np.where(follows, step[kind[:-1], kind[1:]], 0.0)
+            last = (row[-1], kind[-1])
+            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            sums = (np.add.reduceat(x, starts) for x in (np.log10(n + 1.0), score))
+            yield pa.RecordBatch.from_arrays([pa.array(row[starts]), *(pa.array(x) for x in sums), pa.array(np.add.reduceat((n > 0).astype(np.int64), starts))], names=["row", "logs", "model", "found"])
 
     scored = stored(documents.select("doc_id", "text", "held_out").mapInArrow(score, schema), "scored")
-    rare = scored.select("row", "keys", "times").mapInArrow(explode, "row long, key long, times int").join(counts.select("key", "n"), "key")
-    rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("found"))
-    return scored.drop("keys", "times").join(rare, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(floor)).alias("base_score"), (F.col("model") + F.coalesce("more", F.lit(0.0))).alias("score"),
+    rare = scored.select("row", "keys", "places", "before", "after").mapInArrow(explode, "row long, key long, place int, before int, after int").join(model.rare, "key", "left")
+    rare = rare.select("row", "place", "before", "after", F.coalesce("class", F.lit(model.unknown)).alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
+    rare = rare.repartition("row").sortWithinPartitions("row", "place").mapInArrow(add, "row long, logs double, model double, found long")
+    rare = rare.groupBy("row").agg(*(F.sum(c).alias(f"more_{c}") for c in ("logs", "model", "found")))
+    more = lambda c: F.col(c) + F.coalesce(f"more_{c}", F.lit(0.0))
+    return scored.select("row", "doc_id", "held_out", "n_tokens", "known", "logs", "model").join(rare, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_found", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        (more("logs") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), more("model").alias("score"),
     )
 
 
