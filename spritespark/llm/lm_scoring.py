@@ -39,6 +39,8 @@ from spritespark.llm.jaccard import _batch
 SEEDS = 1000
 CLASSES = 60
 HEAD = 200_000
+#: Stand for rarer words and for the end among the places of head words.
+RARE, END = -1, -2
 _KEPT = 300_000
 
 
@@ -51,7 +53,7 @@ class _Words(dict):
     """Word to a place in arrays of its properties; places above ``first`` are forgotten as a whole when many."""
 
     def __init__(self, keys: np.ndarray, properties: dict[str, np.ndarray], other):
-        """keys: sorted hashes of the words that places 0.. stand for; other(word): a new word's properties."""
+        """keys: hashes of the words that places 0.. stand for; other(word): a new word's properties."""
         self.known, self.first, self.other = dict(zip(keys.tolist(), range(len(keys)), strict=True)), len(keys), other
         self.properties = {k: np.concatenate([v, np.zeros(_KEPT, v.dtype)]) for k, v in properties.items()}
         self.next = self.first
@@ -115,7 +117,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def _top(counts: DataFrame, most: int) -> np.ndarray:
-    """(key, n) of at most ``most`` words, the most frequent, in order of key; ties at the edge all stay out."""
+    """(key, n) of at most ``most`` words, the most frequent first, then by key; ties at the edge all stay out."""
     by_n = sorted(((r.n, r.words) for r in counts.groupBy("n").agg(F.count("*").alias("words")).filter("words <= %d" % most).orderBy(F.desc("n")).limit(most).collect()), reverse=True)
     edge, total = None, 0
     for n, words in by_n:
@@ -125,33 +127,64 @@ def _top(counts: DataFrame, most: int) -> np.ndarray:
     if edge is None:
         return np.zeros((0, 2), np.int64)
     out = counts.filter(F.col("n") >= edge).select("key", "n").toPandas().to_numpy(np.int64)
-    return out[np.argsort(out[:, 0])]
+    return out[np.lexsort((out[:, 0], -out[:, 1]))]
 
 
-def _sequences(batch: pa.RecordBatch, words: _Words, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols and keys of a batch's texts, end tokens before, between and after them."""
-    got = [words.places(t.lower().split()) for t in batch.column("text").to_pylist()]
-    symbols = [words.properties["symbol"][x] for x in got]
-    keys = [words.properties["key"][x] for x in got]
-    one, no = [np.array([end])], [np.zeros(1, np.int64)]
-    return np.concatenate([*one, *chain.from_iterable((x, *one) for x in symbols)]).astype(np.int64), np.concatenate([*no, *chain.from_iterable((x, *no) for x in keys)])
+def encoded(documents: DataFrame, head: np.ndarray) -> DataFrame:
+    """(row, doc_id, held_out, learn, ids, keys): every text as places of head words (4 bytes each), RARE for others, whose
+    hashes follow in keys. Stored, so that texts are split once more only, and rows keep their number."""
+    schema = "row long, doc_id long, held_out boolean, learn boolean, ids binary, keys binary"
+    shared = documents.sparkSession.sparkContext.broadcast(head)  # HEAD words
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(shared.value)
+        words = _Words(shared.value, {"key": shared.value}, lambda w, h: {"key": h})
+        row = TaskContext.get().partitionId() << 36
+        for b in batches:
+            ids, keys = [], []
+            for t in b.column("text").to_pylist():
+                at = words.places(t.lower().split())
+                rare = at >= size
+                keys.append(words.properties["key"][at[rare]].tobytes())
+                at[rare] = RARE
+                ids.append(at.astype("<i4").tobytes())
+            rows = np.arange(row, row + b.num_rows)
+            row += b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), *(b.column(c) for c in ("doc_id", "held_out", "learn")), pa.array(ids, pa.binary()), pa.array(keys, pa.binary())], names=[c.split()[0] for c in schema.split(", ")])
+
+    return stored(documents.select("doc_id", "held_out", "learn", "text").mapInArrow(encode, schema), "encoded", "zstd")
 
-def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
 
 
-def symbol_bigrams(texts: DataFrame, seeds: np.ndarray) -> np.ndarray:
-    """Counts of neighbours among the seeds (in order of key), all other words as one, and, last, the end."""
-    size, schema = len(seeds) + 2, "row int, counts binary"
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    """The places of a batch's texts, END before, between and after them."""
+    end = np.array([END], "<i4").tobytes()
+    return np.frombuffer(end + b"".join(chain.from_iterable((x, end) for x in batch.column("ids").to_pylist())), "<i4")
+
+
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("keys").to_pylist()), "<i8")
+
+
+def _lookup(values: np.ndarray, rare, end) -> np.ndarray:
+    """An array that places, RARE and END index."""
+    return np.r_[values, end, rare]
+
+
+def symbol_bigrams(texts: DataFrame, seeds: int) -> np.ndarray:
+    """Counts of neighbours among the first ``seeds`` words, all other words as one, and, last, the end. texts: encoded."""
+    size, schema = seeds + 2, "row int, counts binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(seeds, {"symbol": np.arange(len(seeds)), "key": seeds}, lambda w, h: {"symbol": len(seeds)})
         sums = np.zeros(size * size, np.int64)
         for b in _pieces(batches):
-            s, _ = _sequences(b, words, size - 1)
+            ids = _ids(b).astype(np.int64)
+            s = np.where(ids == END, seeds + 1, np.where((ids == RARE) | (ids >= seeds), seeds, ids))
             sums += np.bincount(s[:-1] * size + s[1:], minlength=size * size)
         sums = sums.reshape(size, size)
         rows = np.flatnonzero(sums.any(1)).tolist()
@@ -165,7 +198,7 @@ def symbol_bigrams(texts: DataFrame, seeds: np.ndarray) -> np.ndarray:
         yield _batch(schema, [[key[0].as_py()], [sums.astype("<i8").tobytes()]])
 
     out = np.zeros((size, size), np.int64)
-    for r in texts.mapInArrow(count, schema).groupBy("row").applyInArrow(add, schema).collect():  # size * size numbers, whatever the input
+    for r in texts.select("ids").mapInArrow(count, schema).groupBy("row").applyInArrow(add, schema).collect():  # size * size numbers, whatever the input
         out[r.row] = np.frombuffer(r.counts, "<i8")
     return out
 
@@ -245,27 +278,20 @@ def best_moves(contexts: DataFrame, table: np.ndarray) -> DataFrame:
     return contexts.select("key", "at", "n").repartition("key").sortWithinPartitions("key").mapInArrow(move, schema)
 
 
-def head_classes(texts: DataFrame, head: np.ndarray, seeds: np.ndarray, own: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
-    """The class of every head word (in order of key): the seeds' own, the others' by their neighbours among the seeds."""
-    at = np.searchsorted(head, seeds)
-    classes = int(own[-1]) - 1  # then all other words, then the end
-    out = np.zeros(len(head), np.int64)
-    out[at] = own[: len(seeds)]
-    if len(seeds) == len(head):
+def head_classes(texts: DataFrame, head: int, own: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
+    """The class of every head word: the seeds' own (they come first), the others' by their neighbours among the seeds."""
+    seeds, classes = len(own) - 2, int(own[-1]) - 1  # then all other words, then the end
+    out = np.r_[own[:seeds], np.zeros(head - seeds, np.int64)]
+    if seeds == head:
         return out
     size = classes + 2
     c = np.zeros((size, size))
     np.add.at(c, (own[:, None], own[None, :]), bigrams)
-    symbols = np.full(len(head), classes)
-    symbols[at] = own[: len(seeds)]
-    moving = np.ones(len(head), bool)
-    moving[at] = False
     schema = "key long, at int, n long"
-    shared = texts.sparkSession.sparkContext.broadcast((head, symbols, moving))  # HEAD words
+    symbols = _lookup(np.r_[own[:seeds], np.full(head - seeds, classes)], classes, classes + 1)
+    shared = texts.sparkSession.sparkContext.broadcast(symbols)  # HEAD numbers
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, kinds, free = shared.value
-        words = _Words(keys, {"symbol": kinds, "key": np.where(free, np.arange(len(keys)), -1)}, lambda w, h: {"symbol": classes, "key": -1})
         codes, held = [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -275,11 +301,10 @@ def head_classes(texts: DataFrame, head: np.ndarray, seeds: np.ndarray, own: np.
                 yield _batch(schema, [part // (2 * size), (part % (2 * size)).astype(np.int32), n[i : i + (1 << 16)]])
 
         for b in _pieces(batches):
-            s, k = _sequences(b, words, classes + 1)
-            k[0] = -1
-            k[s == classes + 1] = -1
-            i = np.flatnonzero(k >= 0)
-            codes += [k[i] * (2 * size) + s[i - 1], k[i] * (2 * size) + size + s[i + 1]]
+            ids = _ids(b).astype(np.int64)
+            s = shared.value[ids]
+            i = np.flatnonzero(ids >= seeds)
+            codes += [ids[i] * (2 * size) + s[i - 1], ids[i] * (2 * size) + size + s[i + 1]]
             held += 2 * len(i)
             if held > 4_000_000:
                 yield from out()
@@ -287,38 +312,36 @@ def head_classes(texts: DataFrame, head: np.ndarray, seeds: np.ndarray, own: np.
         if held:
             yield from out()
 
-    contexts = texts.mapInArrow(count, schema)
+    contexts = texts.select("ids").mapInArrow(count, schema)
     for r in best_moves(contexts, gains(c, classes)).collect():  # at most HEAD rows
         out[r.key] = r["class"]
     return out
 
 
-def neighbours(texts: DataFrame, head: np.ndarray, kinds: np.ndarray, classes: int) -> DataFrame:
+def neighbours(texts: DataFrame, kinds: np.ndarray, classes: int) -> DataFrame:
     """(key, before, after, next, n): for every token of a word that is not in the head, the classes of its neighbours, -1
     for one of these words, whose hash is ``next`` where it follows. And (null, class, class, null, n): bigrams of the others."""
     schema = "key long, before int, after int, next long, n long"
-    shared = texts.sparkSession.sparkContext.broadcast((head, kinds))  # HEAD words
+    shared = texts.sparkSession.sparkContext.broadcast(_lookup(kinds, -1, classes))  # HEAD numbers
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, own = shared.value
-        words = _Words(keys, {"symbol": own, "key": keys}, lambda w, h: {"symbol": -1, "key": h})
         size = classes + 1
         sums = np.zeros(size * size, np.int64)
         for b in _pieces(batches):
-            s, k = _sequences(b, words, classes)
+            s, keys = shared.value[_ids(b)].astype(np.int64), _keys(b)
             both = (s[:-1] >= 0) & (s[1:] >= 0)
             sums += np.bincount(s[:-1][both] * size + s[1:][both], minlength=size * size)
             i = np.flatnonzero(s < 0)
             after = s[i + 1]
-            yield _batch(schema, [k[i], s[i - 1].astype(np.int32), after.astype(np.int32), pa.array(k[i + 1], mask=after >= 0), np.ones(len(i), np.int64)])
+            yield _batch(schema, [keys, s[i - 1].astype(np.int32), after.astype(np.int32), pa.array(np.r_[keys[1:], np.zeros(min(1, len(keys)), np.int64)], mask=after >= 0), np.ones(len(i), np.int64)])
         some = np.flatnonzero(sums)
         yield _batch(schema, [[None] * len(some), (some // size).astype(np.int32), (some % size).astype(np.int32), [None] * len(some), sums[some]])
 
-    return texts.mapInArrow(find, schema)
+    return texts.select("ids", "keys").mapInArrow(find, schema)
 
 
 class ClassModel:
-    """head, kinds, counts: the head words' hashes (sorted), classes and counts; rare: table (key, n, class) of all other
+    """head, kinds, counts: the head words' hashes, classes and counts; rare: table (key, n, class) of all other
     words; tokens and words by class; step: log10 transitions, the end being the last class; unknown: the class of the unknown word."""
 
     def __init__(self, head: np.ndarray, kinds: np.ndarray, counts: np.ndarray, rare: DataFrame, tokens: np.ndarray, words: np.ndarray, unknown: int, bigrams: np.ndarray, smoothing: float):
@@ -331,15 +354,13 @@ class ClassModel:
             self.step = np.log10((bigrams + smoothing * prior) / (bigrams.sum(1, keepdims=True) + smoothing))
 
 
-def train_classes(training: DataFrame, counts: DataFrame, seeds: int = SEEDS, classes: int = CLASSES, head: int = HEAD, smoothing: float = 20.0) -> ClassModel:
-    """training: text (binary); counts: its word_counts, stored."""
-    first, top = _top(counts, min(seeds, head))[:, 0], _top(counts, head)
-    keys = top[:, 0]
-    bigrams = symbol_bigrams(training, first)
-    own = exchange(bigrams, len(first), classes)
+def train_classes(texts: DataFrame, top: np.ndarray, counts: DataFrame, seeds: int = SEEDS, classes: int = CLASSES, smoothing: float = 20.0) -> ClassModel:
+    """texts: encoded ones to learn from, by the head words top (key, n); counts: their word_counts, stored."""
+    bigrams = symbol_bigrams(texts, min(seeds, len(top)))
+    own = exchange(bigrams, len(bigrams) - 2, classes)
     k = int(own[-1]) - 1
-    kinds = head_classes(training, keys, first, own, bigrams)
-    found = stored(neighbours(training, keys, kinds, k), "neighbours")
+    kinds = head_classes(texts, len(top), own, bigrams)
+    found = stored(neighbours(texts, kinds, k), "neighbours", "zstd")
     c = np.zeros((k + 1, k + 1))
     for r in found.filter("key IS NULL").groupBy("before", "after").agg(F.sum("n").alias("n")).collect():  # classes squared
         c[r.before, r.after] += r.n
@@ -358,50 +379,45 @@ def train_classes(training: DataFrame, counts: DataFrame, seeds: int = SEEDS, cl
     single = np.zeros(k)
     for r in rare.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.expr("int(n = 1)")).alias("once")).collect():  # a row a class
         tokens[r["class"]], words[r["class"]], single[r["class"]] = tokens[r["class"]] + r.n, words[r["class"]] + r.v, r.once
-    return ClassModel(keys, kinds, top[:, 1], rare, tokens, words, int(single.argmax()), c, smoothing)
+    return ClassModel(top[:, 0], kinds, top[:, 1], rare, tokens, words, int(single.argmax()), c, smoothing)
 
 
-def score_texts(documents: DataFrame, training: DataFrame, seeds: int = SEEDS, classes: int = CLASSES, head: int = HEAD, smoothing: float = 20.0) -> DataFrame:
-    """documents: doc_id, text (binary), held_out; training: text (binary). See class_scores for the result."""
+def score_texts(documents: DataFrame, seeds: int = SEEDS, classes: int = CLASSES, head: int = HEAD, smoothing: float = 20.0) -> DataFrame:
+    """documents: doc_id, text (binary), held_out, learn (whether to learn from it). See class_scores for the result."""
+    training = documents.filter("learn").select("text")
     counts = stored(word_counts(training), "words")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    ends = training.count()
+    top = _top(counts, head)
+    texts = encoded(documents, top[:, 0])
+    ends = texts.filter("learn").count()
     tokens, distinct = totals.n + ends, totals.v + (ends > 0)
-    model = train_classes(training, counts, seeds, classes, head, smoothing)
+    model = train_classes(texts.filter("learn"), top, counts, seeds, classes, smoothing)
     k = len(model.share)
-    emission = np.log10(model.counts + 1.0) - model.share[model.kinds]
-    shared = documents.sparkSession.sparkContext.broadcast((model.head, model.kinds, np.log10(model.counts + 1.0), emission, model.step))  # head words and classes squared
-    log_end, floor = float(np.log10(ends + 1)), float(np.log10(tokens + distinct + 1))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, model double, keys binary, places binary, before binary, after binary"
+    logs = np.log10(model.counts + 1.0)
+    luts = _lookup(model.kinds, -1, k), _lookup(logs, 0.0, np.log10(ends + 1)), _lookup(logs - model.share[model.kinds], 0.0, 0.0)
+    shared = documents.sparkSession.sparkContext.broadcast((*luts, model.step, model.share))  # HEAD words and classes squared
+    floor = float(np.log10(tokens + distinct + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, kinds, logs, emissions, steps = shared.value
-        words = _Words(keys, {"kind": kinds, "log": logs, "emission": emissions, "key": keys}, lambda w, h: {"kind": -1, "log": 0.0, "emission": 0.0, "key": h})
-        row = TaskContext.get().partitionId() << 36
+        kinds, logs, emissions, step, _ = shared.value
+        step = np.c_[np.r_[step, np.zeros((1, k + 1))], np.zeros(k + 2)]  # -1: rare words' steps are added by their own rows
         for b in _pieces(batches):
-            out = []
-            for doc_id, t, held in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("held_out").to_pylist(), strict=True):
-                at = words.places(t.lower().split())
-                p = words.properties
-                s = np.r_[k, p["kind"][at], k]
-                both = (s[:-1] >= 0) & (s[1:] >= 0)
-                i = np.flatnonzero(s < 0)
-                out.append((row, doc_id, held, len(at) + 1, len(at) - len(i) + (ends > 0), float(p["log"][at].sum()) + log_end, float(steps[s[:-1][both], s[1:][both]].sum() + p["emission"][at].sum()), p["key"][at[i - 1]].tobytes(), i.astype("<i4").tobytes(), s[i - 1].astype("i1").tobytes(), s[i + 1].astype("i1").tobytes()))
-                row += 1
-            kinds_of = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), y) for x, y in zip(list(zip(*out, strict=True)) or [[]] * 11, kinds_of, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [[np.frombuffer(x, kind) for x in b.column(c).to_pylist()] for c, kind in (("keys", np.int64), ("places", "<i4"), ("before", "i1"), ("after", "i1"))]
-            rows = np.repeat(b.column("row").to_numpy(), [len(x) for x in parts[0]])
-            keys, places, before, after = (np.concatenate([*x, np.zeros(0, x[0].dtype if x else "i1")]) for x in parts)
-            yield _batch("row long, key long, place int, before int, after int", [rows, keys, places.astype(np.int32), before.astype(np.int32), after.astype(np.int32)])
-
-    given = documents.sparkSession.sparkContext.broadcast((model.step, model.share))  # classes squared
+            ids = _ids(b)
+            ends_at = np.flatnonzero(ids == END)
+            s = kinds[ids]
+            parts = ((ids[1:] != RARE).astype(np.int64), logs[ids[1:]], emissions[ids[1:]] + step[s[:-1], s[1:]])
+            known, log, model_ = (np.add.reduceat(x, ends_at[:-1]) for x in parts)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "doc_id", "held_out")), *(pa.array(x) for x in (np.diff(ends_at), known - (ends == 0), log, model_))], names=["row", "doc_id", "held_out", "n_tokens", "known", "logs", "model"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _pieces(batches):
+            ids = _ids(b)
+            s, rows = shared.value[0][ids], np.repeat(b.column("row").to_numpy(), np.diff(np.flatnonzero(ids == END)))
+            i = np.flatnonzero(ids == RARE)
+            yield _batch("row long, key long, place long, before int, after int", [rows[i - 1], _keys(b), i, s[i - 1].astype(np.int32), s[i + 1].astype(np.int32)])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step, share = given.value
+        *_, step, share = shared.value
         step = np.c_[np.r_[step, np.zeros((1, k + 1))], np.zeros(k + 2)]  # -1: the neighbour is counted by its own row
         last = None  # row and class of an entry whose follower is still to come
         for b in batches:
@@ -418,13 +434,13 @@ def score_texts(documents: DataFrame, training: DataFrame, seeds: int = SEEDS, c
             sums = (np.add.reduceat(x, starts) for x in (np.log10(n + 1.0), score))
             yield pa.RecordBatch.from_arrays([pa.array(row[starts]), *(pa.array(x) for x in sums), pa.array(np.add.reduceat((n > 0).astype(np.int64), starts))], names=["row", "logs", "model", "found"])
 
-    scored = stored(documents.select("doc_id", "text", "held_out").mapInArrow(score, schema), "scored")
-    rare = scored.select("row", "keys", "places", "before", "after").mapInArrow(explode, "row long, key long, place int, before int, after int").join(model.rare, "key", "left")
+    rare = texts.select("row", "ids", "keys").mapInArrow(ask, "row long, key long, place long, before int, after int").join(model.rare, "key", "left")
     rare = rare.select("row", "place", "before", "after", F.coalesce("class", F.lit(model.unknown)).alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
     rare = rare.repartition("row").sortWithinPartitions("row", "place").mapInArrow(add, "row long, logs double, model double, found long")
     rare = rare.groupBy("row").agg(*(F.sum(c).alias(f"more_{c}") for c in ("logs", "model", "found")))
     more = lambda c: F.col(c) + F.coalesce(f"more_{c}", F.lit(0.0))
-    return scored.select("row", "doc_id", "held_out", "n_tokens", "known", "logs", "model").join(rare, "row", "left").select(
+    scored = texts.select("row", "doc_id", "held_out", "ids").mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, model double")
+    return scored.join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_found", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (more("logs") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), more("model").alias("score"),
     )
@@ -433,4 +449,4 @@ def score_texts(documents: DataFrame, training: DataFrame, seeds: int = SEEDS, c
 def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: log10 probabilities of every document, learnt from those whose crc32(doc_id) mod 7 is not 2."""
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), F.coalesce(remainder("doc_id", 7) == 2, F.lit(False)).alias("held_out"))
-    return score_texts(texts, texts.filter("NOT held_out AND doc_id IS NOT NULL").select("text"))
+    return score_texts(texts.withColumn("learn", F.expr("NOT held_out AND doc_id IS NOT NULL")))
