@@ -11,11 +11,11 @@ import numpy as np
 import pytest
 
 from spritespark.llm import registry
-from spritespark.llm.decontamination import BlockMaxIndex
-from spritespark.llm.packing import Packer, best_fill
+from spritespark.llm.decontamination import BlockMaxIndex, contaminated
+from spritespark.llm.packing import Packer, best_fill, pack_pieces
 from spritespark.llm.pii import Selector, _written, redact, train_selector, with_spans
 from spritespark.llm.simhash import within_radius
-from spritespark.llm.token_output import best_fit_decreasing
+from spritespark.llm.token_output import best_fit_decreasing, packed_matrix
 from spritespark.llm.tokens import SPECIAL, encode
 from tests.oracle import connection, same
 
@@ -201,6 +201,28 @@ def test_ids_equal_those_of_the_tokenizers_library(documents):
         assert encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" " * 1_000_000, "\n" * 1_000_000, "x" * 100_000])
+def test_long_runs_are_encoded(run):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert encode(f"a{run}b").tolist() == t.encode(f"a{run}b", add_special_tokens=False).ids
+
+
+def test_long_runs_are_packed(spark):
+    docs = spark.createDataFrame([(1, "a" + "\n" * 1_000_000 + "b"), (2, "c")], "doc_id long, text string")
+    assert pack_pieces(docs).groupBy("doc_id").sum("length").count() == 2
+    assert packed_matrix(docs).count() > 0
+
+
+def test_blocks_of_items_change_no_score(spark, small):
+    docs, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
+    one, many = (sorted(map(tuple, contaminated(docs, items, 0.3, most).collect())) for most in (20_000, 7))
+    assert len(one) > 0 and [r[:2] for r in one] == [r[:2] for r in many]
+    assert all(math.isclose(a, b, abs_tol=1e-9) for x, y in zip(one, many, strict=True) for a, b in zip(x[2:5], y[2:5], strict=True))
+
+
 def test_pieces_cover_every_document(spark, small, documents):
     got = registry.queries()["op9_packing"](spark, small).collect()
     of, sequences = collections.defaultdict(list), collections.defaultdict(list)
