@@ -9,7 +9,8 @@ Before the index is walked, all passages of a text are bounded at once, from blo
 can't give any item more than half of the threshold together are set aside, and the others' greatest impacts in each
 block of items are summed by passage. Only passages of which some block can reach the threshold go through WAND.
 
-The index holds at most ITEMS items and is broadcast; more items are indexed in blocks, each of which reads the texts.
+An index holds at most about ITEMS items and is broadcast; more items are indexed in blocks, each of which reads the texts.
+Term and item statistics and the passages' length are those of all items, so that blocks do not change a score.
 
 Defined cases: a null or empty text or item has no match; a null doc_id is kept as null; repeated rows match each;
 empty tables give no rows; extra columns pass through ``drop_contaminated`` and are not read.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spritespark.llm.common import table, text_bytes
+from spritespark.llm.common import stored, table, text_bytes
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -60,17 +61,19 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
 class BlockMaxIndex:
     """Postings by term: items in order with their impacts (of a self-score of 1), in blocks with their greatest impact."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, df: dict[bytes, int] | None = None, n: int = 0, mean: float = 1.0, longest: int = 1):
+        """df: the number of items by word, n: of all items, mean and longest: their words; without df, those of these items."""
         own = [(i, t, words_of(t.encode())) for i, t in sorted(items) if words_of(t.encode())]
         self.threshold = threshold
         self.item_ids = [i for i, _, _ in own]
         self.checks = [tuple(pairs_of(p) for p in question_and_answer(t)) for _, t, _ in own]
         self.singles = [tuple(len(p) == 1 for p in question_and_answer(t)) for _, t, _ in own]
-        self.longest = max((len(w) for _, _, w in own), default=1)
-        df = Counter(w for _, _, words in own for w in set(words))
-        self.terms = {w: k for k, w in enumerate(sorted(df))}
-        idf = {w: float(np.log(1 + (len(own) - n + 0.5) / (n + 0.5))) for w, n in df.items()}
-        mean = sum(len(w) for _, _, w in own) / max(1, len(own))
+        if df is None:
+            df, n = Counter(w for _, _, words in own for w in set(words)), len(own)
+            mean, longest = sum(len(w) for _, _, w in own) / max(1, n), max((len(w) for _, _, w in own), default=1)
+        self.longest = longest
+        self.terms = {w: k for k, w in enumerate(sorted({w for _, _, words in own for w in words}))}
+        idf = {w: float(np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))) for w in self.terms}
         postings: list[list] = [[] for _ in self.terms]
         for at, (_, _, words) in enumerate(own):
             impact = {w: idf[w] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words) / mean)) for w, n in Counter(words).items()}
@@ -186,21 +189,32 @@ class BlockMaxIndex:
         return [best[at] for at in sorted(best)]
 
 
-def _indexes(benchmark: DataFrame, threshold: float) -> Iterator[BlockMaxIndex]:
-    """Indexes of at most ITEMS items each: the driver holds one block of items at a time."""
+def _indexes(benchmark: DataFrame, threshold: float, most: int) -> Iterator[BlockMaxIndex]:
+    """Indexes of at most about ``most`` items each: the driver holds one block of items, and its words' counts, at a time."""
     items = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["item_id", "text"])
-    blocks = -(-items.count() // ITEMS)
+    schema = "item_id long, text string, size long, terms array<binary>"
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [words_of(t.encode()) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), b.column("text"), pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.binary()))], names=["item_id", "text", "size", "terms"])
+
+    own = stored(items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(split, schema).filter("size > 0"), "items")
+    total = own.agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.max("size").alias("longest")).first()
+    counts = stored(own.select(F.explode("terms").alias("word")).groupBy("word").count(), "terms")
+    blocks = -(-total.n // most)
     for k in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(2 * blocks)).isin(2 * k, 2 * k + 1))
-        yield BlockMaxIndex([(r.item_id, r.text) for r in part.collect()], threshold)
+        part = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        df = counts.join(part.select(F.explode("terms").alias("word")).distinct(), "word", "left_semi").collect()
+        yield BlockMaxIndex([(r.item_id, r.text) for r in part.select("item_id", "text").collect()], threshold, {bytes(r.word): r["count"] for r in df}, total.n, total.words / total.n, total.longest)
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, most: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, first_word): a row for each verified item of a text."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     out = documents.sparkSession.createDataFrame([], schema)
-    for index in _indexes(benchmark, threshold):
+    for index in _indexes(benchmark, threshold, most):
         shared = documents.sparkSession.sparkContext.broadcast(index)
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -213,9 +227,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     return out
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, most: int = ITEMS) -> DataFrame:
     """documents without those that hold a verified item; filtered where they are read."""
-    for index in _indexes(benchmark, threshold):
+    for index in _indexes(benchmark, threshold, most):
         shared = documents.sparkSession.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
