@@ -5,15 +5,17 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spritespark.llm import registry
 from spritespark.llm.decontamination import BlockMaxIndex, contaminated
 from spritespark.llm.packing import Packer, best_fill, pack_pieces
-from spritespark.llm.pii import Selector, _written, redact, train_selector, with_spans
+from spritespark.llm.pii import PLANTS, Selector, _written, planted, redact, train_selector, with_spans
 from spritespark.llm.simhash import within_radius
 from spritespark.llm.token_output import best_fit_decreasing, packed_matrix
 from spritespark.llm.tokens import SPECIAL, encode
@@ -88,7 +90,7 @@ def test_base_spans_on_random_texts(spark):
     texts = ["a@b.c_d@e.f x@y@z.com a.b@c", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.004", "4111111111111111 4111111111111111", "1" * 5000, "a." * 4000 + "@", "a@" + "b." * 4000, "+1" + "(" * 900]
     texts += ["".join(rng.choice("a@.+1 4-(é") for _ in range(rng.randint(0, 60))) for _ in range(600)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in with_spans(df, Selector(None, {})).select("text", _written("__base").alias("b")).collect():
+    for r in with_spans(df, Selector(None, {})).select("text", _written("base").alias("b")).collect():
         assert r.b == ",".join(f"{k}:{s}:{e}" for k, s, e in base_spans(r.text)), r.text
 
 
@@ -114,12 +116,30 @@ def test_obfuscated_addresses_and_phones_without_a_plus_are_redacted(spark):
     assert left["loose", True] <= 0.03 * left["loose", False] and not left["base", True] and left["wrong", False] <= 0.03 * left["wrong", True], (left, selector.thresholds)
 
 
-def test_loose_spans_are_redacted_where_too_few_are_wrong_to_learn_from(spark):
+def test_loose_spans_are_redacted_in_a_table_of_few_rows(spark):
     docs = spark.createDataFrame([(i, f"ask ann{i} [at] mail [dot] com or ({200 + i}) 345-6789 not 3 @ 4.99") for i in range(60)], "doc_id long, text string").limit(15)
     for r in redact(docs, train_selector(docs)).collect():
         assert r.text == "ask [EMAIL] or [PHONE] not 3 @ 4.99"
 
 
+def test_held_out_plants_are_told_apart(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("text")
+    selector = train_selector(docs)
+    texts = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("u", F.xxhash64("text", F.lit(99))).withColumn("v", F.lit(7))
+    pass_at = "CASE " + " ".join(f"WHEN k = {k} THEN {x!r}D" for k, x in selector.thresholds.items()) + " ELSE 2D END"
+    got = planted(texts, f"sequence(0, {len(PLANTS) - 1})").select("k", "label", F.expr(f"{selector.score} >= {pass_at}").alias("chosen")).groupBy("k").agg(
+        F.avg(F.expr("CASE WHEN label = 1 THEN int(chosen) END")).alias("recall"), F.avg(F.expr("CASE WHEN chosen THEN label END")).alias("precision")).collect()
+    assert len(got) == 4 and all(r.recall > 0.9 and r.precision > 0.9 for r in got), got
+
+
+def test_very_many_matches_in_one_text(spark):
+    n = 100_000
+    docs = spark.createDataFrame([(0, "joe" + " ab@cd.ef," * n)], "doc_id long, text string")
+    began = time.time()
+    text = redact(docs, Selector("f[0]", {1: 0.5})).first().text
+    assert text == "joe" + " [EMAIL]," * n and time.time() - began < 60
+
+
 def test_fingerprints(spark, small, documents):
     got = {r.doc_id: r for r in registry.queries()["op8_simhash"](spark, small).collect()}
     ids = sorted(documents, reverse=True)
