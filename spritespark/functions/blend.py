@@ -57,8 +57,8 @@ SEPARABLE: dict[str, Callable[[Column, Column], Column]] = {
     "subtract": lambda b, s: F.greatest(b - s, F.lit(0)),
     "divide": _divide,
 }
-#: The order in which files number the modes with integer results.
-NUMBERED = ("normal", "multiply", "screen", "overlay", "darken", "lighten", "color_dodge", "color_burn")
+#: The modes that work on all channels at once.
+HSL = ("hue", "saturation", "color", "luminosity")
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:

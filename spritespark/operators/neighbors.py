@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spritespark.functions.blend import SEPARABLE, let
+from spritespark.functions.blend import HSL, SEPARABLE, hsl_mode, let
 from spritespark.functions.color import _c, idiv, mul_un8
 
 KEYS = ("image_id",)
@@ -140,19 +140,23 @@ def scale2x(pixels: DataFrame, value: str = "v", keys: tuple = KEYS) -> DataFram
 
 
 def flatten(cels: DataFrame, keys: tuple = ("sprite_id", "frame")) -> DataFrame:
-    """cels: keys, place, x, y, r, g, b, a, opacity, mode (a separable mode's name). One pixel per point with a visible one.
+    """cels: keys, place, x, y, r, g, b, a, opacity, mode (one of SEPARABLE or HSL; others fail). One pixel per point with a visible one.
 
     Transparent pixels never reach the shuffle. The pixels of a point are sorted by place and folded in one expression.
     """
     layers = cels.filter("a > 0").groupBy(*keys, "x", "y").agg(F.sort_array(F.collect_list(F.struct("place", "mode", "opacity", "r", "g", "b", "a"))).alias("__l"))
 
     def step(acc: Column, s: Column) -> Column:
+        names = "rgb"
+        toned = {m: hsl_mode(m, [acc[c] for c in names], [s[c] for c in names]) for m in HSL}
         mixed = []
-        for c in "rgb":
-            e = s[c]
-            for mode in ("multiply", "screen", "darken", "lighten", "difference", "addition", "subtract", "exclusion"):
-                e = F.when(s["mode"] == mode, SEPARABLE[mode](acc[c], s[c])).otherwise(e)
-            mixed.append(F.when(acc["a"] == 0, s[c]).otherwise(e).alias(c))
+        for i, c in enumerate(names):
+            e = F.when((acc["a"] == 0) | (s["mode"] == "normal"), s[c])
+            for mode, f in SEPARABLE.items():
+                e = e if mode == "normal" else e.when(s["mode"] == mode, f(acc[c], s[c]))
+            for mode, made in toned.items():
+                e = e.when(s["mode"] == mode, made[i])
+            mixed.append(e.otherwise(F.raise_error(F.concat(F.lit("no blend mode "), s["mode"])).cast("int")).alias(c))
         given = F.struct(acc.alias("b"), F.struct(*mixed).alias("s"), mul_un8(s["a"], s["opacity"]).alias("sa"))
         alpha = lambda v: F.struct(v["b"].alias("b"), v["s"].alias("s"), v["sa"].alias("sa"), (v["sa"] + v["b"]["a"] - mul_un8(v["b"]["a"], v["sa"])).alias("ra"))
 

@@ -166,7 +166,7 @@ def image_diff_count(one: DataFrame, two: DataFrame, keys: tuple = ("image_id",)
 
 
 def frame_delta(pixels: DataFrame, keys: tuple = ("sprite_id",)) -> DataFrame:
-    """The box of what changed since the frame before (the whole canvas for the first), and whether a pixel was cleared."""
+    """The box of what changed since the frame before (of what is visible in the first), and whether a pixel was cleared."""
     on = [*keys, "frame", "x", "y"]
     from spritespark.functions.color import pack_rgba
 

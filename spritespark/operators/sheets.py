@@ -89,11 +89,11 @@ def read_frame_json(lines: DataFrame) -> DataFrame:
 
 
 def split_name(name: str = "name") -> list:
-    """left, number, right and width of a numbered file name; number null where it has none."""
+    """left, number, right and width of a numbered file name; number null where it has none, or one beyond 64 bits."""
     stem = F.regexp_extract(name, r"^(.*?)([0-9]*)(\.[^.]*)?$", 1)
     digits = F.regexp_extract(name, r"^(.*?)([0-9]*)(\.[^.]*)?$", 2)
     right = F.regexp_extract(name, r"^(.*?)([0-9]*)(\.[^.]*)?$", 3)
-    return [stem.alias("left"), F.when(digits != "", digits.cast("int")).alias("number"), right.alias("right"), F.length(digits).alias("width")]
+    return [stem.alias("left"), F.when(digits != "", digits.try_cast("bigint")).alias("number"), right.alias("right"), F.length(digits).alias("width")]
 
 
 def format_name(template: str, fields: dict) -> Column:

@@ -1,11 +1,13 @@
 """Small literal cases."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from spritespark.functions.blend import blend_rgba
+from spritespark.functions.blend import HSL, SEPARABLE, blend_rgba
 from spritespark.operators import neighbors as N
 from spritespark.operators import points as P
 from spritespark.operators import structure as S
+from spritespark.operators.sheets import split_name
 
 
 def pixels(spark, rows):
@@ -31,6 +33,31 @@ def test_luminosity_of_gray_over_a_colour_keeps_its_hue(spark):
     assert r > g == b and a == 255 and abs(0.3 * r + 0.59 * g + 0.11 * b - 100) < 2
 
 
+def test_flatten_blends_in_every_mode(spark):
+    modes = [*SEPARABLE, *HSL]
+    rows = [(m, f, k % 2, k // 2 % 3, 0, (k * 37 + f * 91) % 256, (k * 53 + f * 17) % 256, (k * 71 + f * 29) % 256, (255, 180, 90)[(k + f) % 3], (255, 200)[k % 2], "normal" if f == 0 else m) for m in modes for f in (0, 1) for k in range(6)]
+    cels = spark.createDataFrame(rows, "sprite_id string, place int, frame int, x int, y int, r int, g int, b int, a int, opacity int, mode string")
+    got = {(r.sprite_id, r.frame, r.x): (r.r, r.g, r.b, r.a) for r in N.flatten(cels).collect()}
+    for m in modes:
+        low, high = (cels.filter((cels.sprite_id == m) & (cels.place == k)).select("frame", "x", *(F.col(c).alias(f"{c}{k}") for c in (*"rgba", "opacity"))) for k in (0, 1))
+        under = low.join(high, ["frame", "x"])
+        first = blend_rgba("normal", [F.lit(0)] * 4, ["r0", "g0", "b0", "a0"], F.col("opacity0"))
+        under = under.select("frame", "x", "r1", "g1", "b1", "a1", "opacity1", *(v.alias(f"{c}0") for c, v in zip("rgba", first, strict=True)))
+        for r in under.select("frame", "x", *(v.alias(c) for c, v in zip("rgba", blend_rgba(m, ["r0", "g0", "b0", "a0"], ["r1", "g1", "b1", "a1"], F.col("opacity1")), strict=True))).collect():
+            assert got[m, r.frame, r.x] == (r.r, r.g, r.b, r.a), (m, r)
+
+
+def test_flatten_fails_on_an_unknown_mode(spark):
+    cels = spark.createDataFrame([(1, 0, 0, 0, 0, 9, 9, 9, 255, 255, "normal"), (1, 1, 0, 0, 0, 9, 9, 9, 255, 255, "mix")], "sprite_id int, place int, frame int, x int, y int, r int, g int, b int, a int, opacity int, mode string")
+    with pytest.raises(Exception, match="no blend mode mix"):
+        N.flatten(cels).collect()
+
+
+def test_long_numbers_in_names(spark):
+    df = spark.createDataFrame([("img20240101123456.png",), ("a7.png",), ("b" + "9" * 30 + ".png",)], "name string")
+    assert [r.number for r in df.select(*split_name()).collect()] == [20240101123456, 7, None]
+
+
 def test_empty_image_has_no_trim_bounds(spark):
     df = pixels(spark, [(1, 0, 0, 9, 9, 9, 0), (2, 3, 4, 1, 1, 1, 255)])
     assert [tuple(r) for r in P.trim_bounds(df).collect()] == [(2, 3, 4, 1, 1)]
