@@ -197,32 +197,15 @@ def incidence(texts: DataFrame, blocks: int, words: int = WORDS) -> DataFrame:
 
 
 def shared_columns(entries: DataFrame) -> DataFrame:
-    """(key, sig, pos, leader) of columns with two rows or more.
+    """(key, sig, pos, leader) of columns with two rows or more; each band of sizes has its own leader.
 
-    One shuffle by column; a sorted stream then holds only the current leader, so a column of any length takes
-    constant memory. Each band of sizes has its own leader.
+    Leaders and counts are combined before they are shuffled, and hot columns get theirs by a broadcast: no task holds one.
     """
-    schema = "key long, sig binary, pos int, leader binary"
-
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, at, leader, out = None, None, None, []  # last: an entry whose column has had one row so far
-        for b in batches:
-            for key, sig, pos, band in zip(*(b.column(c).to_pylist() for c in ("key", "sig", "pos", "band")), strict=True):
-                if at is None or at[0] != key:
-                    last, at, leader = (key, sig, pos, sig), (key, band), sig
-                    continue
-                if last:
-                    out.append(last)
-                    last = None
-                if at[1] != band:
-                    at, leader = (key, band), sig
-                out.append((key, sig, pos, leader))
-            if len(out) > 10_000:
-                yield _rows(schema, out)
-                out = []
-        yield _rows(schema, out)
-
-    return entries.select("key", "sig", "pos", "band", "w").repartition("key").sortWithinPartitions("key", "band", "w", "sig").select("key", "sig", "pos", "band").mapInArrow(lead, schema)
+    bands = stored(entries.groupBy("key", "band").agg(F.min(F.struct("w", "sig")).alias("first"), F.count("*").alias("k")), "bands")
+    several = bands.groupBy("key").agg(F.sum("k").alias("rows")).filter("rows > 1")
+    leaders = stored(bands.join(several, "key", "left_semi").select("key", "band", F.col("first.sig").alias("leader"), "k"), "leaders")
+    discard(bands)
+    return joined(entries, leaders, ["key", "band"], "k").select("key", "sig", "pos", "leader")
 
 
 def _parity(s: np.ndarray) -> np.ndarray:
