@@ -1,9 +1,10 @@
 """URL filters: dated list entries become validity intervals, and an as-of join finds those active at each fetch.
 
 An entry (category, pattern, action, at) adds a domain to a list or removes it; it holds until the next entry of the
-same category and pattern. A capture is looked up under its host and every parent domain. Both sides are cut into
-slots of time: an interval is entered in each slot that it touches, a capture in its own, so that the join is one on
-(pattern, slot) with the exact bounds as a residual, and neither a popular domain nor a long list meets in one task.
+same category and pattern. A capture is looked up under its host and every parent domain. Time is cut into slots, and
+these are joined in pairs, fours and so on: an interval of n slots is entered under the O(log n) of these spans that
+make it up, a capture under the one of each length that holds it. The join is one on (pattern, span) with the exact
+bounds as a residual, so that neither a popular domain nor an entry without an end meets in one task or is copied often.
 
 Defined cases: a null or hostless url, or a null fetch time, matches nothing; entries with a null field are
 ignored; entries at one time count in the order of ``seq``, and only the last holds; repeated captures and entries count
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spritespark.llm.common import table
+from spritespark.llm.common import stored, table
 
 #: Length of a slot, in seconds.
 SLOT = 2 * 86_400
@@ -47,6 +48,20 @@ def intervals(entries: DataFrame, slot: int = SLOT) -> DataFrame:
     return at.withColumn("inside", inside).join(firsts, [*key, "slot"]).filter("action = 'add'").select(*key, "since", F.coalesce("inside", "after").alias("until"))
 
 
+def spans_of(first: Column, last: Column, most: int) -> Column:
+    """Array of (level, node) that make up the slots from first to last, 0 to ``most``: node k of a level is the slots from
+    k * 2^level on. Empty where first > last."""
+    none = F.array().cast("array<struct<level:int,node:bigint>>")
+    start = F.struct(first.cast("bigint").alias("a"), (last + 1).cast("bigint").alias("b"), none.alias("out"))
+
+    def up(q: Column, level: Column) -> Column:
+        a, b = q["a"], q["b"]
+        node = lambda odd, k: F.when((a < b) & (odd.bitwiseAND(F.lit(1)) == 1), F.array(F.struct(level.alias("level"), k.alias("node")))).otherwise(none)
+        return F.struct(F.shiftright(a + a.bitwiseAND(F.lit(1)), 1).alias("a"), F.shiftright(b - b.bitwiseAND(F.lit(1)), 1).alias("b"), F.concat(q["out"], node(a, a), node(b, b - 1)).alias("out"))
+
+    return F.aggregate(F.array(*(F.lit(k) for k in range((max(0, most) + 1).bit_length() + 1))), start, up, lambda q: q["out"])
+
+
 def active_entries(captures: DataFrame, entries: DataFrame, slot: int = SLOT) -> DataFrame:
     """captures: page_id, url, fetched. One row per capture: page_id, n_active, categories, pattern.
 
@@ -54,13 +69,16 @@ def active_entries(captures: DataFrame, entries: DataFrame, slot: int = SLOT) ->
     """
     held = intervals(entries, slot)
     rows = captures.select("page_id", F.unix_timestamp("fetched").alias("t"), host_of(F.col("url")).alias("host")).withColumn("row", F.monotonically_increasing_id())
+    rows = stored(rows, "captures")  # its rows keep their number
     # an interval without an end reaches the last slot of any capture: two numbers
     lo, hi = rows.agg(F.min(F.floor(F.col("t") / slot)), F.max(F.floor(F.col("t") / slot))).first()
     lo, hi = (0, -1) if lo is None else (lo, hi)
-    since, until = f"greatest(floor(since / {slot}), {lo})", f"least({hi}, coalesce(floor((until - 1) / {slot}), {hi}))"
-    held = held.select("category", "pattern", "since", "until", F.explode(F.expr(f"CASE WHEN {since} <= {until} THEN sequence({since}, {until}) ELSE array() END")).alias("slot"))
-    asked = rows.filter("host <> '' AND t IS NOT NULL").select("row", "page_id", "t", F.floor(F.col("t") / slot).alias("slot"), F.explode(domains_of(F.col("host"))).alias("pattern"))
-    found = asked.join(held, ["pattern", "slot"]).filter("since <= t AND (until IS NULL OR t < until)")
+    held = held.withColumn("span", F.explode(spans_of(F.expr(f"greatest(floor(since / {slot}), {lo}) - {lo}"), F.expr(f"least({hi}, coalesce(floor((until - 1) / {slot}), {hi})) - {lo}"), hi - lo)))
+    held = held.select("category", "pattern", "since", "until", "span.level", "span.node")
+    at = F.floor(F.col("t") / slot) - lo
+    levels = F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright(at, k).alias("node")) for k in range((hi - lo + 1).bit_length() + 1)))
+    asked = rows.filter("host <> '' AND t IS NOT NULL").select("row", "page_id", "t", F.explode(domains_of(F.col("host"))).alias("pattern"), levels.alias("spans")).select("row", "page_id", "t", "pattern", F.explode("spans").alias("span")).select("row", "page_id", "t", "pattern", "span.level", "span.node")
+    found = asked.join(held, ["pattern", "level", "node"]).filter("since <= t AND (until IS NULL OR t < until)")
     each = rows.select("page_id", "row", F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("string").alias("category")).union(found.select("page_id", "row", "pattern", "category"))
     return each.groupBy("row", "page_id").agg(F.count("category").alias("n_active"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), F.coalesce(F.max_by("pattern", F.struct(F.length("pattern"), "pattern")), F.lit("")).alias("pattern")).drop("row")
 

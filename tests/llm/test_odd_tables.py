@@ -24,7 +24,7 @@ def folder(request, spark, tmp_path_factory):
     d = tmp_path_factory.mktemp(request.param)
     keep = (lambda df: df) if request.param == "odd" else (lambda df: df.limit(0))
     documents = spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string")
-    for c in ("label", "score", "key", "n", "row", "held_out", "component", "h"):  # names that operators use
+    for c in ("label", "score", "key", "n", "row", "held_out", "component", "h", "bytes", "base_spans", "all_spans", "sig", "c"):  # names that operators use
         documents = documents.withColumn(c, F.lit("own"))
     keep(documents.withColumn("n_chars", F.length("text").cast("long"))).write.parquet(f"{d}/documents.parquet")
     labels = spark.createDataFrame([(i, i % 2, (i // 2) % 2) for i in range(70)] + [(3, None, None), (None, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
@@ -73,3 +73,12 @@ def test_one_row_of_a_repeated_document_stays(spark, folder):
         kept = keep_one_of_each(spark.read.parquet(f"{d}/documents.parquet"))
         ids = [r.doc_id for r in kept.select("doc_id").collect()]
         assert ids.count(2) == 1 and 3 not in ids and ids.count(None) == 1 and {0, 1, 4, 8} <= set(ids)
+
+
+def test_spans_make_up_every_interval(spark):
+    from spritespark.llm.url_filters import spans_of
+
+    rows = [(a, b) for a in range(0, 40, 3) for b in range(a - 1, 41, 5)] + [(0, 3649)]
+    got = spark.createDataFrame(rows, "a long, b long").select("a", "b", spans_of(F.col("a"), F.col("b"), 3649).alias("s")).collect()
+    for r in got:
+        assert sorted(k for x in r.s for k in range(x.node << x.level, (x.node + 1) << x.level)) == list(range(r.a, r.b + 1)) and len(r.s) <= 24
