@@ -365,15 +365,16 @@ def keep_one_of_each(documents: DataFrame, words: int = WORDS) -> DataFrame:
     if again.limit(1).count():
         own, sig, names = documents.columns, fresh(documents, "sig"), [F.col(f"`{c}`") for c in documents.columns]
         several = documents.join(_few(again), "doc_id", "left_semi").select(*names)
+        of_id, of_sig, of_c = (fresh(documents, f"{sig}_{x}") for x in ("id", "text", "c"))
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 sigs = [_sig((t or "").encode().lower().split()) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sigs, pa.binary())], names=[*b.schema.names, sig])
 
-        stay = found.join(_few(again), "doc_id", "left_semi").filter("component_id = doc_id").select(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig"), F.col("c").alias("_c")).distinct()
-        marked = several.mapInArrow(add, several.withColumn(sig, F.lit(None).cast("binary")).schema).join(_few(stay), (F.col("doc_id") == F.col("_id")) & F.col(sig).eqNullSafe(F.col("_sig")))
-        firsts = marked.groupBy("_id", "_c").agg(F.min_by(F.struct(*names), F.to_json(F.struct(*names))).alias("_row"))
+        stay = found.join(_few(again), "doc_id", "left_semi").filter("component_id = doc_id").select(F.col("doc_id").alias(of_id), F.col("sig").alias(of_sig), F.col("c").alias(of_c)).distinct()
+        marked = several.mapInArrow(add, several.withColumn(sig, F.lit(None).cast("binary")).schema).join(_few(stay), (F.col("doc_id") == F.col(of_id)) & F.col(sig).eqNullSafe(F.col(of_sig)))
+        firsts = marked.groupBy(of_id, of_c).agg(F.min_by(F.struct(*names), F.to_json(F.struct(*names))).alias("_row"))
         kept = kept.select(*names).unionByName(firsts.select(*(F.col(f"_row.`{c}`").alias(c) for c in own)))
     return kept.select(*(f"`{c}`" for c in documents.columns))
 

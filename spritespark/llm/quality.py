@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spritespark.llm.common import bounded, remainder, table, text_bytes
+from spritespark.llm.common import bounded, fresh, remainder, table, text_bytes
 
 WORDS = 1 << 15
 BINS = 12
@@ -133,16 +133,17 @@ def score_quality(documents: DataFrame, model: FactorisationMachine, column: str
     """documents with the score of every whole text in ``column`` (which replaces a column of that name)."""
     shared = documents.sparkSession.sparkContext.broadcast((model.w0, model.w, model.v))  # SIZE * (rank + 1) floats, whatever the input
     base = documents.drop(column)
+    own_text = fresh(base, "bytes")
     schema = base.withColumn(column, F.lit(0.0)).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, slots = FactorisationMachine(*shared.value), _Slots()
         for b in batches:
-            z = np.array([own.raw(*features(t, slots)) for t in b.column("__bytes").to_pylist()], np.float64)
-            keep = [i for i, n in enumerate(b.schema.names) if n != "__bytes"]
+            z = np.array([own.raw(*features(t, slots)) for t in b.column(own_text).to_pylist()], np.float64)
+            keep = [i for i, n in enumerate(b.schema.names) if n != own_text]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], names=[*(b.schema.names[i] for i in keep), column])
 
-    return base.withColumn("__bytes", text_bytes()).mapInArrow(score, schema)
+    return base.withColumn(own_text, text_bytes()).mapInArrow(score, schema)
 
 
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
