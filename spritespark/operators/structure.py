@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spritespark.sources.files import stored
 
 #: A level is stored after so many joins, which keeps the plans of deep trees short.
 STORED_EVERY = 8
@@ -22,7 +23,7 @@ def layer_paths(layers: DataFrame) -> DataFrame:
         up = level.select(F.col("layer_id").alias("parent_id"), F.col("path").alias("__p"), F.col("shown").alias("__s"))
         level = layers.join(up, "parent_id").select("layer_id", "level", "name", F.concat_ws("/", "__p", "name").alias("path"), (F.col("visible") & F.col("__s")).alias("shown"))
         if step % STORED_EVERY == 0:
-            level = level.localCheckpoint() if not level.sparkSession.sparkContext.getCheckpointDir() else level.checkpoint()
+            level = stored(level, "layers")
         out = out.union(level)
     return out
 
