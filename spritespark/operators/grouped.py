@@ -75,6 +75,15 @@ def flood_select(pixels: DataFrame, x: int, y: int, tolerance: int, value: str =
     return pixels.select(key, "x", "y", value).groupBy(key).applyInPandas(run, f"{key} long, x int, y int")
 
 
+def flood_fill(pixels: DataFrame, x: int, y: int, tolerance: int, color: int, value: str = "v", contiguous: bool = True, eight: bool = False, key: str = KEY) -> DataFrame:
+    """Paints what is like the seed: the region connected with it, or all of the image."""
+    if contiguous:
+        hit = flood_select(pixels, x, y, tolerance, value, eight, key)
+        return pixels.join(hit.withColumn("__hit", F.lit(True)), [key, "x", "y"], "left").withColumn(value, F.when(F.col("__hit"), color).otherwise(F.col(value))).drop("__hit")
+    seed = pixels.filter((F.col("x") == x) & (F.col("y") == y)).select(key, F.col(value).alias("__seed"))
+    return pixels.join(seed, key, "left").withColumn(value, F.when(F.abs(F.col(value) - F.col("__seed")) <= tolerance, color).otherwise(F.col(value))).drop("__seed")
+
+
 def connected_background(candidates: DataFrame, width: int, height: int, key: str = KEY) -> DataFrame:
     """Of the candidate points, those in a 4-connected region that touches the image's border."""
 
@@ -125,12 +134,13 @@ def wrapped_layout(samples: DataFrame, width: int, sheet: str = "sheet", order:
 
 
 def packed_layout(samples: DataFrame, width: int, sheet: str = "sheet", order: str = "item") -> DataFrame:
-    """Shelves: the highest samples first, each on the first shelf with room."""
+    """Shelves: the highest samples first, each on the first shelf with room. A sheet is no narrower than its widest sample."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         shelves, out, bottom = [], [], 0
+        room = max(width, int(pdf.w.max()))
         for r in pdf.sort_values(["h", "w", order], ascending=[False, False, True]).itertuples():
-            at = next((s for s in shelves if s[0] + r.w <= width and r.h <= s[2]), None)
+            at = next((s for s in shelves if s[0] + r.w <= room and r.h <= s[2]), None)
             if at is None:
                 at = [0, bottom, r.h]
                 shelves.append(at)

@@ -89,11 +89,11 @@ def merge_palettes(palettes: DataFrame, keys: list[str], order: list[str], most:
     return first.withColumn("idx", F.row_number().over(w) - 1).filter(F.col("idx") < most).drop("__o")
 
 
-def compose_remaps(first: DataFrame, then: DataFrame) -> DataFrame:
-    """A remap (src, dst) after another one; what the second does not name stays."""
-    return first.join(then.select(F.col("src").alias("dst"), F.col("dst").alias("__to")), "dst", "left").select("src", F.coalesce("__to", "dst").alias("dst"))
+def compose_remaps(first: DataFrame, then: DataFrame, keys: tuple = ()) -> DataFrame:
+    """A remap (keys, src, dst) after another one; what the second does not name stays."""
+    return first.join(then.select(*keys, F.col("src").alias("dst"), F.col("dst").alias("__to")), [*keys, "dst"], "left").select(*keys, "src", F.coalesce("__to", "dst").alias("dst"))
 
 
-def invert_remap(remap: DataFrame) -> DataFrame:
+def invert_remap(remap: DataFrame, keys: tuple = ()) -> DataFrame:
     """dst -> src, the first source winning."""
-    return remap.groupBy(F.col("dst").alias("src")).agg(F.min("src").alias("dst"))
+    return remap.groupBy(*keys, F.col("dst").alias("__to")).agg(F.min("src").alias("dst")).withColumnRenamed("__to", "src")

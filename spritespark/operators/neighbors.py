@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spritespark.functions.blend import HSL, SEPARABLE, hsl_mode, let
-from spritespark.functions.color import _c, idiv, mul_un8
+from spritespark.functions.color import _c, idiv, luma, mul_un8
 
 KEYS = ("image_id",)
 
@@ -181,10 +181,15 @@ def compose_groups(pixels: DataFrame, groups: DataFrame, keys: tuple = ("sprite_
     return flatten(alone.join(groups.select("group_id", "place", "opacity", "mode"), "group_id"), keys)
 
 
-def onion_skin(pixels: DataFrame, before: int, opacity: int, step: int, key: str = "sprite_id") -> DataFrame:
-    """Each frame over the ones before it, which fade by a step each."""
+def onion_skin(pixels: DataFrame, before: int, opacity: int, step: int, key: str = "sprite_id", after: int = 0, tint: bool = False) -> DataFrame:
+    """Each frame over the ones before and after it, which fade by a step each; tinted, these are red and blue by their luma."""
     frames = pixels.select(key, "frame").distinct()
-    ghosts = pixels.select("*", F.explode(F.sequence(F.lit(0), F.lit(before))).alias("k")).withColumns({"frame": F.col("frame") + F.col("k"), "place": -F.col("k"), "opacity": F.when(F.col("k") == 0, 255).otherwise(F.greatest(F.lit(0), opacity - (F.col("k") - 1) * step)), "mode": F.lit("normal")})
+    k, place = F.col("k"), F.when(F.col("k") == 0, after + 1).otherwise(-F.col("k"))  # k: frames from a pixel's own to that which shows it
+    ghosts = pixels.select("*", F.explode(F.sequence(F.lit(-after), F.lit(before))).alias("k")).withColumns({"frame": F.col("frame") + k, "place": place, "opacity": F.when(k == 0, 255).otherwise(F.greatest(F.lit(0), opacity - (F.abs(k) - 1) * step)), "mode": F.lit("normal")})
+    if tint:
+        v = luma()
+        low, high = F.floor(v / 2).cast("int"), F.floor((v + 255) / 2).cast("int")
+        ghosts = ghosts.withColumns({"r": F.when(k == 0, F.col("r")).when(k > 0, high).otherwise(low), "g": F.when(k == 0, F.col("g")).otherwise(low), "b": F.when(k == 0, F.col("b")).when(k < 0, high).otherwise(low)})
     return flatten(ghosts.join(frames, [key, "frame"], "left_semi"), (key, "frame"))
 
 
@@ -219,8 +224,7 @@ def dither_levels(pixels: DataFrame, levels: int, matrix: list[list[int]], value
 
 def border_shares(pixels: DataFrame, width: int, height: int, band: int = 1, least: float = 0.004, most: int = 12, channels: tuple = ("r", "g", "b", "a"), keys: tuple = KEYS) -> DataFrame:
     """The most frequent colours of an image's border band: (keys, channels, n, share, place)."""
-    edge = pixels.filter((F.col("x") < band) | (F.col("y") < band) | (F.col("x") >= width - band) | (F.col("y") >= height - band))
-    counts = edge.groupBy(*keys, *channels).agg(F.count("*").alias("n"))
+    counts = border(pixels, width, height, band).groupBy(*keys, *channels).agg(F.count("*").alias("n"))
     w = Window.partitionBy(*keys)
     out = counts.withColumn("share", F.col("n") / F.sum("n").over(w)).withColumn("place", F.row_number().over(w.orderBy(F.desc("n"), *channels)))
     return out.filter((F.col("share") >= least) & (F.col("place") <= most))
@@ -243,8 +247,19 @@ def edge_signal(pixels: DataFrame, value: str = "v", keys: tuple = KEYS) -> Data
     return out
 
 
+def border(pixels: DataFrame, width: int, height: int, band: int = 1) -> DataFrame:
+    """The pixels of an image's border band."""
+    return pixels.filter((F.col("x") < band) | (F.col("y") < band) | (F.col("x") >= width - band) | (F.col("y") >= height - band))
+
+
+def plane_error(pixels: DataFrame, planes: DataFrame, value: str = "v", keys: tuple = KEYS) -> DataFrame:
+    """The planes with rms, the root of the mean square that they miss the pixels by."""
+    miss = F.col(value) - F.col("p") - F.col("q") * F.col("x") - F.col("r") * F.col("y")
+    return planes.join(pixels.join(planes, list(keys)).groupBy(*keys).agg(F.sqrt(F.avg(miss * miss)).alias("rms")), list(keys))
+
+
 def plane_fit(pixels: DataFrame, value: str = "v", keys: tuple = KEYS) -> DataFrame:
-    """The least-squares plane v = p + q x + r y of an image, from sums, by Cramer's rule; null where it has none."""
+    """The least-squares plane v = p + q x + r y of the given pixels of each image, from sums, by Cramer's rule; null where it has none."""
     x, y, v = (F.col(c).cast("double") for c in ("x", "y", value))
     s = pixels.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), *(F.sum(e).alias(k) for k, e in {"sx": x, "sy": y, "sv": v, "sxx": x * x, "syy": y * y, "sxy": x * y, "sxv": x * v, "syv": y * v}.items()))
     det = lambda m: f"({m[0]}*({m[4]}*{m[8]}-{m[5]}*{m[7]})-{m[1]}*({m[3]}*{m[8]}-{m[5]}*{m[6]})+{m[2]}*({m[3]}*{m[7]}-{m[4]}*{m[6]}))"
@@ -284,7 +299,3 @@ def extrude(pixels: DataFrame, width: int, height: int, keys: tuple = KEYS) -> D
 def gradient(canvas: DataFrame, width: int, first: dict[str, int], last: dict[str, int]) -> DataFrame:
     """A horizontal linear gradient over the canvas's points."""
     return canvas.withColumns({c: F.floor(first[c] + (last[c] - first[c]) * F.col("x") / F.lit(max(1, width - 1)) + 1e-9).cast("int") for c in first})
-
-
-def opaque(layer_opacity, cel_opacity) -> Column:
-    return mul_un8(layer_opacity, cel_opacity)

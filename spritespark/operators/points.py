@@ -146,6 +146,29 @@ def trim_bounds(pixels: DataFrame, keys: tuple = ("image_id",), ref: dict[str, i
     return bounds(pixels.filter(~near(ref, 0)), keys)
 
 
+def trim_color(pixels: DataFrame, width: int, height: int, keys: tuple = ("image_id",)) -> DataFrame:
+    """(keys, color): the colour that trimming compares with, packed; 0 is transparent, null where two sides disagree.
+
+    A transparent pixel on the top or bottom row decides; then a solid side's colour, the corner's of that side. A solid
+    top and bottom (then: left and right) of different colours give none. All pixels of the image must be there.
+    """
+    from spritespark.functions.color import pack_rgba
+
+    x, y, c = F.col("x"), F.col("y"), F.when(F.col("a") > 0, pack_rgba()).otherwise(F.lit(0))
+    edge = pixels.filter((x == 0) | (y == 0) | (x == width - 1) | (y == height - 1)).withColumn("__c", c)
+    sides = {"t": y == 0, "b": y == height - 1, "l": x == 0, "r": x == width - 1}
+    seen = edge.groupBy(*keys).agg(
+        F.max(F.when((x == 0) & (y == 0), F.col("__c"))).alias("first"), F.max(F.when((x == width - 1) & (y == height - 1), F.col("__c"))).alias("last"),
+        *(f(F.when(at, F.col("__c"))).alias(f"{k}_{n}") for k, at in sides.items() for n, f in (("low", F.min), ("high", F.max))),
+    )
+    clear = lambda a, b: F.least(f"{a}_low", f"{b}_low") == 0
+    solid = lambda k: F.col(f"{k}_low") == F.col(f"{k}_high")
+    apart = F.col("first") != F.col("last")
+    second = (~solid("t") & solid("b")) | (~solid("l") & solid("r"))
+    color = F.when(clear("t", "b"), F.lit(0)).when(solid("t") & solid("b") & apart, F.lit(None)).when(clear("l", "r"), F.lit(0)).when(solid("l") & solid("r") & apart, F.lit(None)).when(second, F.col("last")).otherwise(F.col("first"))
+    return seen.select(*keys, color.cast("long").alias("color"))
+
+
 def snap_out(boxes: DataFrame, gw: int, gh: int) -> DataFrame:
     """Boxes grown outwards to a grid's lines."""
     x, y = F.floor(F.col("x") / gw) * gw, F.floor(F.col("y") / gh) * gh
@@ -166,7 +189,10 @@ def image_diff_count(one: DataFrame, two: DataFrame, keys: tuple = ("image_id",)
 
 
 def frame_delta(pixels: DataFrame, keys: tuple = ("sprite_id",)) -> DataFrame:
-    """The box of what changed since the frame before (of what is visible in the first), and whether a pixel was cleared."""
+    """The box of what changed since the frame before, and whether a pixel was cleared; the first frame's is the whole canvas.
+
+    The canvas is what all the sprite's pixels, visible or not, cover from the origin. A frame without a change has no row.
+    """
     on = [*keys, "frame", "x", "y"]
     from spritespark.functions.color import pack_rgba
 
@@ -174,7 +200,10 @@ def frame_delta(pixels: DataFrame, keys: tuple = ("sprite_id",)) -> DataFrame:
     frames = pixels.select(*keys, "frame").distinct()
     before = now.withColumn("frame", F.col("frame") + 1).withColumnRenamed("c", "old").join(frames, [*keys, "frame"], "left_semi")
     changed = now.join(before, on, "full").filter(~F.col("c").eqNullSafe(F.col("old")))
-    return changed.groupBy(*keys, "frame").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.bool_or(F.col("c").isNull()).alias("cleared"))
+    canvas = pixels.groupBy(*keys).agg(F.min("frame").alias("frame"), F.lit(0).alias("x"), F.lit(0).alias("y"), (F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.lit(False).alias("cleared"))
+    later = changed.join(canvas.select(*keys, "frame"), [*keys, "frame"], "left_anti")
+    boxes = later.groupBy(*keys, "frame").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.bool_or(F.col("c").isNull()).alias("cleared"))
+    return canvas.unionByName(boxes)
 
 
 def flicker(indexed: DataFrame, keys: tuple = ("sprite_id",)) -> DataFrame:

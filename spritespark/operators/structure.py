@@ -140,6 +140,17 @@ def number_tiles(cells: DataFrame, set_key: str = "image_id") -> tuple[DataFrame
     return tileset, cells.join(tileset, [set_key, "tile"], "left").select(set_key, "u", "w", F.coalesce("tile_index", F.lit(0)).alias("tile_index"))
 
 
+def draw_tiles(tilemap: DataFrame, tiles: DataFrame, size: int, set_key: str = "image_id") -> DataFrame:
+    """(set, x, y, v): square tiles drawn at their cells; the empty tile 0 draws nothing.
+
+    tilemap: set, u, w, tile_index, flip_x, flip_y, flip_d; tiles: set, tile_index, x, y, v. A diagonal flip comes first.
+    """
+    px, py = F.when(F.col("flip_d"), F.col("y")).otherwise(F.col("x")), F.when(F.col("flip_d"), F.col("x")).otherwise(F.col("y"))
+    turned = lambda flag, c: F.when(F.col(flag), size - 1 - c).otherwise(c)
+    drawn = tilemap.filter("tile_index > 0").join(tiles, [set_key, "tile_index"])
+    return drawn.select(set_key, (F.col("u") * size + turned("flip_x", px)).alias("x"), (F.col("w") * size + turned("flip_y", py)).alias("y"), "v")
+
+
 def pack_tiles(tilemap: DataFrame, set_key: str = "image_id") -> DataFrame:
     """(set, tile_index, packed): tiles in use, numbered densely in their order."""
     used = tilemap.filter("tile_index > 0").select(set_key, "tile_index").distinct()

@@ -12,7 +12,11 @@ from spritespark.sources import files
 from spritespark.sources import fixtures as X
 
 
-@query("flood_select")
+_REGION = "ok AS (SELECT p.image_id, p.x, p.y FROM emb_gray p JOIN seeds s ON s.image_id=p.image_id WHERE abs(p.v-s.seed)<=20), hit AS (SELECT image_id, CAST(3 AS BIGINT) AS x, CAST(3 AS BIGINT) AS y FROM seeds UNION SELECT ok.image_id, ok.x, ok.y FROM hit JOIN ok ON ok.image_id=hit.image_id AND abs(ok.x-hit.x)+abs(ok.y-hit.y)=1)"
+_SEEDS = "seeds AS (SELECT image_id, v AS seed FROM emb_gray WHERE x=3 AND y=3)"
+
+
+@query("flood_select", f"WITH RECURSIVE {_SEEDS}, {_REGION} SELECT image_id, x, y FROM hit")
 def flood_select(spark, d):
     return G.flood_select(X.emb_gray(spark, d), 3, 3, 20)
 
@@ -20,12 +24,15 @@ def flood_select(spark, d):
 @query("flood_fill", "WITH s AS (SELECT image_id, v AS seed FROM emb_gray WHERE x=3 AND y=3) SELECT p.image_id, p.x, p.y, CASE WHEN abs(p.v-s.seed)<=20 THEN 255 ELSE p.v END AS v FROM emb_gray p JOIN s ON s.image_id=p.image_id")
 def flood_fill(spark, d):
     """Everywhere: the colour of the seed is replaced in the whole image."""
-    p = X.emb_gray(spark, d)
-    seed = p.filter("x = 3 AND y = 3").select("image_id", F.col("v").alias("seed"))
-    return p.join(seed, "image_id").select("image_id", "x", "y", F.when(F.abs(F.col("v") - F.col("seed")) <= 20, 255).otherwise(F.col("v")).alias("v"))
+    return G.flood_fill(X.emb_gray(spark, d).drop("sprite_id"), 3, 3, 20, 255, contiguous=False)
+
 
+@query("flood_fill_contiguous", f"WITH RECURSIVE {_SEEDS}, {_REGION} SELECT p.image_id, p.sprite_id, p.x, p.y, CASE WHEN hit.x IS NULL THEN p.v ELSE 255 END AS v FROM emb_gray p LEFT JOIN hit ON hit.image_id=p.image_id AND hit.x=p.x AND hit.y=p.y")
+def flood_fill_contiguous(spark, d):
+    return G.flood_fill(X.emb_gray(spark, d), 3, 3, 20, 255)
 
-@query("connected_bg")
+
+@query("connected_bg", "WITH RECURSIVE ok AS (SELECT image_id, x, y FROM emb_gray WHERE v>=110), hit AS (SELECT image_id, x, y FROM ok WHERE x=0 OR y=0 OR x=7 OR y=7 UNION SELECT ok.image_id, ok.x, ok.y FROM hit JOIN ok ON ok.image_id=hit.image_id AND abs(ok.x-hit.x)+abs(ok.y-hit.y)=1) SELECT image_id, x, y FROM hit")
 def connected_bg(spark, d):
     return G.connected_background(X.emb_gray(spark, d).filter("v >= 110"), 8, 8)
 
@@ -40,10 +47,9 @@ def udf_image_map(spark, d):
     return G.map_images(X.emb_gray(spark, d), lambda g: g[::-1].T)
 
 
-@query("sheet_layout_wrapped", "WITH n AS (SELECT sheet, item, w, h, row_number() OVER (PARTITION BY sheet ORDER BY item) AS k, sum(w) OVER (PARTITION BY sheet ORDER BY item) AS s FROM samples) SELECT sheet, item, CAST(s-w AS BIGINT) AS x, 0 AS y, w, h FROM n")
+@query("sheet_layout_wrapped", "WITH RECURSIVE n AS (SELECT sheet, item, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h, row_number() OVER (PARTITION BY sheet ORDER BY item) AS k FROM samples), p AS (SELECT sheet, item, k, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, w, h, h AS band FROM n WHERE k=1 UNION ALL SELECT n.sheet, n.item, n.k, CASE WHEN p.x+p.w+n.w>40 THEN 0 ELSE p.x+p.w END, CASE WHEN p.x+p.w+n.w>40 THEN p.y+p.band ELSE p.y END, n.w, n.h, CASE WHEN p.x+p.w+n.w>40 THEN n.h ELSE greatest(p.band, n.h) END FROM p JOIN n ON n.sheet=p.sheet AND n.k=p.k+1) SELECT sheet, item, x, y, w, h FROM p")
 def sheet_layout_wrapped(spark, d):
-    """On a sheet as wide as all its samples, nothing wraps."""
-    return G.wrapped_layout(X.samples(spark, d), 1 << 20)
+    return G.wrapped_layout(X.samples(spark, d), 40)
 
 
 @query("sheet_layout_packed")
@@ -183,6 +189,13 @@ def tile_match(spark, d):
     return S.cut_tiles(bits, 2, 2).select("image_id", "u", "w", F.array_min(forms).alias("canonical"), (F.array_position(forms, F.array_min(forms)) - 1).alias("flip"))
 
 
+@query("best_trim_color", "WITH c AS (SELECT image_id, x, y, CASE WHEN v<70 THEN 0 WHEN v<150 THEN 200+256*200+65536*200+255*16777216::BIGINT ELSE 90+256*90+65536*90+255*16777216::BIGINT END AS c FROM emb_gray), e AS (SELECT image_id, max(c) FILTER (WHERE x=0 AND y=0) AS c1, max(c) FILTER (WHERE x=7 AND y=7) AS c2, bool_or(c=0) FILTER (WHERE y IN (0,7)) AS z1, bool_or(c=0) FILTER (WHERE x IN (0,7)) AS z2, count(DISTINCT c) FILTER (WHERE y=0)=1 AS t, count(DISTINCT c) FILTER (WHERE y=7)=1 AS b, count(DISTINCT c) FILTER (WHERE x=0)=1 AS l, count(DISTINCT c) FILTER (WHERE x=7)=1 AS r FROM c GROUP BY image_id) SELECT image_id, CAST(CASE WHEN z1 THEN 0 WHEN t AND b AND c1<>c2 THEN NULL WHEN z2 THEN 0 WHEN l AND r AND c1<>c2 THEN NULL WHEN (b AND NOT t) OR (r AND NOT l) THEN c2 ELSE c1 END AS BIGINT) AS color FROM e")
+def best_trim_color(spark, d):
+    shade = F.when(F.col("v") < 150, 200).otherwise(90)
+    p = X.emb_gray(spark, d).select("image_id", "x", "y", *(shade.alias(c) for c in "rgb"), F.when(F.col("v") < 70, 0).otherwise(255).alias("a"))
+    return P.trim_color(p, 8, 8)
+
+
 @query("palette_gradient", "SELECT sprite_id, i AS idx, CAST(floor((sprite_id%100) + ((200-(sprite_id%100))*i)/15.0 + 1e-9) AS BIGINT) AS r FROM turns, (SELECT unnest(range(16)) AS i)")
 def palette_gradient(spark, d):
     rows = X.turns(spark, d).select((F.col("sprite_id")).alias("sprite_id"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("idx"))

@@ -59,10 +59,14 @@ def sheet_verify(spark, d):
     return P.image_diff_count(p, cells, channels=("v",))
 
 
-@query("udf_kernel", "SELECT image_id, x, y, CASE WHEN a>0 THEN r ELSE 0 END AS r, CASE WHEN a>0 THEN g ELSE 0 END AS g, CASE WHEN a>0 THEN b ELSE 0 END AS b, a FROM emb_rgba")
+_KERNEL = "k AS (SELECT * FROM (VALUES (0,-1,1),(-1,0,2),(0,0,4),(1,0,1)) t(dx,dy,wt)), t AS (SELECT p.image_id, p.x AS tx, p.y AS ty, k.wt, q.r, q.g, q.b, q.a FROM emb_rgba p, k JOIN emb_rgba q ON true WHERE q.image_id=p.image_id AND q.x=greatest(0,least(7,p.x+k.dx)) AND q.y=greatest(0,least(7,p.y+k.dy)))"
+_WEIGHED = ", ".join(f"CAST(coalesce(sum(CASE WHEN a>0 THEN {c}*wt ELSE 0 END)//nullif(8-sum(CASE WHEN a>0 THEN 0 ELSE wt END),0),0) AS BIGINT) AS {c}" for c in "rgb")
+
+
+@query("udf_kernel", f"WITH {_KERNEL} SELECT image_id, tx AS x, ty AS y, {_WEIGHED}, CAST(sum(a*wt)//8 AS BIGINT) AS a FROM t GROUP BY image_id, tx, ty")
 def udf_kernel(spark, d):
-    """A user's kernel as text: the identity leaves visible pixels as they are and clears the others."""
-    kernel = [[int(v) for v in line.split()] for line in "0 0 0\n0 1 0\n0 0 0".splitlines()]
+    """A user's kernel as text: rows of weights."""
+    kernel = [[int(v) for v in line.split()] for line in "0 1 0\n2 4 1\n0 0 0".splitlines()]
     return N.convolve(X.emb_rgba(spark, d), 8, 8, kernel)
 
 
@@ -75,7 +79,7 @@ def udf_dither_matrix(spark, d):
 def dither_bayer_oklab(spark, d):
     """Nearest palette colour in OKLab after the matrix has moved the lightness; colours and phases are deduplicated first."""
     p = X.emb_rgba(spark, d).withColumn("phase", N.matrix_at(N.bayer(4)))
-    palette = X.pal256(spark).filter("idx % 8 = 0").select("idx", *(F.col(c).alias(f"p{c}") for c in "rgba"))
+    palette = _entries(spark)
     (l, a, b), (pl, pa, pb) = oklab(), oklab("pr", "pg", "pb")
     shifted = l + (F.col("phase") / 16.0 - 0.5) * 0.08
     distance = F.round((shifted - pl) * (shifted - pl) + (a - pa) * (a - pa) + (b - pb) * (b - pb), 9)
@@ -96,6 +100,26 @@ def src_palette_pal_act(spark, d):
     return files.parse_hex(lines).select(F.col("file").alias("sprite_id"), "idx", "r", "g", "b")
 
 
+@query("src_palette_pal", "SELECT sprite_id, frame_from, idx, r, g, b, a FROM palettes_asof")
+def src_palette_pal(spark, d):
+    """JASC texts of the palettes, with alpha, written and parsed again."""
+    key = F.concat_ws("/", "sprite_id", "frame_from")
+    entries = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", F.concat_ws(" ", *"rgba").alias("line")))), lambda e: e["line"]), "\r\n")
+    texts = X.palettes_asof(spark, d).groupBy(key.alias("file")).agg(F.concat(F.lit("JASC-PAL\r\n0100\r\n256\r\n"), entries, F.lit("\r\n")).alias("text"))
+    parsed = files.parse_pal(texts.select("file", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line")))
+    part = F.split("file", "/")
+    return parsed.select(part[0].cast("long").alias("sprite_id"), part[1].cast("int").alias("frame_from"), "idx", *"rgba")
+
+
+@query("src_palette_act", "SELECT sprite_id, idx, r, g, b FROM palettes_asof WHERE frame_from=3 AND idx < CASE WHEN sprite_id%2=0 THEN 256 ELSE 100+sprite_id%50 END")
+def src_palette_act(spark, d):
+    """Bytes of the palettes of frame 3, half of them with a count at the end, parsed again."""
+    colors = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", F.concat(*(F.lpad(F.hex(c), 2, "0") for c in "rgb")).alias("h")))), lambda e: e["h"]), "")
+    count = F.when(F.col("sprite_id") % 2 == 0, "").otherwise(F.lpad(F.hex(100 + F.col("sprite_id") % 50), 4, "0"))
+    texts = X.palettes_asof(spark, d).filter("frame_from = 3").groupBy("sprite_id").agg(colors.alias("h"))
+    return files.parse_act(texts.select(F.col("sprite_id").alias("file"), F.unhex(F.concat("h", count)).alias("content"))).withColumnRenamed("file", "sprite_id")
+
+
 @query("compose_groups", "SELECT sprite_id, frame, x, y, r, g, b, CASE WHEN layer=0 THEN 128 ELSE 200 END AS a FROM anim_rgba WHERE a>0")
 def compose_groups(spark, d):
     """System layers in one group, the others in a second; each frame has one layer, which takes its group's opacity."""
@@ -128,8 +152,8 @@ def mask_bounds(spark, d):
     return P.bounds(S.mask_add(X.emb_gray(spark, d).filter("v % 3 = 0").select("image_id", "x", "y"), X.emb_gray(spark, d).filter("v % 6 = 0").select("image_id", "x", "y")), ("image_id",))
 
 
-def _eight(spark):
-    return X.pal256(spark).filter("idx % 8 = 0").select("idx", *(F.col(c).alias(f"p{c}") for c in "rgba"))
+def _entries(spark):
+    return X.pal256(spark).select("idx", *(F.col(c).alias(f"p{c}") for c in "rgba"))
 
 
 @query("cielab", "WITH n AS (SELECT DISTINCT r, g, b FROM emb_rgba), l AS (SELECT r, g, b, CASE WHEN r/255.0::DOUBLE<=0.04045 THEN r/255.0::DOUBLE/12.92 ELSE pow((r/255.0::DOUBLE+0.055)/1.055,2.4) END AS x1, CASE WHEN g/255.0::DOUBLE<=0.04045 THEN g/255.0::DOUBLE/12.92 ELSE pow((g/255.0::DOUBLE+0.055)/1.055,2.4) END AS x2, CASE WHEN b/255.0::DOUBLE<=0.04045 THEN b/255.0::DOUBLE/12.92 ELSE pow((b/255.0::DOUBLE+0.055)/1.055,2.4) END AS x3 FROM n), z AS (SELECT r, g, b, 100*(0.4124::DOUBLE*x1+0.3576::DOUBLE*x2+0.1805::DOUBLE*x3)/95.047::DOUBLE AS x, (0.2126::DOUBLE*x1+0.7152::DOUBLE*x2+0.0722::DOUBLE*x3) AS y, 100*(0.0193::DOUBLE*x1+0.1192::DOUBLE*x2+0.9505::DOUBLE*x3)/108.883::DOUBLE AS z FROM l), f AS (SELECT r, g, b, CASE WHEN x>0.008856 THEN cbrt(x) ELSE 7.787::DOUBLE*x+16/116.0::DOUBLE END AS x, CASE WHEN y>0.008856 THEN cbrt(y) ELSE 7.787::DOUBLE*y+16/116.0::DOUBLE END AS y, CASE WHEN z>0.008856 THEN cbrt(z) ELSE 7.787::DOUBLE*z+16/116.0::DOUBLE END AS z FROM z) SELECT r, g, b, CAST(round(100*(116*y-16)) AS BIGINT) AS cl, CAST(round(100*500*(x-y)) AS BIGINT) AS ca, CAST(round(100*200*(y-z)) AS BIGINT) AS cb FROM f")
@@ -137,11 +161,19 @@ def cielab_query(spark, d):
     return X.emb_rgba(spark, d).select("r", "g", "b").distinct().select("r", "g", "b", *(F.round(100 * c).cast("long").alias(n) for n, c in zip(("cl", "ca", "cb"), cielab(), strict=True)))
 
 
-@query("dither_ordered_old")
+def _square(one, two):
+    return "+".join(f"({a}-{b})*({a}-{b})" for a, b in zip(one, two, strict=True))
+
+
+_OWN, _ENTRY, _FIRST, _MIRROR = ("c.r", "c.g", "c.b"), ("q.r", "q.g", "q.b"), ("m.r1", "m.g1", "m.b1"), ("m.mr", "m.mg", "m.mb")
+_TWO = f"c AS (SELECT DISTINCT r, g, b FROM emb_rgba), n AS (SELECT c.r, c.g, c.b, q.idx AS i1, q.r AS r1, q.g AS g1, q.b AS b1, {_square(_OWN, _ENTRY)} AS d1, row_number() OVER (PARTITION BY c.r, c.g, c.b ORDER BY {_square(_OWN, _ENTRY)}, q.idx) AS k FROM c, pal256 q), m AS (SELECT r, g, b, i1, r1, g1, b1, d1, greatest(0,least(255,2*r-r1)) AS mr, greatest(0,least(255,2*g-g1)) AS mg, greatest(0,least(255,2*b-b1)) AS mb FROM n WHERE k=1), t AS (SELECT m.r, m.g, m.b, m.i1, m.d1, q.idx AS i2, {_square(_FIRST, _ENTRY)} AS apart, row_number() OVER (PARTITION BY m.r, m.g, m.b ORDER BY {_square(_MIRROR, _ENTRY)}, q.idx) AS k FROM m, pal256 q)"
+
+
+@query("dither_ordered_old", f"WITH {_TWO} SELECT p.image_id, p.x, p.y, CASE WHEN ([0,2,3,1][1+(y%2)*2+x%2]*4 + [0,2,3,1][1+((y//2)%2)*2+(x//2)%2])*apart < d1*16 THEN i2 ELSE i1 END AS idx FROM emb_rgba p JOIN t ON t.r=p.r AND t.g=p.g AND t.b=p.b WHERE t.k=1")
 def dither_ordered_old(spark, d):
     """Two nearest colours, the second for the mirrored error; the matrix chooses by their distances."""
     p = X.emb_rgba(spark, d)
-    palette = _eight(spark)
+    palette = _entries(spark)
     square = sum(((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in "rgb"), F.lit(0))
     entry = lambda k: palette.select(F.col("idx").alias(f"i{k}"), *(F.col(f"p{c}").alias(f"{c}{k}") for c in "rgb"))
     one = L.nearest_palette(p, palette, square, ("r", "g", "b")).select("r", "g", "b", F.col("idx").alias("i1"), F.col("distance").alias("d1")).join(F.broadcast(entry(1)), "i1")

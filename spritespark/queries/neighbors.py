@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from spritespark.functions.blend import SEPARABLE
 from spritespark.operators import neighbors as N
 from spritespark.plans.sheet_export import export_sheet
+from spritespark.queries.points import _sql_modes
 from spritespark.queries.registry import query
 from spritespark.sources import fixtures as X
 
@@ -48,7 +50,7 @@ _simple("pixel_runs", "SELECT image_id, y, min(x) AS x1, max(x) AS x2 FROM (SELE
 _simple("edge_signal", "SELECT image_id, 'x' AS axis, x AS at, round(avg(d),6) AS signal FROM (SELECT p.image_id, p.x, abs(p.v-q.v) AS d FROM emb_gray p JOIN emb_gray q ON q.image_id=p.image_id AND q.x=p.x-1 AND q.y=p.y) GROUP BY image_id, x UNION ALL SELECT image_id, 'y', y, round(avg(d),6) FROM (SELECT p.image_id, p.y, abs(p.v-q.v) AS d FROM emb_gray p JOIN emb_gray q ON q.image_id=p.image_id AND q.y=p.y-1 AND q.x=p.x) GROUP BY image_id, y", lambda p: N.edge_signal(p).withColumn("signal", F.round("signal", 6)), X.emb_gray)
 _simple("cell_median_resample", "SELECT image_id, x//4 AS u, y//4 AS w, CAST(floor(median(v)) AS BIGINT) AS v FROM emb_gray GROUP BY image_id, x//4, y//4", lambda p: N.cell_medians(p, 4), X.emb_gray)
 _simple("border_model_flat", "WITH e AS (SELECT image_id, v//32 AS v, count(*) AS n FROM emb_gray WHERE x=0 OR y=0 OR x=7 OR y=7 GROUP BY image_id, v//32) SELECT * FROM (SELECT image_id, v, n, round(n/sum(n) OVER (PARTITION BY image_id),6) AS share, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, v) AS place FROM e) WHERE place<=12 AND share>=0.004", lambda p: N.border_shares(p.withColumn("v", F.floor(F.col("v") / 32)), 8, 8, channels=("v",)).withColumn("share", F.round("share", 6)), X.emb_gray)
-_simple("border_model_gradient", "SELECT image_id, CAST(floor(1000*regr_slope(v, x)+0.5+1e-6) AS BIGINT) AS q1000, CAST(floor(1000*regr_slope(v, y)+0.5+1e-6) AS BIGINT) AS r1000 FROM emb_gray GROUP BY image_id", lambda p: N.plane_fit(p).select("image_id", F.floor(1000 * F.col("q") + 0.5 + 1e-6).cast("long").alias("q1000"), F.floor(1000 * F.col("r") + 0.5 + 1e-6).cast("long").alias("r1000")), X.emb_gray)
+_simple("border_model_gradient", "WITH e AS (SELECT * FROM emb_gray WHERE x=0 OR y=0 OR x=7 OR y=7), s AS (SELECT image_id, regr_slope(v, x) AS q, regr_slope(v, y) AS r, avg(v) AS m FROM e GROUP BY image_id) SELECT e.image_id, CAST(floor(1000*min(q)+0.5+1e-6) AS BIGINT) AS q1000, CAST(floor(1000*min(r)+0.5+1e-6) AS BIGINT) AS r1000, CAST(floor(1000*sqrt(avg(pow(v-m-q*(x-3.5)-r*(y-3.5), 2)))+0.5+1e-6) AS BIGINT) AS rms1000 FROM e JOIN s ON s.image_id=e.image_id GROUP BY e.image_id", lambda p: N.plane_error(N.border(p, 8, 8), N.plane_fit(N.border(p, 8, 8))).select("image_id", *(F.floor(1000 * F.col(c) + 0.5 + 1e-6).cast("long").alias(f"{c}1000") for c in ("q", "r", "rms"))), X.emb_gray)
 
 
 @query("bg_remove", "WITH e AS (SELECT image_id, r, g, b, count(*) AS n FROM emb_rgba WHERE x=0 OR y=0 OR x=7 OR y=7 GROUP BY image_id, r, g, b), m AS (SELECT image_id, r, g, b FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, r, g, b) AS k FROM e) WHERE k<=2) SELECT p.image_id, p.x, p.y, p.r, p.g, p.b, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.image_id=p.image_id AND abs(m.r-p.r)<=10 AND abs(m.g-p.g)<=10 AND abs(m.b-p.b)<=10) THEN 0 ELSE p.a END AS a FROM emb_rgba p")
@@ -77,15 +79,19 @@ def _un8(a, b):
     return f"((((({a})*({b})+128)>>8)+({a})*({b})+128)>>8)"
 
 
-def _fold():
-    """Three places, back to front, normal mode: each step composes the next place's pixel over what is there."""
-    steps, before = [], "(SELECT DISTINCT sprite_id, frame, x, y, 0 AS r, 0 AS g, 0 AS b, 0 AS a FROM l)"
-    for k in range(3):
+def _fold(rows="l", out="f", places=(0, 1, 2), modes=None):
+    """The places of a table, back to front: each step composes the next place's pixel over what is there.
+
+    modes: SQL of a mode's number for the source s, and the modes by number; without them, all are normal.
+    """
+    steps, before = [], f"(SELECT DISTINCT sprite_id, frame, x, y, 0 AS r, 0 AS g, 0 AS b, 0 AS a FROM {rows})"
+    for k, place in enumerate(places):
         sa = _un8("coalesce(s.a,0)", "coalesce(s.opacity,0)")
         ra = f"({sa}+z.a-{_un8('z.a', sa)})"
-        cols = ", ".join(f"CASE WHEN z.a=0 THEN coalesce(s.{c},0) WHEN {sa}=0 THEN z.{c} ELSE z.{c}+((s.{c}-z.{c})*{sa})//nullif({ra},0) END AS {c}" for c in "rgb")
-        steps.append(f"f{k} AS (SELECT z.sprite_id, z.frame, z.x, z.y, {cols}, CASE WHEN z.a=0 THEN {sa} WHEN {sa}=0 THEN z.a ELSE {ra} END AS a FROM {before} z LEFT JOIN l s ON s.sprite_id=z.sprite_id AND s.frame=z.frame AND s.x=z.x AND s.y=z.y AND s.place={k})")
-        before = f"f{k}"
+        toned = lambda c: f"s.{c}" if modes is None else f"(CASE {modes[0]} " + " ".join(f"WHEN {i} THEN {_sql_modes()[m](f'z.{c}', f's.{c}')}" for i, m in enumerate(modes[1])) + " END)"
+        cols = ", ".join(f"CASE WHEN z.a=0 THEN coalesce(s.{c},0) WHEN {sa}=0 THEN z.{c} ELSE z.{c}+(({toned(c)}-z.{c})*{sa})//nullif({ra},0) END AS {c}" for c in "rgb")
+        steps.append(f"{out}{k} AS (SELECT z.sprite_id, z.frame, z.x, z.y, {cols}, CASE WHEN z.a=0 THEN {sa} WHEN {sa}=0 THEN z.a ELSE {ra} END AS a FROM {before} z LEFT JOIN {rows} s ON s.sprite_id=z.sprite_id AND s.frame=z.frame AND s.x=z.x AND s.y=z.y AND s.place={place})")
+        before = f"{out}{k}"
     return ", ".join(steps)
 
 
@@ -112,6 +118,35 @@ def sheet_export(spark, d):
     return export_sheet(*_cels(spark, d))
 
 
-@query("onion_skin")
-def onion_skin(spark, d):
-    return N.onion_skin(X.anim_rgba(spark, d).drop("layer", "idx"), 2, 128, 48)
+#: The modes that are exact in whole numbers.
+_EXACT = [m for m in SEPARABLE if m != "soft_light"]
+
+
+@query("flatten_modes", f"WITH {_FRAMES}, {_fold(modes=(f'(s.sprite_id+5*s.place)%{len(_EXACT)}', _EXACT))} SELECT sprite_id, frame, x, y, r, g, b, a FROM f2 WHERE a>0")
+def flatten_modes(spark, d):
+    """A mode for each sprite and place."""
+    from spritespark.operators.structure import render_order
+
+    cels, pixels = _cels(spark, d)
+    mode = F.element_at(F.array(*map(F.lit, _EXACT)), ((F.col("sprite_id") + 5 * F.col("place")) % len(_EXACT) + 1).cast("int"))
+    return N.flatten(pixels.join(render_order(cels, ["sprite_id", "frame"]).withColumn("mode", mode), ["sprite_id", "frame", "layer"]))
+
+
+_GROUPS = f"{_FRAMES}, below AS (SELECT * EXCLUDE (place), layer AS place FROM l WHERE layer=0), above AS (SELECT * EXCLUDE (place), layer AS place FROM l WHERE layer>0), {_fold('below', 'ga', (0,))}, {_fold('above', 'gb', (1, 2))}, gs AS (SELECT *, 0 AS place, 128 AS opacity FROM ga0 WHERE a>0 UNION ALL SELECT *, 1, 200 FROM gb1 WHERE a>0), {_fold('gs', 'gz', (0, 1), ('s.place', ['normal', 'multiply']))}"
+
+
+@query("compose_groups_stacked", f"WITH {_GROUPS} SELECT sprite_id, frame, x, y, r, g, b, a FROM gz1 WHERE a>0")
+def compose_groups_stacked(spark, d):
+    """The lowest layer alone, the two above it as a group that multiplies it."""
+    cels, pixels = _cels(spark, d)
+    p = pixels.join(cels.drop("z"), ["sprite_id", "frame", "layer"]).withColumns({"place": F.col("layer"), "group_id": F.when(F.col("layer") == 0, 0).otherwise(1)})
+    groups = spark.createDataFrame([(0, 0, 128, "normal"), (1, 1, 200, "multiply")], "group_id int, place int, opacity int, mode string")
+    return N.compose_groups(p.drop("layer"), groups)
+
+
+_LUMA = "(r*2126+g*7152+b*722)//10000"
+_GHOSTS = "g AS (SELECT p.sprite_id, p.frame+k.k AS frame, x, y, k.k, k.place, k.opacity, {rgb}, a FROM anim_rgba p, (VALUES (2,-2,80),(1,-1,128),(-1,1,128),(0,2,255)) k(k,place,opacity) WHERE a>0), l AS (SELECT g.* FROM g JOIN (SELECT DISTINCT sprite_id, frame FROM anim) f ON f.sprite_id=g.sprite_id AND f.frame=g.frame)"
+_TINTED = f"CASE WHEN k.k=0 THEN r WHEN k.k>0 THEN (255+{_LUMA})//2 ELSE {_LUMA}//2 END AS r, CASE WHEN k.k=0 THEN g ELSE {_LUMA}//2 END AS g, CASE WHEN k.k=0 THEN b WHEN k.k<0 THEN (255+{_LUMA})//2 ELSE {_LUMA}//2 END AS b"
+
+for _name, _rgb, _tint in (("onion_skin", "r, g, b", False), ("onion_skin_tint", _TINTED, True)):
+    query(_name, f"WITH {_GHOSTS.format(rgb=_rgb)}, {_fold(places=(-2, -1, 1, 2))} SELECT sprite_id, frame, x, y, r, g, b, a FROM f3 WHERE a>0")(lambda spark, d, tint=_tint: N.onion_skin(X.anim_rgba(spark, d).drop("layer", "idx"), 2, 128, 48, after=1, tint=tint))

@@ -208,7 +208,7 @@ def image_diff_count(spark, d):
     return P.image_diff_count(p, p.withColumn("x", 7 - F.col("x")))
 
 
-@query("frame_delta_bounds", "WITH f AS (SELECT DISTINCT sprite_id, frame FROM anim), n AS (SELECT sprite_id, frame, x, y, idx FROM anim WHERE idx <> 32), o AS (SELECT n.sprite_id, n.frame+1 AS frame, x, y, idx AS old FROM n JOIN f ON f.sprite_id=n.sprite_id AND f.frame=n.frame+1), j AS (SELECT coalesce(n.sprite_id,o.sprite_id) AS sprite_id, coalesce(n.frame,o.frame) AS frame, coalesce(n.x,o.x) AS x, coalesce(n.y,o.y) AS y, idx, old FROM n FULL JOIN o ON n.sprite_id=o.sprite_id AND n.frame=o.frame AND n.x=o.x AND n.y=o.y) SELECT sprite_id, frame, min(x) AS x, min(y) AS y, max(x)-min(x)+1 AS w, max(y)-min(y)+1 AS h, bool_or(idx IS NULL) AS cleared FROM j WHERE idx IS DISTINCT FROM old GROUP BY sprite_id, frame")
+@query("frame_delta_bounds", "WITH f AS (SELECT DISTINCT sprite_id, frame FROM anim), n AS (SELECT sprite_id, frame, x, y, idx FROM anim WHERE idx <> 32), o AS (SELECT n.sprite_id, n.frame+1 AS frame, x, y, idx AS old FROM n JOIN f ON f.sprite_id=n.sprite_id AND f.frame=n.frame+1), j AS (SELECT coalesce(n.sprite_id,o.sprite_id) AS sprite_id, coalesce(n.frame,o.frame) AS frame, coalesce(n.x,o.x) AS x, coalesce(n.y,o.y) AS y, idx, old FROM n FULL JOIN o ON n.sprite_id=o.sprite_id AND n.frame=o.frame AND n.x=o.x AND n.y=o.y) SELECT sprite_id, min(frame) AS frame, 0 AS x, 0 AS y, max(x)+1 AS w, max(y)+1 AS h, false AS cleared FROM anim GROUP BY sprite_id UNION ALL SELECT sprite_id, frame, min(x), min(y), max(x)-min(x)+1, max(y)-min(y)+1, bool_or(idx IS NULL) FROM j WHERE idx IS DISTINCT FROM old AND frame > (SELECT min(f.frame) FROM f WHERE f.sprite_id=j.sprite_id) GROUP BY sprite_id, frame")
 def frame_delta_bounds(spark, d):
     return P.frame_delta(X.anim_rgba(spark, d))
 

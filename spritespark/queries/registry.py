@@ -42,6 +42,8 @@ def expanded(sql: str) -> str:
     own = sql.strip()
     if not head:
         return own
+    if own.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {own[15:]}"
     return f"WITH {head}, {own[5:]}" if own[:5].upper() == "WITH " else f"WITH {head} {own}"
 
 

@@ -55,11 +55,11 @@ def pick_cels(spark, d):
 
 
 def _small(spark):
-    return X.pal256(spark).filter("idx % 8 = 0").select("idx", *(F.col(c).alias(f"p{c}") for c in "rgba"))
+    return X.pal256(spark).select("idx", *(F.col(c).alias(f"p{c}") for c in "rgba"))
 
 
 _DIST = "900*((c.r>>3)-(q.r>>3))*((c.r>>3)-(q.r>>3))+3481*((c.g>>3)-(q.g>>3))*((c.g>>3)-(q.g>>3))+121*((c.b>>3)-(q.b>>3))*((c.b>>3)-(q.b>>3))+64*((c.a>>3)-(q.a>>3))*((c.a>>3)-(q.a>>3))"
-_NEAR = "WITH c AS (SELECT DISTINCT r, g, b, a FROM emb_rgba), m AS (SELECT c.r, c.g, c.b, c.a, q.idx, {d} AS d FROM c JOIN pal256 q ON q.idx%8=0) SELECT r, g, b, a, idx, {out} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY r, g, b, a ORDER BY d, idx) AS k FROM m) WHERE k=1"
+_NEAR = "WITH c AS (SELECT DISTINCT r, g, b, a FROM emb_rgba), m AS (SELECT c.r, c.g, c.b, c.a, q.idx, {d} AS d FROM c JOIN pal256 q ON true) SELECT r, g, b, a, idx, {out} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY r, g, b, a ORDER BY d, idx) AS k FROM m) WHERE k=1"
 
 
 @query("nearest_palette", _NEAR.format(d=_DIST, out="CAST(d AS BIGINT)"))
@@ -73,13 +73,20 @@ def nearest_palette_space(spark, d):
     return L.nearest_palette(X.emb_rgba(spark, d), _small(spark), square)
 
 
-@query("nearest_palette_lab")
+_LINEAR = ", ".join(f"CASE WHEN {c}/255.0::DOUBLE<=0.04045 THEN {c}/255.0::DOUBLE/12.92 ELSE pow(({c}/255.0::DOUBLE+0.055)/1.055,2.4) END AS {n}" for c, n in zip("rgb", ("x1", "x2", "x3"), strict=True))
+_COLORS = f"u AS (SELECT r, g, b FROM emb_rgba UNION SELECT r, g, b FROM pal256), lin AS (SELECT r, g, b, {_LINEAR} FROM u)"
+_CIE = "xyz AS (SELECT r, g, b, 100*(0.4124::DOUBLE*x1+0.3576::DOUBLE*x2+0.1805::DOUBLE*x3)/95.047::DOUBLE AS x, 0.2126::DOUBLE*x1+0.7152::DOUBLE*x2+0.0722::DOUBLE*x3 AS y, 100*(0.0193::DOUBLE*x1+0.1192::DOUBLE*x2+0.9505::DOUBLE*x3)/108.883::DOUBLE AS z FROM lin), cut AS (SELECT r, g, b, " + ", ".join(f"CASE WHEN {c}>0.008856 THEN cbrt({c}) ELSE 7.787::DOUBLE*{c}+16/116.0::DOUBLE END AS {c}" for c in "xyz") + " FROM xyz), lab AS (SELECT r, g, b, 116*y-16 AS l1, 500*(x-y) AS l2, 200*(y-z) AS l3 FROM cut)"
+_OK = "lms AS (SELECT r, g, b, cbrt(0.4122214708::DOUBLE*x1+0.5363325363::DOUBLE*x2+0.0514459929::DOUBLE*x3) AS l, cbrt(0.2119034982::DOUBLE*x1+0.6806995451::DOUBLE*x2+0.1073969566::DOUBLE*x3) AS m, cbrt(0.0883024619::DOUBLE*x1+0.2817188376::DOUBLE*x2+0.6299787005::DOUBLE*x3) AS s FROM lin), lab AS (SELECT r, g, b, 0.2104542553::DOUBLE*l+0.7936177850::DOUBLE*m-0.0040720468::DOUBLE*s AS l1, 1.9779984951::DOUBLE*l-2.4285922050::DOUBLE*m+0.4505937099::DOUBLE*s AS l2, 0.0259040371::DOUBLE*l+0.7827717662::DOUBLE*m-0.8086757660::DOUBLE*s AS l3 FROM lms)"
+_LAB_NEAR = "c AS (SELECT d.a, lab.* FROM (SELECT DISTINCT r, g, b, a FROM emb_rgba) d JOIN lab USING (r, g, b)), q AS (SELECT p.idx, lab.* FROM pal256 p JOIN lab USING (r, g, b)), m AS (SELECT c.r, c.g, c.b, c.a, q.idx, round((c.l1-q.l1)*(c.l1-q.l1)+(c.l2-q.l2)*(c.l2-q.l2)+(c.l3-q.l3)*(c.l3-q.l3), {digits}) AS d FROM c, q), k AS (SELECT *, row_number() OVER (PARTITION BY r, g, b, a ORDER BY d, idx) AS k FROM m) SELECT r, g, b, a, idx, {out} AS distance FROM k WHERE k=1"
+
+
+@query("nearest_palette_lab", f"WITH {_COLORS}, {_CIE}, {_LAB_NEAR.format(digits=6, out='round(d, 4)')}")
 def nearest_palette_lab(spark, d):
     lab = sum(((a - b) * (a - b) for a, b in zip(cielab(), cielab("pr", "pg", "pb"), strict=True)), F.lit(0.0))
-    return L.nearest_palette(X.emb_rgba(spark, d), _small(spark), F.round(lab, 6))
+    return L.nearest_palette(X.emb_rgba(spark, d), _small(spark), F.round(lab, 6)).withColumn("distance", F.round("distance", 4))
 
 
-@query("snap_oklab")
+@query("snap_oklab", f"WITH {_COLORS}, {_OK}, {_LAB_NEAR.format(digits=9, out='round(sqrt(d), 6)')}")
 def snap_oklab(spark, d):
     lab = sum(((a - b) * (a - b) for a, b in zip(oklab(), oklab("pr", "pg", "pb"), strict=True)), F.lit(0.0))
     return L.nearest_palette(X.emb_rgba(spark, d), _small(spark), F.round(lab, 9)).withColumn("distance", F.round(F.sqrt("distance"), 6))
@@ -118,9 +125,14 @@ def sprite_diff(spark, d):
 @query("remap", "SELECT idx AS src, sprite_id, (idx*5%256 + sprite_id)%256 AS dst FROM (SELECT DISTINCT sprite_id, idx FROM anim)")
 def remap(spark, d):
     used = X.anim(spark, d).select("sprite_id", F.col("idx").alias("src")).distinct()
-    first = used.select("sprite_id", "src", (F.col("src") * 5 % 256).alias("mid"))
-    then = X.turns(spark, d).select("sprite_id", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("mid")).withColumn("dst", (F.col("mid") + F.col("sprite_id")) % 256)
-    return first.join(then, ["sprite_id", "mid"]).select("src", "sprite_id", "dst")
+    then = X.turns(spark, d).select("sprite_id", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("src")).withColumn("dst", (F.col("src") + F.col("sprite_id")) % 256)
+    return L.compose_remaps(used.withColumn("dst", F.col("src") * 5 % 256), then, ("sprite_id",))
+
+
+@query("remap_invert", "SELECT sprite_id, idx*5%64 AS src, min(idx) AS dst FROM anim GROUP BY sprite_id, idx*5%64")
+def remap_invert(spark, d):
+    used = X.anim(spark, d).select("sprite_id", F.col("idx").alias("src")).distinct()
+    return L.invert_remap(used.withColumn("dst", F.col("src") * 5 % 64), ("sprite_id",))
 
 
 # time
@@ -328,3 +340,13 @@ def tilemap_render(spark, d):
     tileset, tilemap = _tiles(spark, d)
     drawn = tilemap.filter("tile_index > 0").join(tileset, ["image_id", "tile_index"]).select("image_id", "u", "w", F.posexplode(F.split("tile", ",")).alias("p", "c"))
     return drawn.select("image_id", (F.col("u") * 2 + F.col("p") % 2).alias("x"), (F.col("w") * 2 + F.floor(F.col("p") / 2)).alias("y"), F.col("c").cast("int").alias("v"))
+
+
+@query("tilemap_render_flips", f"WITH {_CELLS}, {_SET}, m AS (SELECT c.image_id, c.u, c.w, ts.tile, c.u%2=1 AS fx, c.w%2=1 AS fy, (c.u+c.w)%3=0 AS fd FROM cells c JOIN ts ON ts.image_id=c.image_id AND ts.tile=c.tile), t AS (SELECT m.*, i%2 AS x, i//2 AS y, CASE WHEN fx THEN 1-i%2 ELSE i%2 END AS px, CASE WHEN fy THEN 1-i//2 ELSE i//2 END AS py FROM m, range(4) r(i)) SELECT image_id, u*2+x AS x, w*2+y AS y, CAST(string_split(tile, ',')[1+CASE WHEN fd THEN px*2+py ELSE py*2+px END] AS BIGINT) AS v FROM t")
+def tilemap_render_flips(spark, d):
+    """Cells flipped by their place in the map."""
+    tileset, tilemap = _tiles(spark, d)
+    flips = {"flip_x": F.col("u") % 2 == 1, "flip_y": F.col("w") % 2 == 1, "flip_d": (F.col("u") + F.col("w")) % 3 == 0}
+    each = tileset.select("image_id", "tile_index", F.posexplode(F.split("tile", ",")).alias("p", "c"))
+    tiles = each.select("image_id", "tile_index", (F.col("p") % 2).alias("x"), F.floor(F.col("p") / 2).alias("y"), F.col("c").cast("int").alias("v"))
+    return S.draw_tiles(tilemap.withColumns(flips), tiles, 2)

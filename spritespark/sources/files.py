@@ -34,10 +34,32 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return files
 
 
+def parse_pal(lines: DataFrame) -> DataFrame:
+    """lines: file, line_no (from 0), line. (file, idx, r, g, b, a) of files whose first two lines are JASC-PAL and 0100.
+
+    Alpha is 255 where a line has three numbers; empty lines are skipped, the third line's count is not used.
+    """
+    from pyspark.sql import Window
+
+    entry = r"^\s*(\d{1,3})\s+(\d{1,3})\s+(\d{1,3})(?:\s+(\d{1,3}))?\s*$"
+    head = lines.filter("line_no < 2").groupBy("file").agg(F.max(F.when(F.col("line_no") == 0, F.trim("line"))).alias("kind"), F.max(F.when(F.col("line_no") == 1, F.trim("line"))).alias("version"))
+    good = head.filter("kind = 'JASC-PAL' AND version = '0100'").select("file")
+    rows = lines.filter((F.col("line_no") > 2) & F.col("line").rlike(entry)).join(good, "file", "left_semi")
+    at = F.row_number().over(Window.partitionBy("file").orderBy("line_no")) - 1
+    channels = [F.regexp_extract("line", entry, i + 1) for i in range(4)]
+    return rows.select("file", at.alias("idx"), *(F.when(v == "", 255).otherwise(v.try_cast("int")).alias(c) for c, v in zip("rgba", channels, strict=True)))
+
+
 def read_act(spark: SparkSession, path: str) -> DataFrame:
-    """256 entries of three bytes each."""
-    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.hex("content").alias("h"))
-    each = raw.select("file", "h", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("idx"))
+    return parse_act(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content"))
+
+
+def parse_act(files: DataFrame) -> DataFrame:
+    """files: file, content. 256 entries of three bytes; two more bytes, high one first, say how many of them count."""
+    raw = files.select("file", F.hex("content").alias("h"))
+    given = F.conv(F.substring("h", 256 * 6 + 1, 4), 16, 10).cast("int")
+    most = F.when(F.length("h") >= 257 * 6 - 2, F.least(F.lit(256), given)).otherwise(256)
+    each = raw.select("file", "h", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("idx"), most.alias("most")).filter("idx < most")
     return each.select("file", "idx", *(F.conv(F.substr("h", F.col("idx") * 6 + 1 + 2 * i, F.lit(2)), 16, 10).cast("int").alias(c) for i, c in enumerate("rgb")))
 
 
