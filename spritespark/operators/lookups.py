@@ -19,10 +19,12 @@ def palette_lookup(indexed: DataFrame, palette: DataFrame, keys: tuple = (), mas
 
 
 def as_of(rows: DataFrame, keyed: DataFrame, keys: list[str], at: str = "frame", since: str = "frame_from", kind: str = "left") -> DataFrame:
-    """The key in force: the last with since <= at. Keys become intervals first, so each row meets one of them."""
-    w = Window.partitionBy(*keys).orderBy(since)
-    starts = keyed.select(*keys, since).distinct().withColumn("__until", F.lead(since).over(w))
-    spans = rows.select(*keys, at).distinct().join(starts, keys).filter((F.col(since) <= F.col(at)) & (F.col("__until").isNull() | (F.col(at) < F.col("__until")))).drop("__until")
+    """The key in force: the last with since <= at. One window over both sides' points finds it, so that no pair is made in vain."""
+    starts = keyed.select(*keys, F.col(since).alias(at), F.col(since).alias("__since"), F.lit(0).alias("__asked")).distinct()
+    asked = rows.select(*keys, at).distinct().withColumns({"__since": F.lit(None), "__asked": F.lit(1)})
+    w = Window.partitionBy(*keys).orderBy(at, "__asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = starts.unionByName(asked).withColumn(since, F.last("__since", ignorenulls=True).over(w))
+    spans = found.filter((F.col("__asked") == 1) & F.col(since).isNotNull()).select(*keys, at, since)
     return rows.join(spans, [*keys, at], kind).join(keyed, [*keys, since], kind)
 
 

@@ -126,6 +126,21 @@ def _over_sql(mixed, opacity):
     return ", ".join([*out, f"(CASE WHEN ba=0 THEN {sa} WHEN {sa}=0 THEN ba ELSE {ra} END) AS a"])
 
 
+def _toned_sql(mode):
+    """CTEs from pair to tone (its columns and m1, m2, m3): a colour given another's luminosity, cut to 0..1 by its own."""
+    lum = lambda c: f"(0.3::DOUBLE*{c}1+0.59::DOUBLE*{c}2+0.11::DOUBLE*{c}3)"
+    low, high = (lambda c: f"least({c}1,{c}2,{c}3)"), (lambda c: f"greatest({c}1,{c}2,{c}3)")
+    of, to, given = {"hue": ("s", "b", "b"), "saturation": ("b", "s", "b"), "color": ("s", None, "b"), "luminosity": ("b", None, "s")}[mode]
+    each = lambda f: ", ".join(f(i) for i in (1, 2, 3))
+    spread = (lambda i: f"CASE WHEN {high(of)}>{low(of)} THEN ({of}{i}-{low(of)})*({high(to)}-{low(to)})/({high(of)}-{low(of)}) ELSE 0.0::DOUBLE END AS c{i}") if to else (lambda i: f"{of}{i} AS c{i}")
+    unit = ", ".join(f"{side}{c}/255.0::DOUBLE AS {side}{i}" for side in "bs" for i, c in enumerate("rgb", 1))
+    return (
+        f"n AS (SELECT *, {unit} FROM pair), o AS (SELECT *, {each(spread)} FROM n), p AS (SELECT *, {each(lambda i: f'c{i}+({lum(given)}-{lum("c")}) AS e{i}')} FROM o), "
+        f"q AS (SELECT *, {each(lambda i: f'CASE WHEN {low("e")}<0 THEN {lum("e")}+(e{i}-{lum("e")})*{lum("e")}/nullif({lum("e")}-{low("e")},0) ELSE e{i} END AS f{i}')} FROM p), "
+        f"tone AS (SELECT *, {each(lambda i: f'CAST(floor(255*greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN {high("f")}>1 THEN {lum("f")}+(f{i}-{lum("f")})*(1-{lum("f")})/nullif({high("f")}-{lum("f")},0) ELSE f{i} END))+1e-9) AS BIGINT) AS m{i}')} FROM q)"
+    )
+
+
 def _register_blends():
     for mode, f in _sql_modes().items():
         sql = f"WITH {_PAIR} SELECT image_id, x, y, {_over_sql([f(f'b{c}', f's{c}') for c in 'rgb'], 200)} FROM pair"
@@ -142,7 +157,7 @@ def _register_blends():
             r = blend_rgba(mode, ["br", "bg", "bb", "ba"], ["sr", "sg", "sb", "sa"], 255)
             return _pair(spark, d).select("image_id", "x", "y", *(c.alias(n) for c, n in zip(r, "rgba", strict=True)))
 
-        query(f"blend_{mode}")(run_hsl)
+        query(f"blend_{mode}", f"WITH {_PAIR}, {_toned_sql(mode)} SELECT image_id, x, y, {_over_sql(['m1', 'm2', 'm3'], 255)} FROM tone")(run_hsl)
 
 
 _register_blends()
