@@ -62,6 +62,18 @@ def weighted_distance() -> Column:
     return (part("r", 30) + part("g", 59) + part("b", 11) + part("a", 8)).cast("long")
 
 
+def to_indexed(pixels: DataFrame, palette: DataFrame, mask_index: int) -> DataFrame:
+    """Pixels with idx in place of their channels: transparent ones the mask index, else an equal entry, else the nearest.
+
+    palette: idx, r, g, b, a, at most 256 rows, broadcast; the first of equal entries wins, the mask index is none.
+    """
+    entries = palette.filter(F.col("idx") != mask_index)
+    equal = entries.groupBy(*"rgba").agg(F.min("idx").alias("__equal"))
+    near = nearest_palette(pixels.filter("a > 0"), entries.select("idx", *(F.col(c).alias(f"p{c}") for c in "rgba")), weighted_distance())
+    colors = near.join(F.broadcast(equal), list("rgba"), "left").select(*"rgba", F.coalesce("__equal", "idx").alias("idx"))
+    return pixels.join(colors, list("rgba"), "left").withColumn("idx", F.coalesce("idx", F.lit(mask_index))).drop(*"rgba")
+
+
 def used_entries(palette: DataFrame, pixels: DataFrame, keys: list[str], used: bool = True) -> DataFrame:
     """Palette entries (or tiles) that pixels (or cells) refer to, or those that none does."""
     return palette.join(pixels.select(*keys).distinct(), keys, "left_semi" if used else "left_anti")

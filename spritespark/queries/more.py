@@ -200,3 +200,20 @@ def sink_tables(spark, d):
     path = f"{files.shared_folder(spark)}/tables-{uuid.uuid4().hex}"
     files.write_tables({"pixels": X.anim(spark, d)}, path, "layer")
     return spark.read.parquet(f"{path}/pixels").groupBy("sprite_id", "layer").agg(F.count("*").alias("n"))
+
+
+_INDEXED = "c AS (SELECT DISTINCT r, g, b, a FROM emb_rgba WHERE a>0), q AS (SELECT * FROM pal256 WHERE idx<>32), n AS (SELECT c.*, q.idx, row_number() OVER (PARTITION BY c.r, c.g, c.b, c.a ORDER BY CASE WHEN c.r=q.r AND c.g=q.g AND c.b=q.b AND c.a=q.a THEN 0 ELSE 1 END, 900*((c.r>>3)-(q.r>>3))*((c.r>>3)-(q.r>>3))+3481*((c.g>>3)-(q.g>>3))*((c.g>>3)-(q.g>>3))+121*((c.b>>3)-(q.b>>3))*((c.b>>3)-(q.b>>3))+64*((c.a>>3)-(q.a>>3))*((c.a>>3)-(q.a>>3)), q.idx) AS k FROM c, q)"
+
+
+@query("convert_mode_to_indexed", f"WITH {_INDEXED} SELECT p.image_id, p.x, p.y, coalesce(n.idx, 32) AS idx FROM emb_rgba p LEFT JOIN n ON n.k=1 AND n.r=p.r AND n.g=p.g AND n.b=p.b AND n.a=p.a")
+def convert_mode_to_indexed(spark, d):
+    return L.to_indexed(X.emb_rgba(spark, d), X.pal256(spark), 32)
+
+
+@query("convert_mode_gray", "SELECT image_id, x, y, idx, CASE WHEN idx=32 THEN 0 ELSE idx END AS r, CASE WHEN idx=32 THEN 0 ELSE 255 END AS a FROM doc_pixels")
+def convert_mode_gray(spark, d):
+    """Gray values to RGB and back: three equal channels have themselves as their luma."""
+    p = X.doc_pixels(spark, d).withColumn("a", F.when(F.col("idx") == 32, 0).otherwise(255))
+    gray = F.when(F.col("a") == 0, 0).otherwise(F.col("idx"))
+    back = P.to_gray(p.withColumns({c: gray for c in "rgb"}))
+    return back.select("image_id", "x", "y", "idx", F.col("v").alias("r"), "a")

@@ -67,11 +67,13 @@ def udf_pixel_map(spark, d):
     return P.transform_pixels(X.emb_rgba(spark, d), lambda c: {"r": c["g"], "g": c["b"], "b": c["r"], "a": F.lit(255)})
 
 
-@query("hue_saturation", "SELECT image_id, x, y, CASE WHEN a=0 THEN 0 ELSE r END AS r, CASE WHEN a=0 THEN 0 ELSE g END AS g, CASE WHEN a=0 THEN 0 ELSE b END AS b, a FROM emb_rgba")
+_HSV = "c AS (SELECT *, r/255.0::DOUBLE AS x1, g/255.0::DOUBLE AS x2, b/255.0::DOUBLE AS x3, greatest(r,g,b)/255.0::DOUBLE AS most, least(r,g,b)/255.0::DOUBLE AS low FROM emb_rgba), h AS (SELECT *, 60*CASE WHEN most=low THEN 0.0::DOUBLE WHEN most=x1 THEN (x2-x3)/(most-low) WHEN most=x2 THEN (x3-x1)/(most-low)+2 ELSE (x1-x2)/(most-low)+4 END AS hue FROM c), k AS (SELECT image_id, x, y, a, ((CASE WHEN hue<0 THEN hue+360 ELSE hue END)+90)%360/60 AS hue, least(1.0::DOUBLE, most*1.125) AS v, CASE WHEN most>0 THEN 0.75*(most-low)/most ELSE 0.0::DOUBLE END AS s FROM h)"
+_HUED = ", ".join(f"CASE WHEN a=0 THEN 0 ELSE CAST(floor(255*(v-v*s*greatest(0.0::DOUBLE, least(({n}+hue)%6, 4-({n}+hue)%6, 1.0::DOUBLE)))+0.5+1e-9) AS BIGINT) END AS {c}" for c, n in (("r", 5), ("g", 3), ("b", 1)))
+
+
+@query("hue_saturation", f"WITH {_HSV} SELECT image_id, x, y, {_HUED}, a FROM k")
 def hue_saturation(spark, d):
-    """Two half turns: the colours come back (the oracle's identity), transparent pixels are cleared."""
-    p = X.emb_rgba(spark, d)
-    return P.hue_saturation(p, hue=360.0)
+    return P.hue_saturation(X.emb_rgba(spark, d), hue=90.0, saturation=-0.25, value=0.125)
 
 
 @query("mask_by_color", "SELECT image_id, x, y FROM emb_rgba WHERE abs(r-128)<=16 AND abs(b-127)<=16")
