@@ -32,6 +32,32 @@ def map_images(pixels: DataFrame, f: Callable[[np.ndarray], np.ndarray], value:
     return pixels.select(key, "x", "y", value).groupBy(key).applyInPandas(run, f"{key} long, x int, y int, {value} int")
 
 
+def convolve_images(pixels: DataFrame, kernel: list[list[int]], divisor: int | None = None, key: str = KEY) -> DataFrame:
+    """``neighbors.convolve`` with clamped edges for large kernels: one shifted array for each weight instead of a row."""
+    kh, kw = len(kernel), len(kernel[0])
+    total = divisor or sum(map(sum, kernel)) or 1
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        grids = {c: _grid(pdf, c) for c in "rgba"}
+        h, w = grids["a"].shape
+        sums, off = {c: np.zeros((h, w), np.int64) for c in "rgba"}, np.zeros((h, w), np.int64)
+        for i, row in enumerate(kernel):
+            ys = np.clip(np.arange(h) + i - kh // 2, 0, h - 1)
+            for j, weight in enumerate(row):
+                at = np.ix_(ys, np.clip(np.arange(w) + j - kw // 2, 0, w - 1))
+                seen = grids["a"][at] > 0
+                off += np.where(seen, 0, weight)
+                sums["a"] += grids["a"][at] * weight
+                for c in "rgb":
+                    sums[c] += np.where(seen, grids[c][at] * weight, 0)
+        part = total - off
+        y, x = np.indices((h, w))
+        out = {c: np.where(part != 0, np.trunc(sums[c] / np.where(part != 0, part, 1)), 0) for c in "rgb"} | {"a": np.trunc(sums["a"] / total)}
+        return pd.DataFrame({key: pdf[key].iloc[0], "x": x.ravel(), "y": y.ravel(), **{c: np.clip(v, 0, 255).astype(int).ravel() for c, v in out.items()}})
+
+    return pixels.select(key, "x", "y", *"rgba").groupBy(key).applyInPandas(run, f"{key} long, x int, y int, r int, g int, b int, a int")
+
+
 def _components(ok: np.ndarray, eight: bool = False) -> np.ndarray:
     """A label for each true cell of the mask, 0 elsewhere: union of horizontal runs that touch in neighbouring rows."""
     parent: list[int] = [0]

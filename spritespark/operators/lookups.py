@@ -47,6 +47,16 @@ def pick_cels(points: DataFrame, pixels: DataFrame, threshold: int = 1) -> DataF
     return hit.groupBy("point_id").agg(F.max("z").alias("z"))
 
 
+def pick_cels_by_bounds(points: DataFrame, pixels: DataFrame, threshold: int = 1, cell: int = 32, keys: tuple = ("sprite_id", "z")) -> DataFrame:
+    """``pick_cels`` by the cels' bounds: points meet the cels of their square of ``cell`` pixels, only then the pixels."""
+    box = pixels.groupBy(*keys).agg(F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"))
+    over = lambda c: F.explode(F.sequence(F.floor(F.col(f"{c}1") / cell), F.floor(F.col(f"{c}2") / cell)))
+    squares = box.withColumn("i", over("x")).withColumn("j", over("y"))
+    at = points.withColumns({"i": F.floor(F.col("x") / cell), "j": F.floor(F.col("y") / cell)})
+    under = at.join(squares, [k for k in keys if k != "z"] + ["i", "j"]).filter("x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2").select("point_id", *keys, "x", "y")
+    return under.join(pixels.filter(F.col("a") >= threshold).select(*keys, "x", "y"), [*keys, "x", "y"]).groupBy("point_id").agg(F.max("z").alias("z"))
+
+
 def nearest_palette(colors: DataFrame, palette: DataFrame, distance: Column, keys: tuple = ("r", "g", "b", "a")) -> DataFrame:
     """(keys, idx, distance) for the distinct colours; the first of the nearest entries wins.
 
@@ -103,6 +113,20 @@ def merge_palettes(palettes: DataFrame, keys: list[str], order: list[str], most:
     return first.withColumn("idx", F.row_number().over(w) - 1).filter(F.col("idx") < most).drop("__o")
 
 
+def sprite_differences(levels: dict[str, tuple[DataFrame, DataFrame, list[str], list[str]]], sprite: str = "sprite_id") -> DataFrame:
+    """(level, sprite, added, removed, changed) of all levels in which two corpora differ; a level: two tables, keys, values."""
+    out = None
+    for level, (one, two, keys, values) in levels.items():
+        n = table_diff(one, two, keys, values).groupBy(sprite).agg(*(F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "changed"))).select(F.lit(level).alias("level"), sprite, "added", "removed", "changed")
+        out = n if out is None else out.union(n)
+    return out
+
+
+def invertible(remap: DataFrame, keys: tuple = ()) -> DataFrame:
+    """(keys, invertible): whether no two sources have the same target."""
+    return remap.groupBy(*keys).agg((F.count_distinct("dst") == F.count("*")).alias("invertible"))
+
+
 def compose_remaps(first: DataFrame, then: DataFrame, keys: tuple = ()) -> DataFrame:
     """A remap (keys, src, dst) after another one; what the second does not name stays."""
     return first.join(then.select(*keys, F.col("src").alias("dst"), F.col("dst").alias("__to")), [*keys, "dst"], "left").select(*keys, "src", F.coalesce("__to", "dst").alias("dst"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spritespark.functions.blend import HSL, SEPARABLE, hsl_mode, let
 from spritespark.functions.color import _c, idiv, luma, mul_un8
+from spritespark.sources.files import stored
 
 KEYS = ("image_id",)
 
@@ -62,23 +63,24 @@ def _offsets(pairs: list[tuple]) -> Column:
     return F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("dx", "dy", "weight"), p, strict=False))) for p in pairs)))
 
 
-def taps(pixels: DataFrame, width: int, height: int, offsets: list[tuple], keys: tuple = KEYS) -> DataFrame:
-    """(keys, x, y, dx, dy[, weight], channels...): every pixel once for each offset, edges clamped.
+def taps(pixels: DataFrame, width: int, height: int, offsets: list[tuple], keys: tuple = KEYS, wrap: bool = False) -> DataFrame:
+    """(keys, x, y, dx, dy[, weight], channels...): every pixel once for each offset, edges clamped or wrapped.
 
     A narrow explode of the target points meets the pixels in one equality join.
     """
     weight = ["o.weight"] if len(offsets[0]) > 2 else []
     at = pixels.select(*keys, "x", "y").select("*", _offsets(offsets).alias("o")).select(*keys, F.col("x").alias("tx"), F.col("y").alias("ty"), "o.dx", "o.dy", *weight)
-    at = at.withColumns({"x": F.greatest(F.lit(0), F.least(F.lit(width - 1), F.col("tx") + F.col("dx"))), "y": F.greatest(F.lit(0), F.least(F.lit(height - 1), F.col("ty") + F.col("dy")))})
+    edge = lambda c, n: F.pmod(c, F.lit(n)) if wrap else F.greatest(F.lit(0), F.least(F.lit(n - 1), c))
+    at = at.withColumns({"x": edge(F.col("tx") + F.col("dx"), width), "y": edge(F.col("ty") + F.col("dy"), height)})
     return at.join(pixels, [*keys, "x", "y"]).drop("x", "y").withColumnsRenamed({"tx": "x", "ty": "y"})
 
 
-def convolve(pixels: DataFrame, width: int, height: int, kernel: list[list[int]], divisor: int | None = None, bias: int = 0, keys: tuple = KEYS) -> DataFrame:
+def convolve(pixels: DataFrame, width: int, height: int, kernel: list[list[int]], divisor: int | None = None, bias: int = 0, keys: tuple = KEYS, wrap: bool = False) -> DataFrame:
     """Colours divide by the divisor less the weights of transparent neighbours, alpha by the whole divisor."""
     kh, kw = len(kernel), len(kernel[0])
     total = divisor or sum(map(sum, kernel)) or 1
     offsets = [(j - kw // 2, i - kh // 2, kernel[i][j]) for i in range(kh) for j in range(kw) if kernel[i][j]]
-    t = taps(pixels, width, height, offsets, keys)
+    t = taps(pixels, width, height, offsets, keys, wrap)
     seen, weight = F.col("a") > 0, F.col("weight")
     sums = t.groupBy(*keys, "x", "y").agg(*(F.sum(F.when(seen, F.col(c) * weight).otherwise(0)).alias(c) for c in "rgb"), F.sum(F.col("a") * weight).alias("a"), F.sum(F.when(seen, 0).otherwise(weight)).alias("__off"))
     part = F.lit(total) - F.col("__off")
@@ -93,12 +95,16 @@ def median_blur(pixels: DataFrame, width: int, height: int, w: int = 3, h: int =
     return t.groupBy(*keys, "x", "y").agg(*(F.sort_array(F.collect_list(c))[w * h // 2].alias(c) for c in channels))
 
 
-def outline(pixels: DataFrame, width: int, height: int, color: dict[str, int], square: bool = False, keys: tuple = KEYS) -> DataFrame:
-    """Transparent pixels beside a visible one take the colour."""
-    around = [(0, -1), (-1, 0), (1, 0), (0, 1)] + ([(-1, -1), (1, -1), (-1, 1), (1, 1)] if square else [])
-    reach = pixels.filter("a > 0").select(*keys, "x", "y", _offsets(around).alias("o")).select(*keys, (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y")).distinct().withColumn("__near", F.lit(True))
+def outline(pixels: DataFrame, color: dict[str, int], shape: str = "circle", inside: bool = False, keys: tuple = KEYS) -> DataFrame:
+    """Transparent pixels beside a visible one take the colour; inside, visible ones beside a transparent one.
+
+    shape: which neighbours count, circle (four), square (eight), horizontal or vertical (two).
+    """
+    two = {"horizontal": [(-1, 0), (1, 0)], "vertical": [(0, -1), (0, 1)]}
+    around = two.get(shape) or [(i, j) for j in (-1, 0, 1) for i in (-1, 0, 1) if (i or j) and (shape == "square" or not (i and j))]
+    reach = pixels.filter("a = 0" if inside else "a > 0").select(*keys, "x", "y", _offsets(around).alias("o")).select(*keys, (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y")).distinct().withColumn("__near", F.lit(True))
     out = pixels.join(reach, [*keys, "x", "y"], "left")
-    hit = (F.col("a") == 0) & F.col("__near")
+    hit = ((F.col("a") > 0) if inside else (F.col("a") == 0)) & F.col("__near")
     return out.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in color.items()}).drop("__near")
 
 
@@ -112,8 +118,13 @@ def modify_selection(mask: DataFrame, radius: int, how: str, circle: bool = Fals
     return inner if how == "contract" else mask.join(inner, [*keys, "x", "y"], "left_anti")
 
 
-def remove_orphans(pixels: DataFrame, width: int, height: int, value: str = "v", keys: tuple = KEYS) -> DataFrame:
-    """A pixel unlike its four neighbours takes the value of at least four of its eight ones, the least on a tie."""
+def remove_orphans(pixels: DataFrame, width: int, height: int, value: str = "v", keys: tuple = KEYS, passes: int = 1) -> DataFrame:
+    """A pixel unlike its four neighbours takes the value of at least four of its eight ones, the least on a tie.
+
+    Each pass sees the result of the one before it, which is stored so that plans stay short.
+    """
+    for _ in range(passes - 1):
+        pixels = stored(remove_orphans(pixels, width, height, value, keys), "orphans")
     eight = [(i, j) for j in (-1, 0, 1) for i in (-1, 0, 1) if (i, j) != (0, 0)]
     at = pixels.select(*keys, "x", "y", F.col(value).alias("__own"), _offsets(eight).alias("o")).select(*keys, F.col("x").alias("tx"), F.col("y").alias("ty"), "__own", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), (F.abs("o.dx") + F.abs("o.dy") == 1).alias("__close"))
     near = at.join(pixels.select(*keys, "x", "y", value), [*keys, "x", "y"])
@@ -290,6 +301,19 @@ def cell_purity(pixels: DataFrame, pitches: list[int], value: str = "v", keys: t
     return cells.groupBy(*keys, "pitch", "phase").agg((F.sum("most") / F.sum("n")).alias("purity"))
 
 
+def best_grid(purity: DataFrame, keys: tuple = KEYS) -> DataFrame:
+    """Of ``cell_purity``, each image's purest grid (to 6 places); the widest, then the least phase, where several are as pure."""
+    order = F.struct(F.round("purity", 6), "pitch", -F.col("phase"))
+    return purity.groupBy(*keys).agg(F.max_by(F.struct("pitch", "phase", F.round("purity", 6).alias("purity")), order).alias("g")).select(*keys, "g.*")
+
+
+def background_kind(pixels: DataFrame, width: int, height: int, keys: tuple = KEYS) -> DataFrame:
+    """(keys, kind, share) of the border: transparent above 0.9 of alpha 0, flat from 0.8 of one colour, else a set of colours."""
+    every = border(pixels, width, height).groupBy(*keys, *"rgba").agg(F.count("*").alias("n"))
+    s = every.groupBy(*keys).agg((F.sum(F.when(F.col("a") == 0, F.col("n")).otherwise(0)) / F.sum("n")).alias("clear"), (F.max("n") / F.sum("n")).alias("share"))
+    return s.select(*keys, F.when(F.col("clear") > 0.9, "transparent").when(F.col("share") >= 0.8, "flat").otherwise("set").alias("kind"), "share")
+
+
 def extrude(pixels: DataFrame, width: int, height: int, keys: tuple = KEYS) -> DataFrame:
     """One more pixel on every side, a copy of the edge."""
     spots = lambda c, n: F.when((F.col(c) == 0) & (F.col(c) == n - 1), F.array(F.lit(0), F.lit(1), F.lit(2))).when(F.col(c) == 0, F.array(F.lit(0), F.lit(1))).when(F.col(c) == n - 1, F.array(F.lit(n), F.lit(n + 1))).otherwise(F.array(F.col(c) + 1))

@@ -42,11 +42,15 @@ def layout_line(samples: DataFrame, vertical: bool = False, border: int = 0, pad
     return samples.withColumns({"x": F.lit(border) if vertical else at, "y": at if vertical else F.lit(border), "sw": F.col("w") + grow, "sh": F.col("h") + grow})
 
 
-def layout_rows(samples: DataFrame, per_row: int, border: int = 0, padding: int = 0, columns: bool = False, sheet: str = "sheet", order: str = "item") -> DataFrame:
-    """Bands of per_row samples; a band starts after the largest of each band before it."""
+def layout_rows(samples: DataFrame, per_row: int | None, border: int = 0, padding: int = 0, columns: bool = False, sheet: str = "sheet", order: str = "item", by: str | None = None) -> DataFrame:
+    """Bands of per_row samples, or of neighbours with the same ``by`` (a layer, tag or sprite); a band starts after the largest of each before it."""
     along, across = ("h", "w") if columns else ("w", "h")
-    n = F.row_number().over(Window.partitionBy(sheet).orderBy(order)) - 1
-    rows = samples.withColumn("band", F.floor(n / per_row))
+    w = Window.partitionBy(sheet).orderBy(order)
+    if by:
+        new = F.when(F.col(by).eqNullSafe(F.lag(by).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
+        rows = samples.withColumn("__new", new).withColumn("band", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("__new")
+    else:
+        rows = samples.withColumn("band", F.floor((F.row_number().over(w) - 1) / per_row))
     bands = rows.groupBy(sheet, "band").agg(F.max(across).alias("__most"))
     before = lambda keys, o: Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
     bands = bands.select(sheet, "band", (border + F.coalesce(F.sum(F.col("__most") + padding).over(before([sheet], "band")), F.lit(0))).alias("__across"))
@@ -82,6 +86,29 @@ def frame_json(frames: DataFrame) -> DataFrame:
     return frames.select("name", F.to_json(body).alias("json"))
 
 
+def sheet_json(frames: DataFrame, tags: DataFrame | None = None, key: str = "sprite_id") -> DataFrame:
+    """(key, json): a sheet's metadata as one document, frames by name, with its size and its tags.
+
+    frames: key, frame, name, x, y, w, h, duration_ms; tags: key, tag_id, name, from_frame, to_frame, dir.
+    """
+    body = F.struct(F.struct("x", "y", "w", "h").alias("frame"), F.lit(False).alias("rotated"), F.lit(False).alias("trimmed"), F.col("duration_ms").alias("duration"))
+    ordered = F.sort_array(F.collect_list(F.struct("frame", F.struct("name", body.alias("body")).alias("e"))))
+    out = frames.groupBy(key).agg(ordered.alias("l"), F.struct(F.max(F.col("x") + F.col("w")).alias("w"), F.max(F.col("y") + F.col("h")).alias("h")).alias("size"))
+    meta = [F.col("size")]
+    if tags is not None:
+        way = F.element_at(F.array(*map(F.lit, ("forward", "reverse", "pingpong", "pingpong_reverse"))), F.col("dir") + 1)
+        tag = F.struct("name", F.col("from_frame").alias("from"), F.col("to_frame").alias("to"), way.alias("direction"))
+        listed = tags.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("tag_id", tag.alias("t")))), lambda e: e["t"]).alias("frameTags"))
+        out, meta = out.join(listed, key, "left"), [F.col("size"), F.col("frameTags")]
+    return out.select(key, F.to_json(F.struct(F.map_from_entries(F.transform("l", lambda e: e["e"])).alias("frames"), F.struct(*meta).alias("meta"))).alias("json"))
+
+
+def read_sheet_json(documents: DataFrame, key: str = "sprite_id") -> DataFrame:
+    """(key, name, x, y, w, h, duration_ms) of documents whose frames are listed by name."""
+    got = F.from_json("json", "frames map<string, struct<frame:struct<x:int,y:int,w:int,h:int>, duration:int>>")
+    return documents.select(key, F.explode(got["frames"]).alias("name", "f")).select(key, "name", "f.frame.*", F.col("f.duration").alias("duration_ms"))
+
+
 def read_frame_json(lines: DataFrame) -> DataFrame:
     """The other way: json -> name, x, y, w, h, duration_ms."""
     got = F.from_json("json", "filename string, frame struct<x:int,y:int,w:int,h:int>, duration int")

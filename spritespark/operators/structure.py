@@ -28,25 +28,38 @@ def layer_paths(layers: DataFrame) -> DataFrame:
     return out
 
 
-def matches_glob(path: str, glob: str):
-    """Segment by segment: * stands for one whole segment, and a trailing * for everything below."""
+def matches_glob(path: str, glob: str, exclude: bool = False):
+    """Segment by segment: * stands for one whole segment, and a trailing * for everything below.
+
+    To exclude, a glob also covers all below it, and g/* the group g itself.
+    """
     p, g = F.split(path, "/"), glob.split("/")
     ok = F.lit(True)
     for i, s in enumerate(g):
         if s != "*":
             ok = ok & (F.get(p, F.lit(i)) == s)
-    return ok & (F.size(p) >= len(g) if g[-1] == "*" else F.size(p) == len(g))
+    least = len(g) - 1 if exclude and g[-1] == "*" and len(g) > 1 else len(g)
+    return F.coalesce(ok & (F.size(p) >= least if exclude or g[-1] == "*" else F.size(p) == least), F.lit(False))
+
+
+def resolved(layers: DataFrame, globs: list[str]) -> list[str]:
+    """The globs, a bare name that only one layer has being its path. At most a row for each glob reaches the driver."""
+    bare = [g for g in globs if "/" not in g and g != "*"]
+    one = layers.filter(F.col("name").isin(bare)).groupBy("name").agg(F.count("*").alias("n"), F.min("path").alias("path")).filter("n = 1").collect() if bare else []
+    paths = {r["name"]: r["path"] for r in one}
+    return [paths.get(g, g) for g in globs]
 
 
 def filter_layers(layers: DataFrame, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
     """layers with path and shown: those that match an include (without any: the shown ones), less the excluded."""
     some = F.col("shown")
+    include, exclude = resolved(layers, list(include)), resolved(layers, list(exclude))
     if include:
         some = F.lit(False)
         for g in include:
             some = some | matches_glob("path", g)
     for g in exclude:
-        some = some & ~matches_glob("path", g)
+        some = some & ~matches_glob("path", g, exclude=True)
     return layers.filter(some)
 
 
@@ -140,6 +153,38 @@ def number_tiles(cells: DataFrame, set_key: str = "image_id") -> tuple[DataFrame
     return tileset, cells.join(tileset, [set_key, "tile"], "left").select(set_key, "u", "w", F.coalesce("tile_index", F.lit(0)).alias("tile_index"))
 
 
+#: Flips in the order in which they are tried.
+FLIPS = ("", "x", "y", "xy", "d", "xd", "xyd", "yd")
+
+
+def flipped(side: int, how: str) -> list[int]:
+    """The places of a square tile that its flipped form has, in reading order; a diagonal flip comes last."""
+
+    def source(y: int, x: int) -> int:
+        y, x = (x, y) if "d" in how else (y, x)
+        return (side - 1 - y if "y" in how else y) * side + (side - 1 - x if "x" in how else x)
+
+    return [source(y, x) for y in range(side) for x in range(side)]
+
+
+def match_tiles(cells: DataFrame, side: int, allowed: str = "xyd", set_key: str = "image_id") -> DataFrame:
+    """(set, u, w, tile_index, flip): cells by the first tile that they equal after a flip, the first flip in FLIPS that fits.
+
+    cells: set, u, w, tile, as of ``cut_tiles``. allowed: none, x, y, xy, d or xyd, so that flips of flips are flips. The
+    empty tile is 0. Tiles are grouped by the least of their forms, one aggregate instead of a search for each cell.
+    """
+    if allowed not in ("", "x", "y", "xy", "d", "xyd"):
+        raise ValueError(f"no closed set of flips: {allowed}")
+    names = [f for f in FLIPS if set(f) <= set(allowed)]
+    t = F.split("tile", ",")
+    forms = F.array(*(F.array_join(F.array(*(t[i] for i in flipped(side, f))), ",") for f in names))
+    each = cells.select(set_key, "u", "w", "tile", forms.alias("forms")).withColumn("class", F.array_min("forms"))
+    first = each.filter(~F.col("tile").rlike("^0(,0)*$")).groupBy(set_key, "class").agg(F.min(F.struct("w", "u", "tile")).alias("at"))
+    tiles = first.select(set_key, "class", F.col("at.tile").alias("own"), F.row_number().over(Window.partitionBy(set_key).orderBy("at")).alias("tile_index"))
+    flip = F.get(F.array(*map(F.lit, names)), F.array_position("forms", F.col("own")).cast("int") - 1)
+    return each.join(tiles, [set_key, "class"], "left").select(set_key, "u", "w", F.coalesce("tile_index", F.lit(0)).alias("tile_index"), F.coalesce(flip, F.lit("")).alias("flip"))
+
+
 def draw_tiles(tilemap: DataFrame, tiles: DataFrame, size: int, set_key: str = "image_id") -> DataFrame:
     """(set, x, y, v): square tiles drawn at their cells; the empty tile 0 draws nothing.
 

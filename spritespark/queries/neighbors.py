@@ -37,7 +37,7 @@ _TAP = "k AS (SELECT * FROM (VALUES (-1,-1,1),(0,-1,2),(1,-1,1),(-1,0,2),(0,0,4)
 _SUM = ", ".join(f"coalesce(sum(CASE WHEN a>0 THEN {c}*wt ELSE 0 END)//nullif(16-sum(CASE WHEN a>0 THEN 0 ELSE wt END),0),0) AS {c}" for c in "rgb")
 _simple("convolve", f"WITH {_TAP}, s AS (SELECT image_id, tx AS x, ty AS y, {_SUM}, sum(a*wt)//16 AS a FROM t GROUP BY image_id, tx, ty) SELECT image_id, x, y, CAST(r AS BIGINT) AS r, CAST(g AS BIGINT) AS g, CAST(b AS BIGINT) AS b, CAST(a AS BIGINT) AS a FROM s", lambda p: N.convolve(p, 8, 8, [[1, 2, 1], [2, 4, 2], [1, 2, 1]]))
 _simple("median_blur", "WITH k AS (SELECT i.i AS dx, j.j AS dy FROM range(-1,2) i(i), range(-1,2) j(j)), t AS (SELECT p.image_id, p.x, p.y, q.v FROM emb_gray p, k JOIN emb_gray q ON true WHERE q.image_id=p.image_id AND q.x=greatest(0,least(7,p.x+k.dx)) AND q.y=greatest(0,least(7,p.y+k.dy))), n AS (SELECT *, row_number() OVER (PARTITION BY image_id, x, y ORDER BY v) AS k FROM t) SELECT image_id, x, y, v FROM n WHERE k=5", lambda p: N.median_blur(p, 8, 8), X.emb_gray)
-_simple("outline", "SELECT p.image_id, p.x, p.y, CASE WHEN hit THEN 9 ELSE r END AS r, g, b, CASE WHEN hit THEN 255 ELSE a END AS a FROM (SELECT p.*, a=0 AND EXISTS (SELECT 1 FROM emb_rgba q WHERE q.image_id=p.image_id AND q.a>0 AND abs(q.x-p.x)+abs(q.y-p.y)=1) AS hit FROM emb_rgba p) p", lambda p: N.outline(p, 8, 8, {"r": 9, "a": 255}))
+_simple("outline", "SELECT p.image_id, p.x, p.y, CASE WHEN hit THEN 9 ELSE r END AS r, g, b, CASE WHEN hit THEN 255 ELSE a END AS a FROM (SELECT p.*, a=0 AND EXISTS (SELECT 1 FROM emb_rgba q WHERE q.image_id=p.image_id AND q.a>0 AND abs(q.x-p.x)+abs(q.y-p.y)=1) AS hit FROM emb_rgba p) p", lambda p: N.outline(p, {"r": 9, "a": 255}))
 
 _NEIGH = "m AS (SELECT image_id, x, y FROM emb_gray WHERE v>=120), k AS (SELECT i.i AS dx, j.j AS dy FROM range(-1,2) i(i), range(-1,2) j(j)), s AS (SELECT image_id, x+dx AS x, y+dy AS y, count(*) AS n FROM m, k GROUP BY ALL)"
 _mask = lambda p: p.filter("v >= 120").select("image_id", "x", "y")

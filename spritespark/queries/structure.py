@@ -270,7 +270,7 @@ def visible_hierarchy(spark, d):
     return S.layer_paths(X.layer_tree(spark, d)).select("layer_id", "shown")
 
 
-@query("layer_filter", "SELECT layer_id, path FROM layer_tree WHERE (path LIKE 'ASIA/%' OR path LIKE '%/NATION\\_1/%' ESCAPE '\\') AND path NOT LIKE '%/NATION\\_2/%' ESCAPE '\\'")
+@query("layer_filter", "SELECT layer_id, path FROM layer_tree WHERE (path LIKE 'ASIA/%' OR path LIKE '%/NATION\\_1/%' ESCAPE '\\') AND path NOT LIKE '%/NATION\\_2/%' ESCAPE '\\' AND path NOT LIKE '%/NATION\\_2' ESCAPE '\\'")
 def layer_filter(spark, d):
     return S.filter_layers(S.layer_paths(X.layer_tree(spark, d)), ["ASIA/*", "*/NATION_1/*"], ["*/NATION_2/*"]).select("layer_id", "path")
 

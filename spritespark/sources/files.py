@@ -70,6 +70,29 @@ def palette_text(palette: DataFrame, keys: list[str]) -> DataFrame:
     return body.select(*keys, F.concat(F.lit("GIMP Palette\n#\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("gpl"))
 
 
+def palette_hex(palette: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, hex): one colour a line, as six hexadecimal digits."""
+    line = F.lower(F.concat(*(F.lpad(F.hex(c), 2, "0") for c in "rgb")))
+    body = palette.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", line.alias("line")))).alias("l"))
+    return body.select(*keys, F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("hex"))
+
+
+def palette_act(palette: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, act): 256 entries of three bytes, absent ones black at the end, then how many there are and no transparent one."""
+    entry = F.concat(*(F.lpad(F.hex(c), 2, "0") for c in "rgb"))
+    body = palette.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", entry.alias("e")))).alias("l"))
+    digits = F.concat(F.rpad(F.array_join(F.transform("l", lambda x: x["e"]), ""), 256 * 6, "0"), F.lpad(F.hex(F.size("l")), 4, "0"), F.lit("FFFF"))
+    return body.select(*keys, F.unhex(digits).alias("act"))
+
+
+def properties_json(groups: str = "groups"):
+    """Property maps by group as one JSON object: those of the group without a name first-hand, others nested, empty ones left out."""
+    inner = lambda s: F.substr(s, F.lit(2), F.length(s) - 2)
+    some = F.filter(F.map_entries(groups), lambda e: F.size(e["value"]) > 0)
+    each = F.transform(some, lambda e: F.when(e["key"] == "", inner(F.to_json(e["value"]))).otherwise(F.concat(inner(F.to_json(F.array(e["key"]))), F.lit(":"), F.to_json(e["value"]))))
+    return F.when(F.size(some) > 0, F.concat(F.lit("{"), F.array_join(each, ","), F.lit("}")))
+
+
 def user_data_json(rows: DataFrame) -> DataFrame:
     """rows: id, text, color (BIGINT rgba), properties (MAP). (id, json), without what is empty; colours as #rrggbbaa."""
     from spritespark.functions.color import unpack_rgba
