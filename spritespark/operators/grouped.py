@@ -186,6 +186,45 @@ def octree_leaves(pixels: DataFrame, depth: int = 7, keys: tuple = ("sprite_id",
     return sums.select(*keys, "kr", "kg", "kb", "ka", "n", *(F.floor((F.col(c) + F.floor(F.col("n") / 2)) / F.col("n")).alias(c) for c in "rgba"))
 
 
+def octree_palette(leaves: DataFrame, colors: int, depth: int = 7, key: str = "sprite_id") -> DataFrame:
+    """(key, idx, r, g, b, a, n): an octree's leaves reduced to so many colours.
+
+    leaves: key, kr, kg, kb, ka (a leaf's bits) and n, r, g, b, a (their sums). Level by level from the deepest, the
+    last leaf's siblings are added up into their parent until few enough are left. Below 16 colours, where a level
+    would leave one node only, the rarest colours are added to the next rarer ones instead.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = pdf[["kr", "kg", "kb", "ka"]].to_numpy(np.int64)
+        path = [tuple(int(sum(((b[c] >> (depth - 1 - level)) & 1) << c for c in range(4))) for level in range(depth)) for b in bits]
+        left = sorted((p, s.copy()) for p, s in zip(path, map(list, pdf[["n", "r", "g", "b", "a"]].to_numpy(np.int64).tolist()), strict=True))
+        while len(left) > colors and left[0][0]:
+            made: list[tuple] = []
+            while left and len(left) + len(made) > colors:
+                parent, total = left[-1][0][:-1], [0] * 5
+                while left and left[-1][0][:-1] == parent:
+                    total = [a + b for a, b in zip(total, left.pop()[1], strict=True)]
+                made.append((parent, total))
+            if not left and len(made) <= 16 and colors < 16:
+                made.sort(key=lambda e: -e[1][0])
+                while len(made) > colors:
+                    last = made.pop()[1]
+                    made[-1] = (made[-1][0], [a + b for a, b in zip(made[-1][1], last, strict=True)])
+                left = made
+                break
+            left = left + made[::-1]
+        rows = [(pdf[key].iloc[0], i, *((v + s[0] // 2) // s[0] for v in s[1:]), s[0]) for i, (_, s) in enumerate(left)]
+        return pd.DataFrame(rows, columns=[key, "idx", *"rgba", "n"])
+
+    return leaves.groupBy(key).applyInPandas(run, f"{key} long, idx int, r int, g int, b int, a int, n long")
+
+
+def octree_sums(pixels: DataFrame, depth: int = 7, keys: tuple = ("sprite_id",)) -> DataFrame:
+    """Counts and channel sums of the visible pixels by leaf, combined before the shuffle."""
+    cells = [F.shiftright(c, 8 - depth).alias(f"k{c}") for c in "rgba"]
+    return pixels.filter("a > 0").groupBy(*keys, *cells).agg(F.count("*").alias("n"), *(F.sum(F.col(c).cast("long")).alias(c) for c in "rgba"))
+
+
 def median_cut(histogram: DataFrame, colors: int, key: str = "sprite_id") -> DataFrame:
     """histogram: key, r, g, b, n. Boxes split at the median of their longest side, the most populous box first.
 

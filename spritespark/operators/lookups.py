@@ -72,6 +72,27 @@ def weighted_distance() -> Column:
     return (part("r", 30) + part("g", 59) + part("b", 11) + part("a", 8)).cast("long")
 
 
+def dither_pairs(colors: DataFrame, palette: DataFrame, most: int, mask_index: int) -> DataFrame:
+    """(r, g, b, a, idx, other, mix) for the distinct visible colours: the nearest entry, and that which mixes best with it.
+
+    mix: how many of ``most`` parts the other entry has, from the channels by their weights in luma. Its distance counts
+    the mixed colour's, and a tenth of that between both entries. palette: idx, r, g, b, a, at most 256 rows, broadcast.
+    """
+    entries = palette.filter(F.col("idx") != mask_index)
+    side = lambda k: entries.select(F.col("idx").alias({0: "idx", 1: "other"}[k]), *(F.col(c).alias(f"{c}{k}") for c in "rgba"))
+    near = nearest_palette(colors.filter("a > 0"), entries.select("idx", *(F.col(c).alias(f"p{c}") for c in "rgba")), weighted_distance()).drop("distance")
+    pairs = near.join(F.broadcast(side(0)), "idx").join(F.broadcast(side(1)), how="cross")  # at most 256 rows, for each distinct colour
+    weights = {"r": 2126, "g": 7152, "b": 722, "a": 20000}
+    used = {c: "a1 <> a0" if c == "a" else f"a0 > 0 AND a1 > 0 AND {c}1 <> {c}0" for c in "rgba"}
+    total = " + ".join(f"CASE WHEN {used[c]} THEN {w * most} * ({c} - {c}0) div ({c}1 - {c}0) ELSE 0 END" for c, w in weights.items())
+    parts = " + ".join(f"CASE WHEN {used[c]} THEN {w} ELSE 0 END" for c, w in weights.items())
+    pairs = pairs.withColumn("mix", F.expr(f"greatest(0, least({most}, coalesce(({total}) div nullif({parts}, 0), 0)))"))
+    pairs = pairs.withColumns({f"{c}m": F.expr(f"{c}0 + ({c}1 - {c}0) * mix div {most}") for c in "rgba"})
+    apart = lambda x, y: f"(CASE WHEN a{x} > 0 AND a{y} > 0 THEN abs(r{x} - r{y}) * 2126 + abs(g{x} - g{y}) * 7152 + abs(b{x} - b{y}) * 722 ELSE 0 END + abs(a{x} - a{y}) * 20000)"
+    pairs = pairs.withColumn("d", F.expr(f"{apart('', 'm')} + {apart('0', '1')} div 10"))
+    return pairs.groupBy(*"rgba", "idx").agg(F.min(F.struct("d", "other", "mix")).alias("m")).select(*"rgba", "idx", "m.other", "m.mix")
+
+
 def to_indexed(pixels: DataFrame, palette: DataFrame, mask_index: int) -> DataFrame:
     """Pixels with idx in place of their channels: transparent ones the mask index, else an equal entry, else the nearest.
 

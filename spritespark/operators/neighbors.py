@@ -247,6 +247,44 @@ def background_flat(pixels: DataFrame, model: DataFrame, tolerance: int, keys: t
     return pixels.join(hit, [*keys, "x", "y"], "left").withColumn("a", F.when(F.col("__bg"), 0).otherwise(F.col("a"))).drop("__bg")
 
 
+def background_masked(pixels: DataFrame, model: DataFrame, tolerance: int, soft: int = 0, width: int = 0, height: int = 0, connected: bool = False, keys: tuple = KEYS) -> DataFrame:
+    """Clears what is within the tolerance of a background colour, and softens its edge.
+
+    model: keys and mr, mg, mb, ma, a few rows an image. Distances are those of r, g, b, a; a transparent pixel always
+    belongs to the background. connected: only regions that touch the border are cleared. soft: pixels beside a cleared
+    one in their row, and farther than the tolerance but nearer than soft, keep that part of their alpha.
+    """
+    from spritespark.operators.grouped import connected_background
+
+    square = sum(((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in "rgba"), F.lit(0))
+    near = pixels.join(model, list(keys)).groupBy(*keys, "x", "y").agg(F.min(square).alias("__d"))
+    rated = pixels.join(near, [*keys, "x", "y"], "left").withColumn("__d", F.when(F.col("a") == 0, 0).otherwise(F.col("__d")))
+    spots = rated.filter(F.col("__d") <= tolerance * tolerance).select(*keys, "x", "y")
+    spots = connected_background(spots, width, height, keys[0]) if connected else spots
+    spots = spots.withColumn("__off", F.lit(True))
+    out = rated.join(spots, [*keys, "x", "y"], "left")
+    if soft <= tolerance:
+        return out.withColumn("a", F.when(F.col("__off"), 0).otherwise(F.col("a"))).drop("__d", "__off")
+    beside = spots.select(*keys, F.explode(F.array(F.col("x") - 1, F.col("x") + 1)).alias("x"), "y").distinct().withColumn("__edge", F.lit(True))
+    part = (F.sqrt("__d") - tolerance) / (soft - tolerance)
+    alpha = F.when(F.col("__off"), 0).when(F.col("__edge") & (part > 0) & (part < 1), F.floor(F.col("a") * part + 0.5)).otherwise(F.col("a"))
+    return out.join(beside, [*keys, "x", "y"], "left").withColumn("a", alpha.cast("int")).drop("__d", "__off", "__edge")
+
+
+def tile_choice(pixels: DataFrame, width: int, height: int, sizes: list[tuple[int, int]], least: float = 0.55, value: str = "v", keys: tuple = KEYS) -> DataFrame:
+    """(keys, p, q, score): of the tiles in the sizes' order, the first that so large a share of the border repeats.
+
+    A later one takes its place only where its share is greater by more than 0.05. Images without such a tile have no row.
+    """
+    grids = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(p).alias("p"), F.lit(q).alias("q")) for k, (p, q) in enumerate(sizes) if p <= width and q <= height)))
+    at = border(pixels, width, height).select(*keys, "x", "y", value, grids.alias("g")).select(*keys, value, "g.*", (F.col("x") % F.col("g.p")).alias("u"), (F.col("y") % F.col("g.q")).alias("w"))
+    phases = at.groupBy(*keys, "k", "p", "q", "u", "w", value).agg(F.count("*").alias("n")).groupBy(*keys, "k", "p", "q", "u", "w").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    scores = phases.groupBy(*keys, "k", "p", "q").agg((F.sum("most") / F.sum("n")).alias("score")).filter(F.col("score") >= least)
+    listed = scores.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", "p", "q", "score"))).alias("l"))
+    best = F.aggregate(F.slice("l", 2, len(sizes)), F.get("l", F.lit(0)), lambda b, s: F.when(s["score"] > b["score"] + 0.05, s).otherwise(b))
+    return listed.select(*keys, best.alias("b")).select(*keys, "b.p", "b.q", "b.score")
+
+
 def edge_signal(pixels: DataFrame, value: str = "v", keys: tuple = KEYS) -> DataFrame:
     """(keys, axis, at, signal): the mean absolute step into each column and row; a self-join on the neighbour, no window."""
     own = pixels.select(*keys, "x", "y", value)
@@ -320,6 +358,32 @@ def extrude(pixels: DataFrame, width: int, height: int, keys: tuple = KEYS) -> D
     return pixels.withColumn("__x", F.explode(spots("x", width))).withColumn("__y", F.explode(spots("y", height))).drop("x", "y").withColumnsRenamed({"__x": "x", "__y": "y"})
 
 
+def gradient_between(canvas: DataFrame, start: tuple[int, int], end: tuple[int, int], first: dict[str, int], last: dict[str, int], radial: bool = False, matrix: list[list[int]] | None = None) -> DataFrame:
+    """A gradient from start to end, or radial in the ellipse that both points span; channels r, g, b, a are rounded down.
+
+    Before and after it lie its two colours; one that is transparent has the other's r, g, b. With a matrix, each point
+    has one of the two colours. Where start equals end (radial: in one axis), all points have the first colour.
+    """
+    (ux, uy), (vx, vy) = start, end
+    if first["a"] == 0 != last["a"]:
+        first = last | {"a": 0}
+    elif last["a"] == 0 != first["a"]:
+        last = first | {"a": 0}
+    dx, dy = vx - ux, vy - uy
+    if radial and dx and dy:
+        px, py = (F.col("x") - (ux + vx) / 2) / abs(dx / 2), (F.col("y") - (uy + vy) / 2) / abs(dy / 2)
+        f = F.sqrt(px * px + py * py)
+    elif not radial and (dx or dy):
+        f = ((F.col("x") - ux) * dx + (F.col("y") - uy) * dy) / F.lit(float(dx * dx + dy * dy))
+    else:
+        return canvas.withColumns({c: F.lit(first[c]) for c in "rgba"})
+    if matrix:
+        most = max(map(max, matrix))
+        low = f * (most + 2) < matrix_at(matrix) + 1
+        return canvas.withColumns({c: F.when(low, first[c]).otherwise(last[c]) for c in "rgba"})
+    return canvas.withColumns({c: F.when(f < 0, first[c]).when(f > 1, last[c]).otherwise(F.floor(first[c] + f * (last[c] - first[c]) + 1e-7)).cast("int") for c in "rgba"})
+
+
 def gradient(canvas: DataFrame, width: int, first: dict[str, int], last: dict[str, int]) -> DataFrame:
     """A horizontal linear gradient over the canvas's points."""
     return canvas.withColumns({c: F.floor(first[c] + (last[c] - first[c]) * F.col("x") / F.lit(max(1, width - 1)) + 1e-9).cast("int") for c in first})

@@ -161,3 +161,89 @@ def remap_invertible(spark, d):
 def layer_filter_names(spark, d):
     """A bare name stands for the only layer that has it, and excludes what is below it."""
     return S.filter_layers(S.layer_paths(X.layer_tree(spark, d)), ["ASIA/*", "EUROPE/*"], ["NATION_3"]).select("layer_id", "path")
+
+
+_LINEAR = "((x-1)*5+(y-1)*4)/41.0::DOUBLE"
+_RADIAL = "sqrt(((x-3.5::DOUBLE)/3.5::DOUBLE)*((x-3.5::DOUBLE)/3.5::DOUBLE)+((y-3::DOUBLE)/2.0::DOUBLE)*((y-3::DOUBLE)/2.0::DOUBLE))"
+_FIRST, _LAST = {"r": 10, "g": 250, "b": 0, "a": 255}, {"r": 210, "g": 10, "b": 99, "a": 100}
+
+
+def _stops(f):
+    return f"WITH t AS (SELECT image_id, x, y, {f} AS f FROM emb_gray) SELECT image_id, x, y, " + ", ".join(f"CASE WHEN f<0 THEN {_FIRST[c]} WHEN f>1 THEN {_LAST[c]} ELSE CAST(floor({_FIRST[c]}+f*({_LAST[c] - _FIRST[c]})+1e-7) AS BIGINT) END AS {c}" for c in "rgba") + " FROM t"
+
+
+@query("gradient_fill_angle", _stops(_LINEAR))
+def gradient_fill_angle(spark, d):
+    return N.gradient_between(X.emb_gray(spark, d).select("image_id", "x", "y"), (1, 1), (6, 5), _FIRST, _LAST)
+
+
+@query("gradient_fill_radial", _stops(_RADIAL))
+def gradient_fill_radial(spark, d):
+    return N.gradient_between(X.emb_gray(spark, d).select("image_id", "x", "y"), (0, 1), (7, 5), _FIRST, _LAST, radial=True)
+
+
+_ROUGH = "([0,2,3,1][1+(y%2)*2+x%2]*4 + [0,2,3,1][1+((y//2)%2)*2+(x//2)%2])"
+
+
+@query("gradient_fill_dither", f"WITH t AS (SELECT image_id, x, y, {_LINEAR}*17 < {_ROUGH}+1 AS low FROM emb_gray) SELECT image_id, x, y, " + ", ".join(f"CASE WHEN low THEN {_FIRST[c]} ELSE {_FIRST[c] if c != 'a' else 0} END AS {c}" for c in "rgba") + " FROM t")
+def gradient_fill_dither(spark, d):
+    """Towards a transparent colour, which has the first one's channels."""
+    return N.gradient_between(X.emb_gray(spark, d).select("image_id", "x", "y"), (1, 1), (6, 5), _FIRST, _LAST | {"a": 0}, matrix=N.bayer(4))
+
+
+_W = {"r": 2126, "g": 7152, "b": 722, "a": 20000}
+_USED = {c: "q.a<>n.a0" if c == "a" else f"n.a0>0 AND q.a>0 AND q.{c}<>n.{c}0" for c in "rgba"}
+_MIX = f"greatest(0, least(15, coalesce(({'+'.join(f'CASE WHEN {_USED[c]} THEN {w * 15}*(n.{c}-n.{c}0)//(q.{c}-n.{c}0) ELSE 0 END' for c, w in _W.items())})//nullif({'+'.join(f'CASE WHEN {_USED[c]} THEN {w} ELSE 0 END' for c, w in _W.items())},0),0)))"
+
+
+def _apart(x, y):
+    return f"(CASE WHEN a{x}>0 AND a{y}>0 THEN abs(r{x}-r{y})*2126+abs(g{x}-g{y})*7152+abs(b{x}-b{y})*722 ELSE 0 END+abs(a{x}-a{y})*20000)"
+
+
+_PAIRS = f"c AS (SELECT DISTINCT r, g, b, a FROM emb_rgba WHERE a>0), q AS (SELECT * FROM pal256 WHERE idx<>32), m AS (SELECT c.*, q.idx, q.r AS r0, q.g AS g0, q.b AS b0, q.a AS a0, row_number() OVER (PARTITION BY c.r, c.g, c.b, c.a ORDER BY 900*((c.r>>3)-(q.r>>3))*((c.r>>3)-(q.r>>3))+3481*((c.g>>3)-(q.g>>3))*((c.g>>3)-(q.g>>3))+121*((c.b>>3)-(q.b>>3))*((c.b>>3)-(q.b>>3))+64*((c.a>>3)-(q.a>>3))*((c.a>>3)-(q.a>>3)), q.idx) AS k FROM c, q), n AS (SELECT * FROM m WHERE k=1), x1 AS (SELECT n.*, q.idx AS other, q.r AS r1, q.g AS g1, q.b AS b1, q.a AS a1, {_MIX} AS mix FROM n, q), x2 AS (SELECT *, " + ", ".join(f"{c}0+({c}1-{c}0)*mix//15 AS {c}m" for c in "rgba") + f" FROM x1), x3 AS (SELECT *, row_number() OVER (PARTITION BY r, g, b, a ORDER BY {_apart('', 'm')}+{_apart('0', '1')}//10, other) AS best FROM x2)"
+
+
+@query("dither_ordered_palette", f"WITH {_PAIRS} SELECT p.image_id, p.x, p.y, CASE WHEN z.idx IS NULL THEN 32 WHEN {_ROUGH.replace('x', 'p.x').replace('y', 'p.y')} < z.mix THEN z.other ELSE z.idx END AS idx FROM emb_rgba p LEFT JOIN x3 z ON z.best=1 AND z.r=p.r AND z.g=p.g AND z.b=p.b AND z.a=p.a")
+def dither_ordered_palette(spark, d):
+    """Two entries a colour, searched once for each distinct colour."""
+    p = X.emb_rgba(spark, d)
+    pairs = L.dither_pairs(p, X.pal256(spark), 15, 32)
+    pick = F.when(F.col("idx").isNull(), 32).when(N.matrix_at(N.bayer(4)) < F.col("mix"), F.col("other")).otherwise(F.col("idx"))
+    return p.join(pairs, list("rgba"), "left").select("image_id", "x", "y", pick.alias("idx"))
+
+
+_MASKED = "e AS (SELECT image_id, r, g, b, a, count(*) AS n FROM emb_rgba WHERE x=0 OR y=0 OR x=7 OR y=7 GROUP BY image_id, r, g, b, a), m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, r, g, b, a) AS k FROM e) WHERE k<=3), d AS (SELECT p.image_id, p.x, p.y, p.r, p.g, p.b, p.a, CASE WHEN p.a=0 THEN 0 ELSE min((p.r-m.r)*(p.r-m.r)+(p.g-m.g)*(p.g-m.g)+(p.b-m.b)*(p.b-m.b)+(p.a-m.a)*(p.a-m.a)) END AS d FROM emb_rgba p JOIN m ON m.image_id=p.image_id GROUP BY p.image_id, p.x, p.y, p.r, p.g, p.b, p.a), ok AS (SELECT image_id, x, y FROM d WHERE d<=60*60)"
+_SOFT = "SELECT d.image_id, d.x, d.y, d.r, d.g, d.b, CASE WHEN c.x IS NOT NULL THEN 0 WHEN sqrt(d.d)>60 AND sqrt(d.d)<140 AND EXISTS (SELECT 1 FROM {c} s WHERE s.image_id=d.image_id AND s.y=d.y AND abs(s.x-d.x)=1) THEN CAST(floor(d.a*((sqrt(d.d)-60)/80)+0.5) AS BIGINT) ELSE d.a END AS a FROM d LEFT JOIN {c} c ON c.image_id=d.image_id AND c.x=d.x AND c.y=d.y"
+
+
+def _model(p):
+    return N.border_shares(p, 8, 8, least=0.0, most=3).select("image_id", *(F.col(c).alias(f"m{c}") for c in "rgba"))
+
+
+@query("bg_remove_soft", f"WITH {_MASKED} {_SOFT.format(c='ok')}")
+def bg_remove_soft(spark, d):
+    p = X.emb_rgba(spark, d)
+    return N.background_masked(p, _model(p), 60, soft=140)
+
+
+@query("bg_remove_connected", f"WITH RECURSIVE {_MASKED}, hit AS (SELECT image_id, x, y FROM ok WHERE x=0 OR y=0 OR x=7 OR y=7 UNION SELECT ok.image_id, ok.x, ok.y FROM hit JOIN ok ON ok.image_id=hit.image_id AND abs(ok.x-hit.x)+abs(ok.y-hit.y)=1) {_SOFT.format(c='hit')}")
+def bg_remove_connected(spark, d):
+    p = X.emb_rgba(spark, d)
+    return N.background_masked(p, _model(p), 60, soft=140, width=8, height=8, connected=True)
+
+
+_SIZES = [(1, 1), (2, 1), (1, 2), (2, 2), (4, 4), (8, 8)]
+_STEPS = ", ".join(f"b{k + 1} AS (SELECT image_id, CASE WHEN s{k}>=0.55 AND (best IS NULL OR s{k}>bs+0.05) THEN {k} ELSE best END AS best, CASE WHEN s{k}>=0.55 AND (best IS NULL OR s{k}>bs+0.05) THEN s{k} ELSE bs END AS bs, * EXCLUDE (image_id, best, bs) FROM b{k})" for k in range(len(_SIZES)))
+_SCORES = "s AS (SELECT unnest([" + ",".join(f"{{'k':{k},'p':{p},'q':{q}}}" for k, (p, q) in enumerate(_SIZES)) + "]) AS g), c AS (SELECT image_id, g.k AS k, x%g.p AS u, y%g.q AS w, v//64 AS v, count(*) AS n FROM emb_gray, s WHERE x=0 OR y=0 OR x=7 OR y=7 GROUP BY ALL), m AS (SELECT image_id, k, u, w, max(n) AS most, sum(n) AS n FROM c GROUP BY ALL), t AS (SELECT image_id, k, sum(most)/sum(n) AS score FROM m GROUP BY image_id, k), b0 AS (SELECT image_id, CAST(NULL AS BIGINT) AS best, CAST(NULL AS DOUBLE) AS bs, " + ", ".join(f"max(score) FILTER (WHERE k={k}) AS s{k}" for k in range(len(_SIZES))) + " FROM t GROUP BY image_id)"
+
+
+@query("border_tile_choice", f"WITH {_SCORES}, {_STEPS} SELECT image_id, {[p for p, _ in _SIZES]}[best+1] AS p, {[q for _, q in _SIZES]}[best+1] AS q, round(bs, 6) AS score FROM b{len(_SIZES)} WHERE best IS NOT NULL")
+def border_tile_choice(spark, d):
+    p = X.emb_gray(spark, d).withColumn("v", F.floor(F.col("v") / 64))
+    return N.tile_choice(p, 8, 8, _SIZES).withColumn("score", F.round("score", 6))
+
+
+@query("palette_octree_reduced")
+def palette_octree_reduced(spark, d):
+    """At most 24 colours a sprite from its octree's leaves."""
+    return G.octree_palette(G.octree_sums(X.anim_rgba(spark, d)), 24)

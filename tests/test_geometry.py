@@ -53,3 +53,16 @@ def test_shared_folder_must_be_set_on_a_cluster():
 
     with pytest.raises(ValueError, match="checkpoint"):
         files.shared_folder(Session)
+
+
+@pytest.mark.parametrize("colors", [1, 3, 12, 16, 40])
+def test_octree_palette_keeps_all_pixels(spark, colors):
+    rng = np.random.default_rng(5)
+    rows = [(0, *map(int, c), 255) for c in rng.integers(0, 256, (300, 3))]
+    p = spark.createDataFrame(rows, "sprite_id long, r int, g int, b int, a int")
+    got = G.octree_palette(G.octree_sums(p), colors).collect()
+    assert 1 <= len(got) <= colors and sum(r.n for r in got) == len(rows)
+    mean = np.mean([r[1:4] for r in rows], axis=0)
+    assert np.abs(np.sum([[r.r * r.n, r.g * r.n, r.b * r.n] for r in got], axis=0) / len(rows) - mean).max() <= 0.51
+    exact = G.octree_palette(G.octree_sums(p), 400).collect()
+    assert {(r.r >> 1, r.g >> 1, r.b >> 1) for r in exact} == {(r[1] >> 1, r[2] >> 1, r[3] >> 1) for r in rows}

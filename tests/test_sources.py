@@ -57,9 +57,11 @@ def test_palette_files(spark, tmp_path):
     (tmp_path / "p.gpl").write_text("GIMP Palette\nName: x\n#\n 12  3 255\tSky\n0 0 0\n")
     got = files.parse_gpl(files.read_lines(spark, str(tmp_path / "p.gpl"))).orderBy("idx").drop("file").collect()
     assert [tuple(r) for r in got] == [(0, 12, 3, 255, "Sky"), (1, 0, 0, 0, "")]
-    (tmp_path / "p.act").write_bytes(bytes(i % 256 for i in range(768)) + b"\0\2\0\0")
+    (tmp_path / "p.act").write_bytes(bytes(i % 256 for i in range(768)) + b"\1\0\0\0")
     got = files.read_act(spark, str(tmp_path / "p.act")).filter("idx = 200").first()
     assert (got.r, got.g, got.b) == tuple((600 + i) % 256 for i in range(3))
+    (tmp_path / "q.act").write_bytes(bytes(768) + b"\0\2\0\0")  # two entries count
+    assert files.read_act(spark, str(tmp_path / "q.act")).count() == 2
 
 
 def test_image_files(spark, tmp_path):
