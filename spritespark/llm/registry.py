@@ -13,6 +13,7 @@ from spritespark.llm.packing import packed_pieces
 from spritespark.llm.pii import personal_data
 from spritespark.llm.quality import quality_scores
 from spritespark.llm.simhash import fingerprints
+from spritespark.llm.token_counts import token_counts
 from spritespark.llm.token_output import packed_ids
 from spritespark.llm.toxicity import toxicity_scores
 from spritespark.llm.url_filters import listed_captures
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": fingerprints,
         "op9_packing": packed_pieces,
         "op10_jaccard": shingle_links,
+        "op13_token_counts": token_counts,
     }
 
 

@@ -36,7 +36,7 @@ def folder(request, spark, tmp_path_factory):
     return request.param, str(d)
 
 
-EXPECTED = {"op1": 71, "op2": 71, "op3": 4, "op6": 71, "op7": 71, "op8": 70, "op10": 71}
+EXPECTED = {"op1": 71, "op2": 71, "op3": 4, "op6": 71, "op7": 71, "op8": 70, "op10": 71, "op13": 71}
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
