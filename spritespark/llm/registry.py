@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spritespark.llm.collocations import phrase_collocations
 from spritespark.llm.decontamination import contaminated_documents
 from spritespark.llm.jaccard import shingle_links
 from spritespark.llm.lm_scoring import class_scores
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": fingerprints,
         "op9_packing": packed_pieces,
         "op10_jaccard": shingle_links,
+        "op12_collocations": phrase_collocations,
         "op13_token_counts": token_counts,
     }
 

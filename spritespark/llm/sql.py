@@ -23,5 +23,32 @@ SELECT h.page_id, count(f.category) AS n_active,
        coalesce(string_agg(DISTINCT f.category, ',' ORDER BY f.category), '') AS categories,
        coalesce((SELECT g.pattern FROM found g WHERE g.page_id = h.page_id ORDER BY length(g.pattern) DESC, g.pattern DESC LIMIT 1), '') AS pattern
 FROM hosts h LEFT JOIN found f ON f.page_id = h.page_id GROUP BY h.page_id
+""",
+    "op12_collocations": r"""
+WITH cleaned AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM cleaned),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces WHERE regexp_matches(piece, '[^\x20\x09]')),
+counts AS (
+  SELECT lang, k, phrase, count(*) AS f FROM (
+    SELECT lang, 1 AS k, unnest(w) AS phrase FROM lists
+    UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' '))) FROM lists
+    UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) FROM lists)
+  GROUP BY lang, k, phrase),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 10),
+cuts AS (SELECT *, unnest(range(1, k)) AS c FROM candidates),
+scored AS (
+  SELECT t.lang, t.k, t.phrase, t.a, t.c, x.f AS l, y.f AS r, ((1000000::HUGEINT * t.a * t.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts t JOIN counts x ON x.lang = t.lang AND x.phrase = array_to_string(t.w[1:t.c], ' ') AND x.k = t.c
+  JOIN counts y ON y.lang = t.lang AND y.phrase = array_to_string(t.w[t.c+1:t.k], ' ') AND y.k = t.k - t.c),
+weakest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS i FROM scored) WHERE i = 1),
+inner_pairs AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM candidates WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM candidates WHERE k = 3) GROUP BY lang, phrase),
+kept AS (SELECT s.* FROM weakest s LEFT JOIN inner_pairs i ON i.lang = s.lang AND i.phrase = s.phrase WHERE i.longer IS NULL OR 100 * i.longer < 50 * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, z.n, r.score FROM ranked r JOIN sizes z ON z.lang = r.lang WHERE r.rank <= 2000
 """,
 }
