@@ -53,3 +53,8 @@ def test_whole_table(spark, small, library):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
     got = registry.queries()["op13_token_counts"](spark, small).collect()
     assert len(got) == len(texts) and all(r.n_tokens == tokens(library, texts[r.doc_id]) for r in got)
+
+
+def test_no_more_than_the_bound_is_broadcast(spark):
+    counts = spark.createDataFrame([(f"p{i}", 9 if i < 1 else 5 if i < 4 else 3 if i < 54 else 1) for i in range(60)] + [("x" * 65, 1000)], "piece string, n long")
+    assert [most_frequent(counts, m).count() for m in (0, 1, 3, 4, 10, 54, 60)] == [0, 1, 1, 4, 4, 54, 60]
