@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from spritespark.llm import registry
 from spritespark.llm.common import vocabulary_path
-from spritespark.llm.token_counts import FAMILIAR, _pattern, blocks, count_tokens, parts_of
+from spritespark.llm.token_counts import FAMILIAR, _pattern, blocks, count_tokens, most_frequent, parts_of
 from spritespark.llm.tokens import SPECIAL
 
 
