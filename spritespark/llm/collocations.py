@@ -11,7 +11,7 @@ filter's false positives make a pass count phrases needlessly, never wrongly: me
 so that a phrase is counted by exactly one pass, and whole.
 
 Counting: a task turns words to numbers, counts phrases as sorted codes in blocks of BLOCK words and hands on one row a
-phrase and block; the shuffle's aggregate adds these up, so that a frequent phrase is no hot key.
+phrase and block, so that a frequent phrase is no hot key; these are dealt out by key and added up.
 
 Defined cases: a null text counts as empty, a null lang as ``und``; ties are broken by the phrase's bytes; repeated rows
 count each; an empty table gives none; texts of any length are read in blocks that overlap by a phrase; other columns are
@@ -20,6 +20,8 @@ not read (doc_id serves the choice of the sample only and may be null).
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from spritespark.llm.common import joined, stored, table
 
 #: Words whose phrases are counted at a time, bytes of a text that are cut to words at a time, words a task remembers.
-BLOCK, BYTES, REMEMBERED = 4_000_000, 1 << 22, 1_000_000
+BLOCK, BYTES, REMEMBERED = 1_000_000, 1 << 22, 400_000
 #: A filter has 2**BITS bits, of which a phrase sets SET.
 BITS, SET = 26, 4
 #: Share of the documents in the sample.
@@ -42,6 +44,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hash(lang: str, word: bytes) -> int:
+    """As ``Counter._words`` has it."""
     return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang.encode()) & 0xFFFFFFFF)
 
 
@@ -96,32 +99,20 @@ class Filter:
     __hash__ = None
 
 
-class _Ids(dict):
-    """word -> number, new words being numbered on; 0 ends a piece."""
-
-    def __init__(self, lang: str, names: list, langs: list, hashes: list):
-        super().__init__({b".": 0})
-        self.new = lang, names, langs, hashes
-
-    def __missing__(self, word: bytes) -> int:
-        lang, names, langs, hashes = self.new
-        self[word] = out = len(names)
-        names.append(word)
-        langs.append(lang)
-        hashes.append(word_hash(lang, word))
-        return out
-
-
 class Counter:
     """Counts the phrases of a stream of texts: those of one word if ``words``, longer ones if both their shorter parts pass
-    the filters and did not both pass the ``old`` ones."""
+    the filters and did not both pass the ``old`` ones.
+
+    Words have numbers; 0 ends a piece. A language's words are a dict that numbers new ones on.
+    """
 
     def __init__(self, longest: int, words: bool, filters: list[Filter], old: list[Filter] | None):
         self.longest, self.words, self.filters, self.old = longest, words, filters, old
         self._forget()
 
     def _forget(self) -> None:
-        self.names, self.langs, self.hashes, self.ids = [b""], [""], [0], {}
+        self.ids: dict[str, defaultdict] = {}
+        self.next = itertools.count(1).__next__
         self.held: list[np.ndarray] = []
         self.n = 0
 
@@ -129,8 +120,21 @@ class Counter:
         self.held.append(ids)
         self.n += len(ids)
 
-    def _look(self, lang: str) -> _Ids:
-        return self.ids.get(lang) or self.ids.setdefault(lang, _Ids(lang, self.names, self.langs, self.hashes))
+    def _look(self, lang: str) -> defaultdict:
+        if lang not in self.ids:
+            self.ids[lang] = defaultdict(self.next, {b".": 0})
+        return self.ids[lang]
+
+    def _words(self) -> tuple[list[bytes], list[str], np.ndarray]:
+        """Names, languages and hashes by number."""
+        n = 1 + sum(len(own) - 1 for own in self.ids.values())
+        names, langs, hashes = [b""] * n, [""] * n, np.zeros(n, np.uint64)
+        for lang, own in self.ids.items():
+            seed = xxhash.xxh64_intdigest(lang.encode()) & 0xFFFFFFFF
+            for word, i in own.items():
+                if i:
+                    names[i], langs[i], hashes[i] = word, lang, xxhash.xxh64_intdigest(word, seed)
+        return names, langs, hashes
 
     def read(self, lang: str, text: bytes) -> Iterator[pa.RecordBatch]:
         at = 0
@@ -148,9 +152,10 @@ class Counter:
         ids = np.concatenate([*self.held, np.zeros(1 if last else 0, np.int32)])
         keep = 0 if last else min(self.longest - 1, len(ids))
         begins = len(ids) - keep
-        names, langs, hashes = pa.array(self.names, pa.binary()), pa.array(self.langs, pa.string()), np.array(self.hashes, np.uint64)
+        words, languages, hashes = self._words()
+        names, langs = pa.array(words, pa.binary()), pa.array(languages, pa.string())
         if self.words:
-            n = np.bincount(ids[:begins], minlength=len(self.names))
+            n = np.bincount(ids[:begins], minlength=len(words))
             at = np.flatnonzero(n[1:]) + 1
             yield from self._rows([at], n[at], names, langs)
             for lang, own in self.ids.items():  # all words of a language: the empty phrase
@@ -169,22 +174,28 @@ class Counter:
                 counted &= ~(before[:-1] & before[1:])
             at = np.flatnonzero(counted[:begins])
             if len(at):
-                codes = ids[at].astype(np.int64)
+                codes, shorter = ids[at].astype(np.int64), []
                 for j in range(1, k):
-                    ranks = np.unique(codes, return_inverse=True)[1] if j > 1 else codes
-                    codes = (ranks << 32) | ids[at + j]
-                _, first, n = np.unique(codes, return_index=True, return_counts=True)
-                yield from self._rows([ids[at[first] + j] for j in range(k)], n, names, langs)
+                    if j > 1:  # two words make a code; a longer phrase's begins with the rank of its first words
+                        kinds, codes = np.unique(codes, return_inverse=True)
+                        shorter.append(kinds)
+                    codes = (codes << 32) | ids[at + j]
+                codes, n = np.unique(codes, return_counts=True)
+                own = [codes & 0xFFFFFFFF]
+                for kinds in reversed(shorter):
+                    codes = kinds[codes >> 32]
+                    own.append(codes & 0xFFFFFFFF)
+                yield from self._rows([codes >> 32, *reversed(own)], n, names, langs)
             if k - 1 < len(self.filters):
                 phrase = longer_hash(phrase[:-1], hashes[ids[k - 1 :]])
                 passes = self.filters[k - 1].has(phrase) & inside
                 before = self.old[k - 1].has(phrase) & inside if self.old else None
-        carried = [(self.langs[i], self.names[i]) for i in ids[begins:]]
-        if len(self.names) > REMEMBERED:
+        carried = [(languages[i], words[i] or b".") for i in ids[begins:]]
+        if len(words) > REMEMBERED:
             self._forget()
         self.held, self.n = [], 0
         if carried:
-            self._hold(np.array([self._look(lang)[name or b"."] for lang, name in carried], np.int32))
+            self._hold(np.array([self._look(lang)[word] for lang, word in carried], np.int32))
 
     @staticmethod
     def _rows(words: list[np.ndarray], n: np.ndarray, names: pa.Array, langs: pa.Array, size: int = 100_000) -> Iterator[pa.RecordBatch]:
@@ -206,7 +217,8 @@ def _counts(texts: DataFrame, longest: int, words: bool, filters: list[Filter],
                 yield from counter.read(lang, (text.as_py() or "").encode())
         yield from counter.flush()
 
-    return texts.mapInArrow(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    # a task's rows are sums already: they are dealt out by key as they are and added up there
+    return texts.mapInArrow(count, "key string, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 _LENGTH = "CASE WHEN key LIKE '\n%' THEN 0 ELSE size(split(substring_index(key, '\n', 1), ' ')) END"
