@@ -13,6 +13,7 @@ from spritespark.llm.lm_scoring import class_scores
 from spritespark.llm.packing import packed_pieces
 from spritespark.llm.pii import personal_data
 from spritespark.llm.quality import quality_scores
+from spritespark.llm.ranked_search import ranked_documents
 from spritespark.llm.simhash import fingerprints
 from spritespark.llm.token_counts import token_counts
 from spritespark.llm.token_output import packed_ids
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": fingerprints,
         "op9_packing": packed_pieces,
         "op10_jaccard": shingle_links,
+        "op11_ranked_search": ranked_documents,
         "op12_collocations": phrase_collocations,
         "op13_token_counts": token_counts,
     }

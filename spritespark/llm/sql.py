@@ -23,6 +23,27 @@ SELECT h.page_id, count(f.category) AS n_active,
        coalesce(string_agg(DISTINCT f.category, ',' ORDER BY f.category), '') AS categories,
        coalesce((SELECT g.pattern FROM found g WHERE g.page_id = h.page_id ORDER BY length(g.pattern) DESC, g.pattern DESC LIMIT 1), '') AS pattern
 FROM hosts h LEFT JOIN found f ON f.page_id = h.page_id GROUP BY h.page_id
+""",
+    "op11_ranked_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS d, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+sized AS (SELECT d, doc_id, w, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM sized),
+postings AS (SELECT d, term, count(*)::BIGINT AS tf FROM (SELECT d, unnest(w) AS term FROM sized) GROUP BY d, term),
+weights AS (
+  SELECT term, floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE)))::BIGINT AS w
+  FROM (SELECT term, count(*)::BIGINT AS df FROM postings GROUP BY term), totals),
+items AS (
+  SELECT DISTINCT item_id, text, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+scores AS (
+  SELECT i.item_id, i.text, s.d, any_value(s.doc_id) AS doc_id,
+         sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * s.n * t.big_n) // t.big_l))))::BIGINT AS score
+  FROM items i JOIN postings p USING (term) JOIN weights w USING (term) JOIN sized s ON s.d = p.d, totals t
+  GROUP BY i.item_id, i.text, s.d),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50
 """,
     "op12_collocations": r"""
 WITH cleaned AS (
