@@ -63,6 +63,32 @@ def joined(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> Da
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cool, keys))
 
 
+def joined_in_parts(rows: DataFrame, others: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """rows inner-joined with others, of which a key may have several rows on either side.
+
+    Keys that more than a HOT_PARTS-th of rows share, of which there can be HOT_PARTS at most, are broadcast with a number of
+    parts, 2 * HOT_PARTS in all: their rows are dealt to these by a hash of the columns ``by``, and the others' rows of
+    such a key are copied to each. Both tables are read twice: they should be stored ones.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("size"))
+    limit = (rows.count() // HOT_PARTS) + 1
+    hot = F.broadcast(sizes.filter(F.col("size") > limit).select(*keys, F.ceil(F.col("size") / limit).cast("int").alias("parts")))
+    dealt = rows.join(hot, keys, "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*by), F.col("parts"))).cast("int")).drop("parts")
+    copied = others.join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copied, [*keys, "part"]).drop("part")
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of counts (..., n) of the greatest n, ``most`` or fewer: whole classes of about equal n, up to the first that doesn't fit."""
+    graded = counts.withColumn("grade", F.floor(16 * F.log2("n")))
+    edge, taken = None, 0
+    for r in sorted(graded.groupBy("grade").agg(F.count("*").alias("rows")).collect(), reverse=True):  # 1,024 grades at most
+        if (taken := taken + r.rows) > most:
+            break
+        edge = r.grade
+    return graded.filter(F.lit(False) if edge is None else F.col("grade") >= edge).drop("grade")
+
+
 def remainder(doc_id, modulus: int):
     """crc32 of a doc_id as text, modulo: the folds of the contracts. Null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus

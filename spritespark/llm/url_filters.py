@@ -3,8 +3,9 @@
 An entry (category, pattern, action, at) adds a domain to a list or removes it; it holds until the next entry of the
 same category and pattern. A capture is looked up under its host and every parent domain. Time is cut into slots, and
 these are joined in pairs, fours and so on: an interval of n slots is entered under the O(log n) of these spans that
-make it up, a capture under the one of each length that holds it. The join is one on (pattern, span) with the exact
-bounds as a residual, so that neither a popular domain nor an entry without an end meets in one task or is copied often.
+make it up, a capture under the one that holds it of each length that some interval of the pattern has. The join is one
+on (pattern, span) with the exact bounds as a residual. An entry without an end is copied O(log n) times; the captures of
+a popular domain share few keys, which are dealt out in parts.
 
 Defined cases: a null or hostless url, or a null fetch time, matches nothing; entries with a null field are
 ignored; entries at one time count in the order of ``seq``, and only the last holds; repeated captures and entries count
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spritespark.llm.common import stored, table
+from spritespark.llm.common import joined_in_parts, stored, table
 
 #: Length of a slot, in seconds.
 SLOT = 2 * 86_400
@@ -75,10 +76,10 @@ def active_entries(captures: DataFrame, entries: DataFrame, slot: int = SLOT) ->
     lo, hi = (0, -1) if lo is None else (lo, hi)
     held = held.withColumn("span", F.explode(spans_of(F.expr(f"greatest(floor(since / {slot}), {lo}) - {lo}"), F.expr(f"least({hi}, coalesce(floor((until - 1) / {slot}), {hi})) - {lo}"), hi - lo)))
     held = held.select("category", "pattern", "since", "until", "span.level", "span.node")
-    at = F.floor(F.col("t") / slot) - lo
-    levels = F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright(at, k).alias("node")) for k in range((hi - lo + 1).bit_length() + 1)))
-    asked = rows.filter("host <> '' AND t IS NOT NULL").select("row", "page_id", "t", F.explode(domains_of(F.col("host"))).alias("pattern"), levels.alias("spans")).select("row", "page_id", "t", "pattern", F.explode("spans").alias("span")).select("row", "page_id", "t", "pattern", "span.level", "span.node")
-    found = asked.join(held, ["pattern", "level", "node"]).filter("since <= t AND (until IS NULL OR t < until)")
+    held = stored(held, "held")
+    asked = stored(rows.filter("host <> '' AND t IS NOT NULL").select("row", "page_id", "t", F.explode(domains_of(F.col("host"))).alias("pattern")), "asked")
+    spans = stored(joined_in_parts(asked, held.select("pattern", "level").distinct(), ["pattern"], ["row"]).withColumn("node", F.expr(f"shiftright(CAST(floor(t / {slot}) - {lo} AS BIGINT), level)")), "spans")
+    found = joined_in_parts(spans, held, ["pattern", "level", "node"], ["row"]).filter("since <= t AND (until IS NULL OR t < until)")
     each = rows.select("page_id", "row", F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("string").alias("category")).union(found.select("page_id", "row", "pattern", "category"))
     return each.groupBy("row", "page_id").agg(F.count("category").alias("n_active"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), F.coalesce(F.max_by("pattern", F.struct(F.length("pattern"), "pattern")), F.lit("")).alias("pattern")).drop("row")
 
