@@ -1,7 +1,8 @@
 """Benchmark decontamination: every passage of every text queries a BM25 inverted index of test items with block-max WAND.
 
-A passage is a window of words, twice as long as the longest item and half overlapping the next, so that an item lies
-whole in one of them. Scores are BM25 with an item's self-score as unit; all items at or above THRESHOLD are
+Items are indexed by classes of length, each up to twice as long as the one before. A passage is a window of words, twice as long as
+the class allows and half overlapping the next, so that an item lies whole in one of them, and no item's passages depend on
+another item's length. Scores are BM25 with an item's self-score as unit; all items at or above THRESHOLD are
 retrieved, then verified: the item's question (all but its last sentence) and answer (its last sentence; for one
 sentence, its last third) must each share enough word pairs with the passage.
 
@@ -9,8 +10,8 @@ Before the index is walked, all passages of a text are bounded at once, from blo
 can't give any item more than half of the threshold together are set aside, and the others' greatest impacts in each
 block of items are summed by passage. Only passages of which some block can reach the threshold go through WAND.
 
-An index holds at most about ITEMS items and is broadcast; more items are indexed in blocks, each of which reads the texts.
-Term and item statistics and the passages' length are those of all items, so that blocks do not change a score.
+An index holds about ITEMS items and ITEM_BYTES at most and is broadcast; more items are indexed in blocks, each of which reads the texts.
+Term and item statistics are those of all items, so that blocks do not change a score.
 
 Defined cases: a null or empty text or item has no match; a null doc_id is kept as null; repeated rows match each;
 empty tables give no rows; extra columns pass through ``drop_contaminated`` and are not read.
@@ -33,7 +34,9 @@ from spritespark.llm.common import stored, table, text_bytes
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 QUESTION, ANSWER = 0.5, 0.5
-ITEMS = 20_000
+ITEMS, ITEM_BYTES = 20_000, 32_000_000
+#: Words of the shortest class of items.
+SHORT = 8
 BLOCK = 64
 #: Items in a block of the first bound.
 COARSE = 2
@@ -61,8 +64,9 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
 class BlockMaxIndex:
     """Postings by term: items in order with their impacts (of a self-score of 1), in blocks with their greatest impact."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, df: dict[bytes, int] | None = None, n: int = 0, mean: float = 1.0, longest: int = 1):
-        """df: the number of items by word, n: of all items, mean and longest: their words; without df, those of these items."""
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, df: dict[bytes, int] | None = None, n: int = 0, mean: float = 1.0, longest: int | None = None):
+        """df: the number of items by word, n: of all items, mean: their words; without df, those of these items. longest: words of
+        an item that passages must hold whole, by default those of the longest one here."""
         own = [(i, t, words_of(t.encode())) for i, t in sorted(items) if words_of(t.encode())]
         self.threshold = threshold
         self.item_ids = [i for i, _, _ in own]
@@ -70,8 +74,8 @@ class BlockMaxIndex:
         self.singles = [tuple(len(p) == 1 for p in question_and_answer(t)) for _, t, _ in own]
         if df is None:
             df, n = Counter(w for _, _, words in own for w in set(words)), len(own)
-            mean, longest = sum(len(w) for _, _, w in own) / max(1, n), max((len(w) for _, _, w in own), default=1)
-        self.longest = longest
+            mean = sum(len(w) for _, _, w in own) / max(1, n)
+        self.half = max(SHORT, longest or max((len(w) for _, _, w in own), default=1))
         self.terms = {w: k for k, w in enumerate(sorted({w for _, _, words in own for w in words}))}
         idf = {w: float(np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))) for w in self.terms}
         postings: list[list] = [[] for _ in self.terms]
@@ -168,11 +172,10 @@ class BlockMaxIndex:
                 pos += 1 if pos % BLOCK or pos + BLOCK > len(docs) or docs[pos + BLOCK - 1] >= target else BLOCK
             entry[0], entry[1] = (docs[pos] if pos < len(docs) else end), pos
 
-    def matches(self, text: bytes) -> list[tuple[int, float, float, float, int]]:
-        """(item_id, score, question, answer, first word) of the verified items of a text, each at its best passage."""
-        words = words_of(text)
+    def matches(self, words: list[bytes]) -> list[tuple[int, float, float, float, int]]:
+        """(item_id, score, question, answer, first word) of the verified items of a text's words, each at its best passage."""
         ids = np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words))
-        half = max(8, self.longest)
+        half = self.half
         window = 2 * half
         best: dict[int, tuple] = {}
         for start in self.promising(ids, half) if self.item_ids else []:
@@ -189,8 +192,23 @@ class BlockMaxIndex:
         return [best[at] for at in sorted(best)]
 
 
-def _indexes(benchmark: DataFrame, threshold: float, most: int) -> Iterator[BlockMaxIndex]:
-    """Indexes of at most about ``most`` items each: the driver holds one block of items, and its words' counts, at a time."""
+class Indexes:
+    """An index for each class of item lengths: 1 to SHORT words, then up to twice as many, and so on."""
+
+    def __init__(self, items: list[tuple[int, str]], threshold: float, df: dict[bytes, int], n: int, mean: float):
+        classes: dict[int, list] = defaultdict(list)
+        for item in items:
+            size = len(words_of(item[1].encode()))
+            classes[SHORT << max(0, -(-size // SHORT) - 1).bit_length()].append(item)
+        self.parts = [BlockMaxIndex(classes[k], threshold, df, n, mean, k) for k in sorted(classes)]
+
+    def matches(self, text: bytes) -> list[tuple[int, float, float, float, int]]:
+        words = words_of(text)
+        return [m for index in self.parts for m in index.matches(words)]
+
+
+def _indexes(benchmark: DataFrame, threshold: float, most: int, most_bytes: int = ITEM_BYTES) -> Iterator[Indexes]:
+    """Indexes of about ``most`` items and ``most_bytes`` at most: the driver holds one block of items, and its words' counts, at a time."""
     items = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["item_id", "text"])
     schema = "item_id long, text string, size long, terms array<binary>"
 
@@ -200,13 +218,13 @@ def _indexes(benchmark: DataFrame, threshold: float, most: int) -> Iterator[Bloc
             yield pa.RecordBatch.from_arrays([b.column("item_id"), b.column("text"), pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.binary()))], names=["item_id", "text", "size", "terms"])
 
     own = stored(items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(split, schema).filter("size > 0"), "items")
-    total = own.agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.max("size").alias("longest")).first()
+    total = own.agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.sum(F.octet_length("text")).alias("bytes")).first()
     counts = stored(own.select(F.explode("terms").alias("word")).groupBy("word").count(), "terms")
-    blocks = -(-total.n // most)
+    blocks = max(-(-total.n // most), -(-(total.bytes or 0) // most_bytes))
     for k in range(blocks):
         part = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         df = counts.join(part.select(F.explode("terms").alias("word")).distinct(), "word", "left_semi").collect()
-        yield BlockMaxIndex([(r.item_id, r.text) for r in part.select("item_id", "text").collect()], threshold, {bytes(r.word): r["count"] for r in df}, total.n, total.words / total.n, total.longest)
+        yield Indexes([(r.item_id, r.text) for r in part.select("item_id", "text").collect()], threshold, {bytes(r.word): r["count"] for r in df}, total.n, total.words / total.n)
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, most: int = ITEMS) -> DataFrame:
