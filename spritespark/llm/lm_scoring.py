@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spritespark.llm.common import discard, remainder, stored, table, text_bytes
+from spritespark.llm.common import discard, most_frequent, remainder, stored, table, text_bytes
 from spritespark.llm.jaccard import _batch
 
 SEEDS = 1000
@@ -117,16 +117,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def _top(counts: DataFrame, most: int) -> np.ndarray:
-    """(key, n) of at most ``most`` words, the most frequent first, then by key; ties at the edge all stay out."""
-    by_n = sorted(((r.n, r.words) for r in counts.groupBy("n").agg(F.count("*").alias("words")).filter("words <= %d" % most).orderBy(F.desc("n")).limit(most).collect()), reverse=True)
-    edge, total = None, 0
-    for n, words in by_n:
-        if total + words > most:
-            break
-        edge, total = n, total + words
-    if edge is None:
-        return np.zeros((0, 2), np.int64)
-    out = counts.filter(F.col("n") >= edge).select("key", "n").toPandas().to_numpy(np.int64)
+    """(key, n) of at most ``most`` words, the most frequent first, then by key; a class of counts that doesn't fit ends it."""
+    out = most_frequent(counts, most).select("key", "n").toPandas().to_numpy(np.int64)
     return out[np.lexsort((out[:, 0], -out[:, 1]))]
 
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spritespark.llm.common import stored, table, vocabulary_path
+from spritespark.llm.common import most_frequent, stored, table, vocabulary_path
 from spritespark.llm.tokens import SPECIAL, _json
 
 #: Pre-tokens that are broadcast with their counts, at most, and the most code points of one.
@@ -123,17 +123,6 @@ def piece_counts(documents: DataFrame) -> DataFrame:
     return stored(found.groupBy("piece").agg(F.sum("n").alias("n")).mapInArrow(_tokenized, "piece string, n long, pieces long"), "pre_tokens")
 
 
-def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The most frequent short pre-tokens, ``most`` or fewer: whole classes of about equal frequency, up to the first that doesn't fit."""
-    graded = counts.filter(F.length("piece") <= HOT_LENGTH).withColumn("grade", F.floor(16 * F.log2("n")))
-    edge, taken = None, 0
-    for r in sorted(graded.groupBy("grade").count().collect(), reverse=True):  # 1,024 grades at most
-        if (taken := taken + r["count"]) > most:
-            break
-        edge = r.grade
-    return graded.filter(F.lit(False) if edge is None else F.col("grade") >= edge)
-
-
 class _Known(dict):
     """pre-token -> tokens; what is missing counts for nothing here and is noted."""
 
@@ -149,7 +138,7 @@ class _Known(dict):
 def count_tokens(documents: DataFrame, limit: int = LIMIT, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row; ``hot`` bounds what is broadcast and changes no count."""
     counts = piece_counts(documents)
-    frequent = most_frequent(counts, hot).select("piece", "pieces").toPandas()
+    frequent = most_frequent(counts.filter(F.length("piece") <= HOT_LENGTH), hot).select("piece", "pieces").toPandas()
     known = documents.sparkSession.sparkContext.broadcast(dict(zip(frequent.piece, frequent.pieces.tolist(), strict=True)))
     schema = "row long, doc_id long, n_bytes long, known long, rare array<struct<piece: string, times: long>>"
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("piece", pa.string()), ("times", pa.int64())]))]
