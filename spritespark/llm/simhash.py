@@ -23,7 +23,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spritespark.llm.common import stored, table
+from spritespark.llm.common import joined, joined_in_parts, stored, table
 
 BITS = 128
 HEAVIEST = 24
@@ -88,21 +88,23 @@ def _entries(prints: DataFrame, level: int, n: int) -> DataFrame:
     """Every row of prints (hi, lo, block, t0..) under each block of a level, inside the block it had."""
     blocks = [F.struct(F.lit(t).alias("t"), F.xxhash64("block", F.lit(t), F.col("hi").bitwiseAND(F.lit(h)), F.col("lo").bitwiseAND(F.lit(w))).alias("b")) for t, (h, w) in enumerate(_partition(level, n))]
     before = [f"t{i}" for i in range(level)]
-    return prints.select("hi", "lo", *before, F.explode(F.array(*blocks)).alias("e")).select("hi", "lo", *before, F.col("e.t").alias(f"t{level}"), F.col("e.b").alias("block"))
+    return prints.select("hi", "lo", "rows", *before, F.explode(F.array(*blocks)).alias("e")).select("hi", "lo", "rows", *before, F.col("e.t").alias(f"t{level}"), F.col("e.b").alias("block"))
 
 
 def _shared(entries: DataFrame) -> DataFrame:
     """The entries whose block holds others, too, with their number n."""
-    keys = [c for c in entries.columns if c not in ("hi", "lo")]
-    return stored(entries.join(entries.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1"), keys), "blocks")
+    keys = [c for c in entries.columns if c not in ("hi", "lo", "rows")]
+    sizes = stored(entries.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    return stored(joined(entries, sizes, keys, "n"), "blocks")
 
 
 def within_radius(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """(hi1, lo1, hi2, lo2, distance): all pairs of different fingerprints (hi, lo) at most ``radius`` bits apart.
+    """(hi1, lo1, rows1, hi2, lo2, rows2, distance): all pairs of different fingerprints (hi, lo, rows) at most ``radius`` bits apart.
 
     radius + 1 tables, one for each block of bits, the join being the search in it. Blocks of more than ``hot``
     fingerprints are split by the blocks of another order of the bits, and so on: a pair within the radius agrees in
-    one block of any order, so that none is lost. It is kept in the first block of each order in which it agrees.
+    one block of any order, so that none is lost. It is kept in the first block of each order in which it agrees. In each
+    join the fingerprints of a large block are dealt out in parts; after LEVELS orders nearly all pairs that still meet are results.
     """
     if not 0 < radius < 16:
         raise ValueError("radius: 1 to 15")
@@ -113,17 +115,18 @@ def within_radius(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> Da
     def first(level: int) -> Column:
         return F.coalesce(*(F.when((x1.bitwiseAND(F.lit(h)) == 0) & (x2.bitwiseAND(F.lit(w)) == 0), F.lit(t)) for t, (h, w) in enumerate(_partition(level, n))))
 
-    rest, found = prints.select("hi", "lo").dropna().distinct().withColumn("block", F.lit(0).cast("long")), None
+    rest, found = prints.dropna().groupBy("hi", "lo").agg(F.sum("rows").alias("rows")).withColumn("block", F.lit(0).cast("long")), None
     for level in range(LEVELS):
         met = _shared(_entries(rest, level, n))
         last = level == LEVELS - 1 or not met.filter(F.col("n") > hot).take(1)
         cool = met if last else met.filter(F.col("n") <= hot)
         keys = ["block", *(f"t{i}" for i in range(level + 1))]
-        x, y = (cool.select(*keys, F.col("hi").alias(f"hi{i}"), F.col("lo").alias(f"lo{i}")) for i in (1, 2))
+        x, y = (cool.select(*keys, F.col("hi").alias(f"hi{i}"), F.col("lo").alias(f"lo{i}"), F.col("rows").alias(f"rows{i}")) for i in (1, 2))
         once = F.lit(True)
         for i in range(level + 1):
             once = once & (F.col(f"t{i}") == first(i))
-        pairs = x.join(y, keys).filter((F.struct("hi1", "lo1") < F.struct("hi2", "lo2")) & (distance <= radius) & once).select("hi1", "lo1", "hi2", "lo2", distance.alias("distance"))
+        pairs = joined_in_parts(x, y, keys, ["hi1", "lo1"]).filter((F.struct("hi1", "lo1") < F.struct("hi2", "lo2")) & (distance <= radius) & once)
+        pairs = pairs.select("hi1", "lo1", "rows1", "hi2", "lo2", "rows2", distance.alias("distance"))
         found = pairs if found is None else found.union(pairs)
         if last:
             return found
@@ -132,13 +135,14 @@ def within_radius(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> Da
 
 
 def near_counts(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """(hi, lo, n_near): how many other rows have a fingerprint at most ``radius`` bits from a row's; prints: hi, lo, n_rows."""
-    classes = stored(prints.groupBy("hi", "lo").agg(F.sum("n_rows").alias("n")), "classes")
-    pairs = stored(within_radius(classes, radius, hot), "pairs")
-    both = pairs.select(F.col("hi1").alias("at_hi"), F.col("lo1").alias("at_lo"), F.col("hi2").alias("hi"), F.col("lo2").alias("lo"))
-    both = both.union(pairs.select("hi2", "lo2", "hi1", "lo1"))
-    more = both.join(classes, ["hi", "lo"]).groupBy(F.col("at_hi").alias("hi"), F.col("at_lo").alias("lo")).agg(F.sum("n").alias("more"))
-    return classes.join(more, ["hi", "lo"], "left").select("hi", "lo", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"))
+    """(hi, lo, size, n_near): how many rows have a fingerprint, and how many others one at most ``radius`` bits from it; prints: hi, lo, n_rows.
+
+    Pairs are counted where they arise and never stored.
+    """
+    classes = stored(prints.groupBy("hi", "lo").agg(F.sum("n_rows").alias("rows"), F.count("*").alias("size")), "classes")
+    both = F.array(*(F.struct(F.col(f"hi{i}").alias("hi"), F.col(f"lo{i}").alias("lo"), F.col(f"rows{3 - i}").alias("rows")) for i in (1, 2)))
+    more = within_radius(classes, radius, hot).select(F.inline(both)).groupBy("hi", "lo").agg(F.sum("rows").alias("more"))
+    return classes.join(more, ["hi", "lo"], "left").select("hi", "lo", "size", (F.col("rows") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"))
 
 
 def following(ids: DataFrame) -> DataFrame:
@@ -176,7 +180,7 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     pick = lambda c, k: F.max(F.when(F.col("which") == k, F.col(c)))
     rows = stored(prints.groupBy(*keys).agg(F.max("n_rows").alias("n_rows"), pick("hi", 0).alias("hi"), pick("lo", 0).alias("lo"), pick("hi", 1).alias("ehi"), pick("lo", 1).alias("elo")), "prints")
     next_print = rows.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("next_id")).agg(F.min(F.struct("hi", "lo")).alias("n")).select("next_id", F.col("n.hi").alias("nhi"), F.col("n.lo").alias("nlo"))
-    rows = rows.join(near_counts(rows.select("hi", "lo", "n_rows")), ["hi", "lo"], "left")
+    rows = joined(rows, stored(near_counts(rows.select("hi", "lo", "n_rows")), "near"), ["hi", "lo"], "size")
     return rows.join(next_print, "next_id", "left").select(
         "doc_id", "n_chars", "edited_sha256", _hex("hi", "lo").alias("fingerprint"), _hex("ehi", "elo").alias("edited_fingerprint"), likeness("hi", "lo", "ehi", "elo").alias("near_edited"), likeness("hi", "lo", "nhi", "nlo").alias("near_next"), "n_rows", "n_near"
     )

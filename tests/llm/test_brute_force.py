@@ -156,7 +156,7 @@ def test_fingerprints_within_radius(spark):
     prints = base + [b ^ (1 << rng.randrange(128)) ^ (1 << rng.randrange(128)) for b in base for _ in range(4)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     rows = [(signed(p >> 64), signed(p & ((1 << 64) - 1))) for p in prints]
-    got = {frozenset(((r.hi1, r.lo1), (r.hi2, r.lo2))) for r in within_radius(spark.createDataFrame(rows, "hi long, lo long")).collect()}
+    got = {frozenset(((r.hi1, r.lo1), (r.hi2, r.lo2))) for r in within_radius(spark.createDataFrame(rows, "hi long, lo long").selectExpr("*", "1L AS rows")).collect()}
     both = dict(zip(rows, prints, strict=True))
     want = {frozenset((a, b)) for a in both for b in both if a < b and (both[a] ^ both[b]).bit_count() <= 3}
     assert got == want
@@ -182,7 +182,7 @@ def test_hot_blocks_are_split_without_a_loss(spark, radius):
     prints = sorted({one ^ (rng.getrandbits(40) << 50 if k % 2 else 0) ^ (1 << rng.randrange(128)) ^ (1 << rng.randrange(128)) for k in range(400)})
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     rows = [(signed(p >> 64), signed(p & ((1 << 64) - 1))) for p in prints]
-    got = [frozenset(((r.hi1, r.lo1), (r.hi2, r.lo2))) for r in within_radius(spark.createDataFrame(rows, "hi long, lo long"), radius, hot=20).collect()]
+    got = [frozenset(((r.hi1, r.lo1), (r.hi2, r.lo2))) for r in within_radius(spark.createDataFrame(rows, "hi long, lo long").selectExpr("*", "1L AS rows"), radius, hot=20).collect()]
     want = {frozenset((rows[a], rows[b])) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= radius}
     assert len(got) == len(set(got)) and set(got) == want
 
@@ -329,3 +329,61 @@ def test_held_out_ranking(spark, small, name, label, fold, least):
     pairs = [(r.score, labels[r.doc_id]) for r in got if r.doc_id in labels]
     good, bad = [s for s, y in pairs if y == 1], [s for s, y in pairs if y == 0]
     assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad)) > least
+
+
+def test_an_unrelated_long_item_changes_no_other_match(spark):
+    rng = random.Random(21)
+    words = [f"v{i}" for i in range(4000)]
+    item = " ".join(rng.choice(words) for _ in range(30)) + ". " + " ".join(rng.choice(words) for _ in range(10)) + "."
+    own = item.replace(".", "").split()
+    scattered = [rng.choice(words) for _ in range(7000)]
+    for k in range(3):
+        at = 1000 + 2500 * k
+        scattered[at : at + len(own[k * 14 : k * 14 + 14])] = own[k * 14 : k * 14 + 14]
+    long = " ".join(f"u{rng.randrange(3000)}" for _ in range(5000))
+    docs = spark.createDataFrame([(1, " ".join(scattered)), (2, f"{' '.join(scattered[:500])} {item} end"), (3, f"x {long} y")], "doc_id long, text string")
+    for items, want in (([(7, item)], {(2, 7)}), ([(7, item), (8, long)], {(2, 7), (3, 8)})):
+        got = contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want
+
+
+@pytest.mark.parametrize("shape", [lambda i: "example.com" if i % 2 else f"h{i}.org", lambda i: f"s{i}.example.com" if i % 2 else f"h{i}.org"])
+def test_captures_of_a_hot_domain_are_dealt_out(spark, shape):
+    import datetime
+
+    from spritespark.llm.url_filters import active_entries
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(i, f"https://{shape(i)}/p", at + datetime.timedelta(days=i % 60)) for i in range(8000)]
+    entries = [("spam", "example.com", "add", at + datetime.timedelta(days=3), 1), ("spam", "example.com", "remove", at + datetime.timedelta(days=40), 2), ("bad", "h4.org", "add", at, 3)]
+    df = active_entries(spark.createDataFrame(rows, "page_id long, url string, fetched timestamp"), spark.createDataFrame(entries, "category string, pattern string, action string, at timestamp, seq long"))
+    got = {r.page_id: (r.n_active, r.categories, r.pattern) for r in df.collect()}
+    for i, url, t in rows:
+        want = (1, "spam", "example.com") if i % 2 and 3 <= i % 60 < 40 else (1, "bad", "h4.org") if i == 4 else (0, "", "")
+        assert got[i] == want, (i, url, t)
+
+
+def test_rows_of_a_hot_key_are_dealt_to_parts(spark):
+    from spritespark.llm import common
+
+    rows = common.stored(spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"), F.col("id").alias("row")), "rows")
+    others = common.stored(spark.createDataFrame([(-1, "a"), (-1, "b"), (3, "c"), (4, "d")], "k long, v string"), "others")
+    out = common.joined_in_parts(rows, others, ["k"], ["row"])
+    got = out.collect()
+    assert len(got) == 20_001 and len(set(got)) == 20_001 and {r.v for r in got if r.k == -1} == {"a", "b"}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spread = common.joined_in_parts(rows, others, ["k"], ["row"]).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = sorted(r["count"] for r in spread)
+    assert len(sizes) == 4 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_the_most_frequent_words_stop_at_the_first_class_that_does_not_fit(spark):
+    from spritespark.llm.lm_scoring import _top
+
+    counts = lambda *sizes: spark.createDataFrame([(100 * k + j, n) for k, (n, words) in enumerate(sizes) for j in range(words)], "key long, n long")
+    assert [_top(c, 10)[:, 1].tolist() for c in (counts((5, 50), (3, 3), (9, 1)), counts((2, 50), (1, 1)), counts((9, 2), (4, 8), (1, 1)), counts((7, 0)))] == [[9], [], [9, 9] + [4] * 8, []]
