@@ -267,16 +267,3 @@ def recurrent_palette(histogram: DataFrame, least: int = 3, radius: float = 10.0
         return pd.DataFrame([(pdf[key].iloc[0], i, *np.median(g[1], axis=0).astype(int).tolist(), g[2]) for i, g in enumerate(groups)], columns=[key, "idx", "r", "g", "b", "n"])
 
     return histogram.select(key, "r", "g", "b", "n").groupBy(key).applyInPandas(run, f"{key} long, idx int, r int, g int, b int, n long")
-
-
-def grid_pitch(signal: DataFrame, keys: tuple = ("image_id", "axis")) -> DataFrame:
-    """signal: keys, at, signal. The step and phase whose lines carry most of an axis's edges, beyond what their number would."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.zeros(int(pdf["at"].max()) + 1)
-        s[pdf["at"].to_numpy()] = pdf.signal.to_numpy()
-        best = max((float(s[o::p].mean() - s.mean()), -p, -o) for p in range(2, max(3, len(s) // 2 + 1)) for o in range(p) if len(s[o::p]))
-        return pd.DataFrame([(*(pdf[k].iloc[0] for k in keys), -best[1], -best[2], round(best[0], 6))], columns=[*keys, "pitch", "phase", "gain"])
-
-    kinds = ", ".join(f"{k} {signal.schema[k].dataType.simpleString()}" for k in keys)
-    return signal.select(*keys, "at", "signal").groupBy(*keys).applyInPandas(run, f"{kinds}, pitch int, phase int, gain double")

@@ -90,11 +90,6 @@ def palette_kmeans_oklab(spark, d):
     return model.transform(rows).groupBy("idx").agg(F.count("*").alias("colors"), *(F.round(F.sum(v[i] * F.col("n")) / F.sum("n"), 6).alias(c) for i, c in enumerate(("l", "ca", "cb"))))
 
 
-@query("grid_pitch_detect")
-def grid_pitch_detect(spark, d):
-    return G.grid_pitch(N.edge_signal(X.emb_gray(spark, d)))
-
-
 @query("src_palette_text", "SELECT sprite_id, idx, r, g, b FROM palettes_asof WHERE frame_from=0")
 def src_palette_text(spark, d):
     """Palettes written as text and parsed again."""

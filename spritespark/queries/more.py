@@ -134,19 +134,6 @@ def cell_purity(spark, d):
     return N.cell_purity(p, [2, 4]).withColumn("purity", F.round("purity", 6))
 
 
-@query("native_pixel_report")
-def native_pixel_report(spark, d):
-    """Per image: the grid found along x, cells, distinct cell values, and the mean distance of pixels from their cell."""
-    from spritespark.operators.grouped import grid_pitch
-
-    p = X.emb_gray(spark, d)
-    pitch = grid_pitch(N.edge_signal(p)).filter("axis = 'x'").select("image_id", "pitch")
-    cells = p.join(pitch, "image_id").withColumns({"u": F.floor(F.col("x") / F.col("pitch")), "w": F.floor(F.col("y") / F.col("pitch"))})
-    value = cells.groupBy("image_id", "pitch", "u", "w").agg(F.floor(F.median("v")).alias("m"))
-    error = cells.join(value, ["image_id", "pitch", "u", "w"]).groupBy("image_id").agg(F.round(F.avg(F.abs(F.col("v") - F.col("m"))), 6).alias("error"))
-    return value.groupBy("image_id", "pitch").agg(F.count("*").alias("cells"), F.count_distinct("m").alias("colors")).join(error, "image_id")
-
-
 @query("mask_bounds", "SELECT image_id, min(x) AS x, min(y) AS y, max(x)-min(x)+1 AS w, max(y)-min(y)+1 AS h FROM emb_gray WHERE v%3=0 GROUP BY image_id")
 def mask_bounds(spark, d):
     return P.bounds(S.mask_add(X.emb_gray(spark, d).filter("v % 3 = 0").select("image_id", "x", "y"), X.emb_gray(spark, d).filter("v % 6 = 0").select("image_id", "x", "y")), ("image_id",))
