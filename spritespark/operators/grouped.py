@@ -124,25 +124,6 @@ def connected_background(candidates: DataFrame, width: int, height: int, key: st
     return candidates.select(key, "x", "y").groupBy(key).applyInPandas(run, f"{key} long, x int, y int")
 
 
-def error_diffusion(pixels: DataFrame, levels: int, value: str = "v", key: str = KEY) -> DataFrame:
-    """Floyd-Steinberg over rows in turning direction: each pixel's rest goes to 7, 3, 5 and 1 sixteenths of its neighbours."""
-
-    def diffuse(g: np.ndarray) -> np.ndarray:
-        rest, out = g.astype(float), np.zeros(g.shape, np.int64)
-        h, w = g.shape
-        for y in range(h):
-            d = 1 if y % 2 == 0 else -1
-            for x in range(w)[::d]:
-                out[y, x] = k = int(min(levels - 1, max(0, np.floor(rest[y, x] * (levels - 1) / 255 + 0.5))))
-                e = rest[y, x] - k * 255 / (levels - 1)
-                for dx, dy, part in ((d, 0, 7), (-d, 1, 3), (0, 1, 5), (d, 1, 1)):
-                    if 0 <= x + dx < w and y + dy < h:
-                        rest[y + dy, x + dx] += e * part / 16
-        return out
-
-    return map_images(pixels, diffuse, value, key)
-
-
 def wrapped_layout(samples: DataFrame, width: int, sheet: str = "sheet", order: str = "item") -> DataFrame:
     """Rows that break where the next sample does not fit into the sheet's width."""
 
@@ -159,25 +140,6 @@ def wrapped_layout(samples: DataFrame, width: int, sheet: str = "sheet", order:
     return samples.select(sheet, order, "w", "h").groupBy(sheet).applyInPandas(run, f"{sheet} long, {order} int, x int, y int, w int, h int")
 
 
-def packed_layout(samples: DataFrame, width: int, sheet: str = "sheet", order: str = "item") -> DataFrame:
-    """Shelves: the highest samples first, each on the first shelf with room. A sheet is no narrower than its widest sample."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shelves, out, bottom = [], [], 0
-        room = max(width, int(pdf.w.max()))
-        for r in pdf.sort_values(["h", "w", order], ascending=[False, False, True]).itertuples():
-            at = next((s for s in shelves if s[0] + r.w <= room and r.h <= s[2]), None)
-            if at is None:
-                at = [0, bottom, r.h]
-                shelves.append(at)
-                bottom += r.h
-            out.append((getattr(r, sheet), getattr(r, order), at[0], at[1], r.w, r.h))
-            at[0] += r.w
-        return pd.DataFrame(out, columns=[sheet, order, "x", "y", "w", "h"])
-
-    return samples.select(sheet, order, "w", "h").groupBy(sheet).applyInPandas(run, f"{sheet} long, {order} int, x int, y int, w int, h int")
-
-
 def octree_leaves(pixels: DataFrame, depth: int = 7, keys: tuple = ("sprite_id",)) -> DataFrame:
     """Counts and rounded mean channels of the leaves of a colour octree: BIGINT sums, combined before the shuffle."""
     cut = 8 - depth
@@ -225,32 +187,6 @@ def octree_sums(pixels: DataFrame, depth: int = 7, keys: tuple = ("sprite_id",))
     return pixels.filter("a > 0").groupBy(*keys, *cells).agg(F.count("*").alias("n"), *(F.sum(F.col(c).cast("long")).alias(c) for c in "rgba"))
 
 
-def median_cut(histogram: DataFrame, colors: int, key: str = "sprite_id") -> DataFrame:
-    """histogram: key, r, g, b, n. Boxes split at the median of their longest side, the most populous box first.
-
-    A group holds an image's distinct colours (binned before, at most 65536).
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, n = pdf[["r", "g", "b"]].to_numpy(np.int64), pdf.n.to_numpy(np.int64)
-        boxes = [np.arange(len(c))]
-        while len(boxes) < colors:
-            some = [(-int(n[b].sum()) if len(b) > 1 else 0, k) for k, b in enumerate(boxes)]
-            best, k = min(some)
-            if best == 0:
-                break
-            b = boxes.pop(k)
-            side = int(np.argmax(c[b].max(0) - c[b].min(0)))
-            b = b[np.lexsort((c[b][:, 2], c[b][:, 1], c[b][:, 0], c[b][:, side]))]
-            total = n[b].cumsum()
-            at = min(len(b) - 1, max(1, int(np.searchsorted(total, total[-1] / 2)) + 1))
-            boxes += [b[:at], b[at:]]
-        means = [(c[b] * n[b][:, None]).sum(0) // n[b].sum() for b in boxes]
-        return pd.DataFrame([(pdf[key].iloc[0], i, *map(int, m), int(n[b].sum())) for i, (m, b) in enumerate(zip(means, boxes, strict=True))], columns=[key, "idx", "r", "g", "b", "n"])
-
-    return histogram.select(key, "r", "g", "b", "n").groupBy(key).applyInPandas(run, f"{key} long, idx int, r int, g int, b int, n long")
-
-
 def recurrent_palette(histogram: DataFrame, least: int = 3, radius: float = 10.0, key: str = "sprite_id") -> DataFrame:
     """Colours seen at least so often, in order of count, each joining the first group whose leader is within the radius."""
 

@@ -37,11 +37,6 @@ def connected_bg(spark, d):
     return G.connected_background(X.emb_gray(spark, d).filter("v >= 110"), 8, 8)
 
 
-@query("dither_error_diffusion")
-def dither_error_diffusion(spark, d):
-    return G.error_diffusion(X.emb_gray(spark, d), 4)
-
-
 @query("udf_image_map", "SELECT p.image_id, p.x, p.y, q.v FROM emb_gray p JOIN emb_gray q ON q.image_id=p.image_id AND q.x=p.y AND q.y=7-p.x")
 def udf_image_map(spark, d):
     return G.map_images(X.emb_gray(spark, d), lambda g: g[::-1].T)
@@ -52,11 +47,6 @@ def sheet_layout_wrapped(spark, d):
     return G.wrapped_layout(X.samples(spark, d), 40)
 
 
-@query("sheet_layout_packed")
-def sheet_layout_packed(spark, d):
-    return G.packed_layout(X.samples(spark, d), 64)
-
-
 @query("palette_octree", "SELECT sprite_id, r>>1 AS kr, g>>1 AS kg, b>>1 AS kb, a>>1 AS ka, count(*) AS n, CAST((sum(r)+count(*)//2)//count(*) AS BIGINT) AS r, CAST((sum(g)+count(*)//2)//count(*) AS BIGINT) AS g, CAST((sum(b)+count(*)//2)//count(*) AS BIGINT) AS b, CAST((sum(a)+count(*)//2)//count(*) AS BIGINT) AS a FROM anim_rgba GROUP BY sprite_id, r>>1, g>>1, b>>1, a>>1")
 def palette_octree(spark, d):
     return G.octree_leaves(X.anim_rgba(spark, d))
@@ -66,30 +56,11 @@ def _hist(spark, d):
     return X.anim_rgba(spark, d).filter("a > 0").groupBy("sprite_id", "r", "g", "b").agg(F.count("*").alias("n"))
 
 
-@query("palette_median_cut")
-def palette_median_cut(spark, d):
-    return G.median_cut(_hist(spark, d), 16)
-
-
 @query("palette_exact_recurrent")
 def palette_exact_recurrent(spark, d):
     return G.recurrent_palette(_hist(spark, d))
 
 
-@query("palette_kmeans_oklab")
-def palette_kmeans_oklab(spark, d):
-    """Eight centres over all sprites' colours, weighted by their counts."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    from spritespark.functions.color import oklab
-
-    rows = _hist(spark, d).groupBy("r", "g", "b").agg(F.sum("n").cast("double").alias("n")).withColumn("v", array_to_vector(F.array(*oklab())))
-    model = KMeans(featuresCol="v", weightCol="n", k=8, maxIter=25, seed=3, predictionCol="idx").fit(rows)
-    v = vector_to_array("v")
-    return model.transform(rows).groupBy("idx").agg(F.count("*").alias("colors"), *(F.round(F.sum(v[i] * F.col("n")) / F.sum("n"), 6).alias(c) for i, c in enumerate(("l", "ca", "cb"))))
-
-
 @query("src_palette_text", "SELECT sprite_id, idx, r, g, b FROM palettes_asof WHERE frame_from=0")
 def src_palette_text(spark, d):
     """Palettes written as text and parsed again."""
@@ -133,13 +104,6 @@ def convert_mode(spark, d):
     return P.to_gray(L.palette_lookup(X.doc_pixels(spark, d), X.pal256(spark), mask_index=32)).select("image_id", "x", "y", "v", "a")
 
 
-@query("rgb5a3_map", "SELECT r>>3 AS cr, g>>3 AS cg, b>>3 AS cb, a>>5 AS ca, min(image_id*64+y*8+x) AS first FROM emb_rgba GROUP BY r>>3, g>>3, b>>3, a>>5")
-def rgb5a3_map(spark, d):
-    cell = [F.shiftright(c, 5 if c == "a" else 3).alias(f"c{c}") for c in "rgba"]
-    first = F.min(F.struct("image_id", "y", "x"))
-    return X.emb_rgba(spark, d).groupBy(*cell).agg(first.alias("f")).select("cr", "cg", "cb", "ca", (F.col("f.image_id") * 64 + F.col("f.y") * 8 + F.col("f.x")).alias("first"))
-
-
 @query("mask_extract", "WITH m AS (SELECT image_id, x, y, r, g, b, a FROM emb_rgba WHERE g>90), b AS (SELECT image_id, min(x) AS x0, min(y) AS y0 FROM m GROUP BY image_id) SELECT m.image_id, m.x-x0 AS x, m.y-y0 AS y, r, g, m.b, a FROM m JOIN b ON b.image_id=m.image_id")
 def mask_extract(spark, d):
     p = X.emb_rgba(spark, d)

@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 
 from spritespark.operators import grouped as G
 from spritespark.operators import points as P
+from spritespark.operators.palettes import packed_sheets
 from spritespark.sources import files
 
 
 def test_packed_samples_lie_inside_and_apart(spark):
     rng = np.random.default_rng(5)
     rows = [(s, i, int(rng.integers(1, 30)), int(rng.integers(1, 20))) for s in range(3) for i in range(25)] + [(9, 0, 90, 3), (9, 1, 4, 4)]
-    for layout in (G.packed_layout, G.wrapped_layout):
-        got = layout(spark.createDataFrame(rows, "sheet long, item int, w int, h int"), 64).collect()
+    samples = spark.createDataFrame(rows, "sheet long, item int, w int, h int")
+    for layout in (packed_sheets(samples), G.wrapped_layout(samples, 64)):
+        got = layout.collect()
         assert sorted((r.sheet, r.item, r.w, r.h) for r in got) == sorted(rows)
         for sheet in (0, 1, 2, 9):
             own = [r for r in got if r.sheet == sheet]
-            assert all(r.x >= 0 and r.y >= 0 and r.x + r.w <= max(64, *(o.w for o in own)) for r in own)
+            assert all(r.x >= 0 and r.y >= 0 and r.x + r.w <= (r.width if "width" in r else max(64, *(o.w for o in own))) for r in own)
             assert all(a.x + a.w <= b.x or b.x + b.w <= a.x or a.y + a.h <= b.y or b.y + b.h <= a.y for a, b in combinations(own, 2))
 
 
