@@ -7,6 +7,7 @@ from spritespark.operators import lookups as L
 from spritespark.operators import neighbors as N
 from spritespark.operators import points as P
 from spritespark.operators import structure as S
+from spritespark.operators.ranges import long_line
 from spritespark.queries.registry import query
 from spritespark.sources import files
 from spritespark.sources import fixtures as X
@@ -172,11 +173,9 @@ def best_trim_refcolor(spark, d):
 
 @query("render_sheet", "SELECT p.sprite_id AS sheet, p.x + s.off AS x, p.y, p.v FROM emb_gray p JOIN (SELECT sprite_id, image_id, 9*(row_number() OVER (PARTITION BY sprite_id ORDER BY image_id)-1) AS off FROM (SELECT DISTINCT sprite_id, image_id FROM emb_gray)) s ON s.image_id=p.image_id")
 def render_sheet(spark, d):
-    from spritespark.operators.sheets import layout_line
-
     p = X.emb_gray(spark, d)
     items = X.table(spark, d, "embeddings").select(F.col("label").alias("sheet"), F.col("vec_id").alias("item"), F.lit(8).alias("w"), F.lit(8).alias("h"))
-    slots = layout_line(items, padding=1).select(F.col("item").alias("image_id"), "sheet", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    slots = long_line(items, padding=1).select(F.col("item").alias("image_id"), "sheet", F.col("x").alias("sx"), F.col("y").alias("sy"))
     return p.join(slots, "image_id").select("sheet", (F.col("x") + F.col("sx")).alias("x"), (F.col("y") + F.col("sy")).alias("y"), "v")
 
 

@@ -10,6 +10,7 @@ from spritespark.operators import neighbors as N
 from spritespark.operators import points as P
 from spritespark.operators import sheets as H
 from spritespark.operators import structure as S
+from spritespark.operators.ranges import long_line
 from spritespark.queries.registry import query
 from spritespark.queries.structure import _CELLS, _SET, _tiles
 from spritespark.sources import files
@@ -48,13 +49,14 @@ def canvas_resize(spark, d):
     return grid.join(moved, ["image_id", "x", "y"], "left").select("image_id", "x", "y", F.coalesce("v", F.lit(7)).alias("v"))
 
 
-@query("sheet_verify", "SELECT DISTINCT image_id, 0 AS n FROM emb_gray")
+@query("sheet_verify", "SELECT image_id, count(*) FILTER (WHERE (image_id*13+x*5+y)%97=0) AS n FROM emb_gray GROUP BY image_id")
 def sheet_verify(spark, d):
-    """Frames cut from a rendered sheet equal those that were placed: no pixel differs."""
+    """Frames cut from a rendered sheet, of which some pixels were changed, against those that were placed: as many pixels differ."""
     p = X.emb_gray(spark, d)
     items = X.table(spark, d, "embeddings").select(F.col("label").alias("sheet"), F.col("vec_id").alias("item"), F.lit(8).alias("w"), F.lit(8).alias("h"))
-    slots = H.layout_line(items, padding=1).select(F.col("item").alias("image_id"), "sheet", F.col("x").alias("sx"))
-    texture = p.join(slots, "image_id").select("sheet", (F.col("x") + F.col("sx")).alias("x"), "y", "v")
+    slots = long_line(items, padding=1).select(F.col("item").alias("image_id"), "sheet", F.col("x").alias("sx"))
+    changed = F.when((F.col("image_id") * 13 + F.col("x") * 5 + F.col("y")) % 97 == 0, 255 - F.col("v") + F.when(F.col("v") == 255 - F.col("v"), 1).otherwise(0)).otherwise(F.col("v"))
+    texture = p.withColumn("v", changed).join(slots, "image_id").select("sheet", (F.col("x") + F.col("sx")).alias("x"), "y", "v")
     cells = texture.withColumn("sx", F.floor(F.col("x") / 9) * 9).join(slots, ["sheet", "sx"]).select("image_id", (F.col("x") - F.col("sx")).alias("x"), "y", "v")
     return P.image_diff_count(p, cells, channels=("v",))
 
@@ -65,9 +67,10 @@ _WEIGHED = ", ".join(f"CAST(coalesce(sum(CASE WHEN a>0 THEN {c}*wt ELSE 0 END)//
 
 @query("udf_kernel", f"WITH {_KERNEL} SELECT image_id, tx AS x, ty AS y, {_WEIGHED}, CAST(sum(a*wt)//8 AS BIGINT) AS a FROM t GROUP BY image_id, tx, ty")
 def udf_kernel(spark, d):
-    """A user's kernel as text: rows of weights."""
-    kernel = [[int(v) for v in line.split()] for line in "0 1 0\n2 4 1\n0 0 0".splitlines()]
-    return N.convolve(X.emb_rgba(spark, d), 8, 8, kernel)
+    """A user's kernel from a text of named matrices."""
+    text = "# kernels\nplain 1 1 0 0 { 1 } 1 0 rgba\nleaning 3 3 1 1\n  { 0 1 0  # above\n    2 4 1\n    0 0 0 } auto auto rgba\n"
+    k = files.parse_kernels(spark.createDataFrame([("own", text)], "file string, text string")).filter("name = 'leaning'").first()
+    return N.convolve(X.emb_rgba(spark, d), 8, 8, [k.weights[i * k.w : (i + 1) * k.w] for i in range(k.h)], k.div, k.bias)
 
 
 @query("udf_dither_matrix", "SELECT image_id, x, y, v*3//255 + CASE WHEN (v*3-(v*3//255)*255)*3 > [0,1,2][1+x%3]*255+127 THEN 1 ELSE 0 END AS level FROM emb_gray")

@@ -6,6 +6,7 @@ from spritespark.functions.color import cielab, oklab
 from spritespark.operators import lookups as L
 from spritespark.operators import sheets as H
 from spritespark.operators import structure as S
+from spritespark.operators.ranges import numbered
 from spritespark.queries.registry import query
 from spritespark.sources import fixtures as X
 
@@ -219,7 +220,7 @@ def sheet_import(spark, d):
 @query("merge_frames_to_sprite", "SELECT sprite_id, image_id, row_number() OVER (PARTITION BY sprite_id ORDER BY image_id)-1 AS frame FROM (SELECT DISTINCT sprite_id, image_id FROM emb_gray)")
 def merge_frames_to_sprite(spark, d):
     rows = X.table(spark, d, "embeddings").select(F.col("label").alias("sprite_id"), F.col("vec_id").alias("image_id"))
-    return H.number_samples(rows, ["sprite_id"], ["image_id"]).withColumnRenamed("number", "frame")
+    return numbered(rows, ["sprite_id"], ["image_id"]).withColumnRenamed("number", "frame")
 
 
 @query("sink_sheet_json", "SELECT sheet, item, '{\"filename\":\"s' || sheet || '-' || item || '\",\"frame\":{\"x\":' || (sum(w) OVER (PARTITION BY sheet ORDER BY item)-w) || ',\"y\":0,\"w\":' || w || ',\"h\":' || h || '},\"rotated\":false,\"trimmed\":false,\"spriteSourceSize\":{\"x\":0,\"y\":0,\"w\":' || w || ',\"h\":' || h || '},\"sourceSize\":{\"w\":' || w || ',\"h\":' || h || '},\"duration\":100}' AS json FROM samples")

@@ -109,6 +109,26 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("origin", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).alias("y"), byte(F.when(F.col("nChannels") > 2, 2).otherwise(0)).alias("r"), byte(F.when(F.col("nChannels") > 2, 1).otherwise(0)).alias("g"), byte(F.lit(0)).alias("b"), F.when(F.col("nChannels") == 4, byte(F.lit(3))).otherwise(255).alias("a"))
 
 
+_KERNEL = r"(\S+)\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s*\{([^}]*)\}\s*(\S+)\s+(\S+)\s+([rgba]+)"
+
+
+def parse_kernels(texts: DataFrame) -> DataFrame:
+    """texts (file, text) -> (file, place, name, w, h, cx, cy, weights, div, bias, target): named matrices ``name w h cx cy { weights } div bias target``.
+
+    From # on a line is a comment. An automatic divisor is the weights' sum; where that is negative it is its absolute value and the automatic bias
+    255, where it is 0 the divisor is 1 and the bias 128. A matrix with another number of weights than w * h is left out.
+    """
+    clean = F.regexp_replace("text", "#[^\n]*", "")
+    part = [F.regexp_extract_all(clean, F.lit(_KERNEL), F.lit(i)).alias(f"k{i}") for i in range(1, 10)]
+    rows = texts.select("file", F.posexplode(F.arrays_zip(*part)).alias("place", "k")).select("file", "place", "k.*")
+    rows = rows.withColumn("weights", F.transform(F.filter(F.split("k6", r"\s+"), lambda v: v != ""), lambda v: v.cast("int")))
+    total = F.aggregate("weights", F.lit(0), lambda a, v: a + v)
+    div = F.when(F.col("k7") != "auto", F.col("k7").try_cast("int")).otherwise(F.when(total == 0, 1).otherwise(F.abs(total)))
+    bias = F.when(F.col("k8") != "auto", F.col("k8").try_cast("int")).otherwise(F.when((F.col("k7") != "auto") | (total > 0), 0).when(total < 0, 255).otherwise(128))
+    out = rows.select("file", "place", F.col("k1").alias("name"), *(F.col(f"k{i}").cast("int").alias(n) for i, n in enumerate(("w", "h", "cx", "cy"), 2)), "weights", div.alias("div"), bias.alias("bias"), F.col("k9").alias("target"))
+    return out.filter(F.size("weights") == F.col("w") * F.col("h"))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share; a temporary one only on a local master where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
