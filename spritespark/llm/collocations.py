@@ -39,6 +39,8 @@ from spritespark.llm.common import joined, stored, table
 BLOCK, BYTES, REMEMBERED = 1_000_000, 1 << 22, 400_000
 #: A filter has 2**BITS bits, of which a phrase sets SET.
 BITS, SET = 26, 4
+#: Parts of a language that are ranked before the whole.
+PARTS = 64
 #: Share of the documents in the sample.
 SHARE = 0.25
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
@@ -285,8 +287,11 @@ def collocations(phrases: DataFrame, kept: float = 50, most: int = 2000) -> Data
         .groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     )
     left = scored.join(inside, ["lang", "phrase"], "left").filter(F.coalesce(100 * F.col("longer") < kept * F.col("a"), F.lit(True)))
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    ranked = left.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    order = [F.desc("cut.score"), F.desc("a"), "phrase"]
+    # the first of each of PARTS parts of a language, then of what is left: no task gets more than PARTS * most rows of one
+    part = left.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    few = part.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= most).drop("rank", "part")
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= most)
     sizes = phrases.filter("words = 0").select("lang", F.col("n"))
     return ranked.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
 

@@ -7,6 +7,7 @@ import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -321,12 +322,15 @@ def test_best_fit_decreasing_takes_the_tightest_bin():
         assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
 
 
-@pytest.mark.parametrize(("name", "label", "fold", "least"), [("op1_quality", "quality", (5, 0), 0.9), ("op2_toxicity", "toxic", (3, 1), 0.6)])
+@pytest.mark.parametrize(("name", "label", "fold", "least"), [("op1_quality", "quality", (5, 0), 0.9), ("op2_toxicity", "toxic", (3, 1), 0.85)])
 def test_held_out_ranking(spark, small, name, label, fold, least):
-    labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
-    got = registry.queries()[name](spark, small).collect()
+    large = Path(small).parent / "sf0.1"  # the smallest table has five toxic texts held out
+    if not large.exists():
+        pytest.skip("no larger tables")
+    labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{large}/labels.parquet").collect()}
+    got = registry.queries()[name](spark, str(large)).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % fold[0] == fold[1]) and 0 <= r.score <= 1 for r in got)
-    pairs = [(r.score, labels[r.doc_id]) for r in got if r.doc_id in labels]
+    pairs = [(r.score, labels[r.doc_id]) for r in got if r.held_out and labels.get(r.doc_id) is not None]
     good, bad = [s for s, y in pairs if y == 1], [s for s, y in pairs if y == 0]
     assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad)) > least
 
