@@ -153,11 +153,12 @@ def scale2x(pixels: DataFrame, value: str = "v", keys: tuple = KEYS) -> DataFram
 def flatten(cels: DataFrame, keys: tuple = ("sprite_id", "frame")) -> DataFrame:
     """cels: keys, place, x, y, r, g, b, a, opacity, mode (one of SEPARABLE or HSL; others fail). One pixel per point with a visible one.
 
-    Transparent pixels never reach the shuffle. The pixels of a point are sorted by place and folded in one expression.
+    Transparent pixels never reach the shuffle. The pixels of a point are sorted by place and folded in one expression: a point with one
+    pixel needs no fold, one with the mode normal alone a short one.
     """
-    layers = cels.filter("a > 0").groupBy(*keys, "x", "y").agg(F.sort_array(F.collect_list(F.struct("place", "mode", "opacity", "r", "g", "b", "a"))).alias("__l"))
+    layers = cels.filter("a > 0").groupBy(*keys, "x", "y").agg(F.sort_array(F.collect_list(F.struct("place", "mode", "opacity", "r", "g", "b", "a"))).alias("__l"), F.bool_and(F.col("mode") == "normal").alias("__plain"))
 
-    def step(acc: Column, s: Column) -> Column:
+    def blended(acc: Column, s: Column) -> list[Column]:
         names = "rgb"
         toned = {m: hsl_mode(m, [acc[c] for c in names], [s[c] for c in names]) for m in HSL}
         mixed = []
@@ -167,7 +168,14 @@ def flatten(cels: DataFrame, keys: tuple = ("sprite_id", "frame")) -> DataFrame:
                 e = e if mode == "normal" else e.when(s["mode"] == mode, f(acc[c], s[c]))
             for mode, made in toned.items():
                 e = e.when(s["mode"] == mode, made[i])
-            mixed.append(e.otherwise(F.raise_error(F.concat(F.lit("no blend mode "), s["mode"])).cast("int")).alias(c))
+            mixed.append(e.otherwise(unknown(s)).alias(c))
+        return mixed
+
+    def unknown(s: Column) -> Column:
+        return F.raise_error(F.concat(F.lit("no blend mode "), s["mode"])).cast("int")
+
+    def step(acc: Column, s: Column, plain: bool = False) -> Column:
+        mixed = [s[c].alias(c) for c in "rgb"] if plain else blended(acc, s)
         given = F.struct(acc.alias("b"), F.struct(*mixed).alias("s"), mul_un8(s["a"], s["opacity"]).alias("sa"))
         alpha = lambda v: F.struct(v["b"].alias("b"), v["s"].alias("s"), v["sa"].alias("sa"), (v["sa"] + v["b"]["a"] - mul_un8(v["b"]["a"], v["sa"])).alias("ra"))
 
@@ -180,7 +188,10 @@ def flatten(cels: DataFrame, keys: tuple = ("sprite_id", "frame")) -> DataFrame:
         return let(let(given, alpha), put)  # each part is computed once: the plain formula would repeat them many times
 
     zero = F.struct(*(F.lit(0).alias(c) for c in "rgba"))
-    return layers.select(*keys, "x", "y", F.aggregate("__l", zero, step).alias("p")).select(*keys, "x", "y", "p.*").filter("a > 0")
+    one = F.col("__l")[0]
+    alone = F.struct(*(F.when(one["mode"].isin(*SEPARABLE, *HSL), one[c]).otherwise(unknown(one)).cast("int").alias(c) for c in "rgb"), mul_un8(one["a"], one["opacity"]).cast("int").alias("a"))
+    folded = F.when(F.size("__l") == 1, alone).when(F.col("__plain"), F.aggregate("__l", zero, lambda acc, s: step(acc, s, True))).otherwise(F.aggregate("__l", zero, lambda acc, s: step(acc, s)))
+    return layers.select(*keys, "x", "y", folded.alias("p")).select(*keys, "x", "y", "p.*").filter("a > 0")
 
 
 def compose_groups(pixels: DataFrame, groups: DataFrame, keys: tuple = ("sprite_id", "frame")) -> DataFrame:
