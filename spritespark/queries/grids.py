@@ -75,9 +75,9 @@ def grid_most_compact(spark, d):
 
 
 def _animations(spark, d):
-    """Five pictures as the frames of an animation in four gray levels with a tint, enlarged on a green canvas."""
+    """Five pictures as the frames of an animation in three gray levels with a tint, enlarged on a green canvas."""
     p = _pitch("sprite_id", (4.7, 3.4))
-    level = F.floor(F.col("v") / 64) * 60
+    level = F.floor(F.col("v") / 4) % 3 * 60
     small = tiled(spark, d).select(F.floor(F.col("image_id") / 5).alias("sprite_id"), (F.col("image_id") % 5).cast("int").alias("frame"), "x", "y", level.cast("int").alias("r"), F.lit(30).alias("g"), (level + 40).cast("int").alias("b"), F.lit(255).alias("a"))
     big = G.enlarge(small, p, 12, 9).select("sprite_id", "frame", "x", "y", *"rgba")
     canvas = small.select("sprite_id", "frame").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(209))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(169))).alias("y"))
@@ -85,7 +85,7 @@ def _animations(spark, d):
     return green
 
 
-_NATIVE = "t AS (SELECT image_id//5 AS sprite_id, image_id%5 AS frame, x, y, v//64 AS k FROM tiled), h AS (SELECT sprite_id, frame, k, count(*) AS n FROM t GROUP BY ALL), f AS (SELECT p.sprite_id, p.frame, sum(abs(p.n-coalesce(c.n,0)))/sum(p.n) AS d FROM h p JOIN (SELECT DISTINCT sprite_id, frame FROM h) e ON e.sprite_id=p.sprite_id AND e.frame=p.frame+1 LEFT JOIN h c ON c.sprite_id=p.sprite_id AND c.frame=p.frame+1 AND c.k=p.k GROUP BY p.sprite_id, p.frame)"
+_NATIVE = "t AS (SELECT image_id//5 AS sprite_id, image_id%5 AS frame, x, y, v//4%3 AS k FROM tiled), h AS (SELECT sprite_id, frame, k, count(*) AS n FROM t GROUP BY ALL), f AS (SELECT p.sprite_id, p.frame, sum(abs(p.n-coalesce(c.n,0)))/sum(p.n) AS d FROM h p JOIN (SELECT DISTINCT sprite_id, frame FROM h) e ON e.sprite_id=p.sprite_id AND e.frame=p.frame+1 LEFT JOIN h c ON c.sprite_id=p.sprite_id AND c.frame=p.frame+1 AND c.k=p.k GROUP BY p.sprite_id, p.frame)"
 
 
 @query("native_pixel_report", f"WITH {_NATIVE} SELECT t.sprite_id, count(DISTINCT frame) AS frames, 40 AS width, 32 AS height, count(*) AS cells, count(DISTINCT k) AS colors, 0.0::DOUBLE AS delta, 0 AS orphans, count(DISTINCT k) AS palette, any_value(round(m.d, 6)) AS flicker, CASE WHEN t.sprite_id%2=0 THEN 4.7::DOUBLE ELSE 3.4::DOUBLE END AS pitch_x, CASE WHEN t.sprite_id%2=0 THEN 4.7::DOUBLE ELSE 3.4::DOUBLE END AS pitch_y FROM t LEFT JOIN (SELECT sprite_id, avg(d) AS d FROM f GROUP BY sprite_id) m ON m.sprite_id=t.sprite_id GROUP BY t.sprite_id")
