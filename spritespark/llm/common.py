@@ -51,15 +51,20 @@ def discard(*tables: DataFrame) -> None:
 HOT_PARTS = 1000
 
 
-def joined(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+def joined(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, small: int = 0) -> DataFrame:
     """rows inner-joined with groups, which has one row for each value of keys, its number of rows in the column ``size``.
 
     Groups of more than a HOT_PARTS-th of all rows, of which there can be HOT_PARTS at most, are broadcast, so that no
     task gets a hot group; all others meet by shuffle. Both tables are read twice: they should be stored ones.
+    With ``small``, groups of so many rows are never hot, and where no group is, one join by shuffle does all: each
+    broadcast costs the driver threads and memory, whatever its size.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    hot = groups.filter(F.col(size) > total / HOT_PARTS)
-    cool = groups.filter(F.col(size) <= total / HOT_PARTS)
+    total, most = groups.agg(F.sum(size), F.max(size)).first()
+    limit = max((total or 0) / HOT_PARTS, small)
+    if small and (most or 0) <= limit:
+        return rows.join(groups, keys)
+    hot = groups.filter(F.col(size) > limit)
+    cool = groups.filter(F.col(size) <= limit)
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cool, keys))
 
 

@@ -42,6 +42,8 @@ BLOCK = 1 << 20
 PARITY = 8
 #: Rows of a cell's side in a long column, and parts to which the pairs of a hot row are dealt.
 SIDE, PARTS = 512, 64
+#: Groups of rows up to this size are not hot, whatever their share.
+SMALL = 256
 #: Ids up to this many are broadcast to pick rows by them (16 bytes each); more are joined by shuffle.
 FEW = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -205,7 +207,7 @@ def shared_columns(entries: DataFrame) -> DataFrame:
     several = bands.groupBy("key").agg(F.sum("k").alias("rows")).filter("rows > 1")
     leaders = stored(bands.join(several, "key", "left_semi").select("key", "band", F.col("first.sig").alias("leader"), "k"), "leaders")
     discard(bands)
-    return joined(entries, leaders, ["key", "band"], "k").select("key", "sig", "pos", "leader")
+    return joined(entries, leaders, ["key", "band"], "k", SMALL).select("key", "sig", "pos", "leader")
 
 
 def _parity(s: np.ndarray) -> np.ndarray:
@@ -235,12 +237,18 @@ def _few(ids: DataFrame) -> DataFrame:
 def attached(pairs: DataFrame, rows: DataFrame, side: str, other: str, names: dict[str, str]) -> DataFrame:
     """pairs (stored) with columns of rows (stored; one for each sig) under new names, by the pair's ``side``.
 
-    A row with more than its share of pairs is copied to PARTS parts, to which its pairs are dealt by their other side.
+    A row with more than its share of pairs is copied to PARTS parts, to which its pairs are dealt by their other side;
+    where there is none, one join does all.
     """
     degrees = pairs.groupBy(F.col(side).alias("sig")).agg(F.count("*").alias("d"))
-    hot = stored(degrees.filter(F.col("d") > max(SIDE, pairs.count() / PARTS / 10)).select("sig", F.lit(1).alias("hot")), "hot")  # at most 10 PARTS rows
+    ids, most, total = degrees.agg(F.count("*"), F.max("d"), F.sum("d")).first()
+    limit, few = max(SIDE, (total or 0) / PARTS / 10), degrees.select("sig")
+    own = rows.join(F.broadcast(few) if ids <= FEW else few, "sig", "left_semi")
+    if (most or 0) <= limit:
+        return pairs.join(own.select(F.col("sig").alias(side), *(F.col(c).alias(n) for c, n in names.items())), side)
+    hot = stored(degrees.filter(F.col("d") > limit).select("sig", F.lit(1).alias("hot")), "hot")  # at most 10 PARTS rows
     dealt = pairs.join(F.broadcast(hot.withColumnRenamed("sig", side)), side, "left").withColumn("part", F.when(F.col("hot") == 1, F.pmod(F.xxhash64(other), F.lit(PARTS))).otherwise(0).cast("int")).drop("hot")
-    of = rows.join(_few(degrees.select("sig")), "sig", "left_semi").join(F.broadcast(hot), "sig", "left")
+    of = own.join(F.broadcast(hot), "sig", "left")
     of = of.select(F.col("sig").alias(side), F.explode(F.when(F.col("hot") == 1, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))).alias("part"), *(F.col(c).alias(n) for c, n in names.items()))
     return dealt.join(of, [side, "part"]).drop("part")
 
@@ -317,10 +325,13 @@ def _linked(texts: DataFrame, standing: DataFrame, entries: DataFrame, words: in
     # columns where rows of several components meet
     known = stored(shared.join(labels.select(F.col("id").alias("sig"), "component"), "sig", "left").select("key", "sig", "pos", F.coalesce("component", "sig").alias("c")), "labelled")
     meeting = stored(known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).filter("lo < hi").select("key", "k"), "meeting")
-    left = joined(known, meeting, ["key"], "k").join(rows.select("sig", *bitmap), "sig")
+    left = joined(known, meeting, ["key"], "k", SMALL).join(rows.select("sig", *bitmap), "sig")
     both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = stored(cells(stored(left, "open")).join(both, ["a", "b"], "left_anti"), "cross")
-    return components(stored(links.union(multiplied(cross, rows)), "links"))
+    if not cross.limit(1).count():
+        return labels
+    more = stored(multiplied(cross, rows), "more")
+    return components(stored(links.union(more), "links")) if more.limit(1).count() else labels
 
 
 def jaccard_rows(texts: DataFrame, words: int = WORDS) -> DataFrame:
@@ -328,7 +339,7 @@ def jaccard_rows(texts: DataFrame, words: int = WORDS) -> DataFrame:
     ids = stored(with_sig(texts), "ids")
     standing = stored(ids.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.max("words").alias("words")), "standing")
     # documents whose words another one stands for are not read again
-    spare = joined(ids.filter("sig IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "sig"), standing, ["sig"], "rows").groupBy("doc_id").agg(F.min(F.expr("doc_id <> rep")).alias("spare")).filter("spare").select("doc_id")
+    spare = joined(ids.filter("sig IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "sig"), standing, ["sig"], "rows", SMALL).groupBy("doc_id").agg(F.min(F.expr("doc_id <> rep")).alias("spare")).filter("spare").select("doc_id")
     spare = stored(spare, "spare")
     entered = texts.join(_few(spare), "doc_id", "left_anti")
     blocks = 1 + (standing.agg(F.sum("words")).first()[0] or 0) // BLOCK
@@ -337,9 +348,9 @@ def jaccard_rows(texts: DataFrame, words: int = WORDS) -> DataFrame:
     sizes = entries.filter("pos < 0").groupBy("sig").agg(F.max("n").alias("n"))
     named = stored(standing.join(sizes, "sig").join(labels.select(F.col("id").alias("sig"), "component"), "sig", "left").select("sig", "rep", "rows", "n", F.coalesce("component", "sig").alias("c")), "named")
     least = stored(named.groupBy("c").agg(F.min("rep").alias("component_id"), F.count("*").alias("texts")), "least")
-    named = stored(joined(named, least, ["c"], "texts").select("sig", "rows", "n", "c", "component_id"), "named")
+    named = stored(joined(named, least, ["c"], "texts", SMALL).select("sig", "rows", "n", "c", "component_id"), "named")
     live = F.col("doc_id").isNotNull()
-    found = joined(ids.filter("sig IS NOT NULL").select("doc_id", "sig"), named, ["sig"], "rows").select("doc_id", "sig", F.col("n").cast("long").alias("n_shingles"), "c", F.when(live, F.col("component_id")).alias("component_id"))
+    found = joined(ids.filter("sig IS NOT NULL").select("doc_id", "sig"), named, ["sig"], "rows", SMALL).select("doc_id", "sig", F.col("n").cast("long").alias("n_shingles"), "c", F.when(live, F.col("component_id")).alias("component_id"))
     return found.union(ids.filter("sig IS NULL").select("doc_id", "sig", F.lit(0).cast("long"), "sig", "doc_id"))
 
 

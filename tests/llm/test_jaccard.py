@@ -82,3 +82,32 @@ def test_overlaps_are_those_of_the_sets():
     left, right = ([np.unique(rng.integers(0, 60, rng.integers(0, 50))).astype(np.uint64) for _ in range(40)] for _ in range(2))
     assert jaccard.overlaps(left, right).tolist() == [len(np.intersect1d(a, b)) for a, b in zip(left, right, strict=True)]
     assert jaccard.overlaps([], []).tolist() == []
+
+
+def test_without_hot_groups_few_tables_are_broadcast(spark, monkeypatch):
+    """Each broadcast costs the driver threads and memory: where no group is hot, only sets of ids are."""
+    rows = [(i, t) for i, t in groups() if i is not None]
+    calls, plain = [], jaccard.F.broadcast
+    monkeypatch.setattr(jaccard.F, "broadcast", lambda df: calls.append(df.columns) or plain(df))
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == sorted(components(rows))
+    assert len(calls) <= 12
+
+
+def test_hot_groups_are_still_broadcast_and_equal(spark, monkeypatch):
+    rows = [(i, t) for i, t in groups() if i is not None] + [(1000 + i, "the same six words each time") for i in range(40)]
+    calls, plain = [], jaccard.F.broadcast
+    monkeypatch.setattr(jaccard.F, "broadcast", lambda df: calls.append(df.columns) or plain(df))
+    monkeypatch.setattr(jaccard, "SMALL", 1)
+    monkeypatch.setattr(jaccard, "SIDE", 4)
+    monkeypatch.setattr(jaccard, "PARTS", 3)
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == sorted(components(rows))
+    assert any("hot" in c for c in calls)
+
+
+def test_texts_without_links_between_components(spark):
+    """No cross links: the labels of the first products stand."""
+    rows = [(0, "a b c d e f g"), (1, "A b c d e f g"), (2, "h i j k l m n"), (3, ""), (4, None)]
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(0, 0), (1, 0), (2, 2), (3, 3), (4, 4)]
