@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from spritespark.functions.blend import SEPARABLE
 from spritespark.operators import neighbors as N
+from spritespark.operators.joins import shuffled
 from spritespark.plans.sheet_export import export_sheet
 from spritespark.queries.points import _sql_modes
 from spritespark.queries.registry import query
@@ -28,7 +29,7 @@ def crop_to_slice(spark, d):
 
     p = X.anim(spark, d)
     key = as_of(p.select("sprite_id", "frame").distinct(), X.slice_keys(spark, d).withColumnsRenamed({"x": "sx", "y": "sy"}), ["sprite_id"], kind="inner")
-    return N.crop(p.join(key, ["sprite_id", "frame"]), F.col("sx"), F.col("sy"), F.col("w"), F.col("h")).select("sprite_id", "frame", "layer", "x", "y", "idx")
+    return N.crop(shuffled(p).join(key, ["sprite_id", "frame"]), F.col("sx"), F.col("sy"), F.col("w"), F.col("h")).select("sprite_id", "frame", "layer", "x", "y", "idx")
 
 
 _simple("extrude", "SELECT p.image_id, t.x, t.y, v FROM emb_gray p JOIN (SELECT x.x, y.y FROM range(10) x(x), range(10) y(y)) t ON p.x=greatest(0,least(7,t.x-1)) AND p.y=greatest(0,least(7,t.y-1))", lambda p: N.extrude(p, 8, 8).drop("sprite_id"), X.emb_gray)
