@@ -12,6 +12,7 @@ SMALL_TABLES = ("canvases", "models", "grids", "palettes")
 
 QUERIES = [
     "crop_to_slice",
+    "bg_remove_gradient",
 ]
 
 #: Queries that sum up pixels to as many rows, or explode what they have summed up.
