@@ -13,10 +13,11 @@ SMALL_TABLES = ("canvases", "models", "grids", "palettes")
 QUERIES = [
     "crop_to_slice",
     "bg_remove_gradient",
+    "compose_groups",
 ]
 
 #: Queries that sum up pixels to as many rows, or explode what they have summed up.
-SUMMED = []
+SUMMED = ["compose_groups"]
 
 
 def broadcast_rows(plan, summed=False):
