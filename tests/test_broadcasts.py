@@ -14,6 +14,8 @@ QUERIES = [
     "crop_to_slice",
     "bg_remove_gradient",
     "compose_groups",
+    "grid_cells_fractional",
+    "grid_pitch_detect",
 ]
 
 #: Queries that sum up pixels to as many rows, or explode what they have summed up.
