@@ -130,7 +130,7 @@ def flatten_modes(spark, d):
 
     cels, pixels = _cels(spark, d)
     mode = F.element_at(F.array(*map(F.lit, _EXACT)), ((F.col("sprite_id") + 5 * F.col("place")) % len(_EXACT) + 1).cast("int"))
-    return N.flatten(pixels.join(render_order(cels, ["sprite_id", "frame"]).withColumn("mode", mode), ["sprite_id", "frame", "layer"]))
+    return N.flatten(shuffled(pixels).join(render_order(cels, ["sprite_id", "frame"]).withColumn("mode", mode), ["sprite_id", "frame", "layer"]))
 
 
 _GROUPS = f"{_FRAMES}, below AS (SELECT * EXCLUDE (place), layer AS place FROM l WHERE layer=0), above AS (SELECT * EXCLUDE (place), layer AS place FROM l WHERE layer>0), {_fold('below', 'ga', (0,))}, {_fold('above', 'gb', (1, 2))}, gs AS (SELECT *, 0 AS place, 128 AS opacity FROM ga0 WHERE a>0 UNION ALL SELECT *, 1, 200 FROM gb1 WHERE a>0), {_fold('gs', 'gz', (0, 1), ('s.place', ['normal', 'multiply']))}"

@@ -16,6 +16,7 @@ QUERIES = [
     "compose_groups",
     "grid_cells_fractional",
     "grid_pitch_detect",
+    "flatten_modes",
 ]
 
 #: Queries that sum up pixels to as many rows, or explode what they have summed up.
