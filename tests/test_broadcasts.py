@@ -17,6 +17,7 @@ QUERIES = [
     "grid_cells_fractional",
     "grid_pitch_detect",
     "flatten_modes",
+    "native_pixel_report",
 ]
 
 #: Queries that sum up pixels to as many rows, or explode what they have summed up.
