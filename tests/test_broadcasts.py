@@ -18,6 +18,7 @@ QUERIES = [
     "grid_pitch_detect",
     "flatten_modes",
     "native_pixel_report",
+    "palette_asof",
 ]
 
 #: Queries that sum up pixels to as many rows, or explode what they have summed up.
