@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spritespark.operators.joins import shuffled
+
 
 def palette_lookup(indexed: DataFrame, palette: DataFrame, keys: tuple = (), mask_index: int = 0, background: bool = False) -> DataFrame:
     """Indexed pixels as RGBA: the mask index is transparent black unless on a background layer, which is opaque.
@@ -43,7 +45,7 @@ def linked_cels(cels: DataFrame, keys: list[str]) -> DataFrame:
 
 def pick_cels(points: DataFrame, pixels: DataFrame, threshold: int = 1) -> DataFrame:
     """The front-most opaque pixel under each point: points sprite_id, point_id, x, y; pixels sprite_id, z, x, y, a."""
-    hit = points.join(pixels.filter(F.col("a") >= threshold), ["sprite_id", "x", "y"])
+    hit = points.join(shuffled(pixels.filter(F.col("a") >= threshold)), ["sprite_id", "x", "y"])
     return hit.groupBy("point_id").agg(F.max("z").alias("z"))
 
 

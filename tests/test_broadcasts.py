@@ -19,6 +19,7 @@ QUERIES = [
     "flatten_modes",
     "native_pixel_report",
     "palette_asof",
+    "pick_cels",
 ]
 
 #: Queries that sum up pixels to as many rows, or explode what they have summed up.
