@@ -55,8 +55,8 @@ def pick_cels_by_bounds(points: DataFrame, pixels: DataFrame, threshold: int = 1
     over = lambda c: F.explode(F.sequence(F.floor(F.col(f"{c}1") / cell), F.floor(F.col(f"{c}2") / cell)))
     squares = box.withColumn("i", over("x")).withColumn("j", over("y"))
     at = points.withColumns({"i": F.floor(F.col("x") / cell), "j": F.floor(F.col("y") / cell)})
-    under = at.join(squares, [k for k in keys if k != "z"] + ["i", "j"]).filter("x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2").select("point_id", *keys, "x", "y")
-    return under.join(pixels.filter(F.col("a") >= threshold).select(*keys, "x", "y"), [*keys, "x", "y"]).groupBy("point_id").agg(F.max("z").alias("z"))
+    under = shuffled(at).join(squares, [k for k in keys if k != "z"] + ["i", "j"]).filter("x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2").select("point_id", *keys, "x", "y")
+    return under.join(shuffled(pixels.filter(F.col("a") >= threshold).select(*keys, "x", "y")), [*keys, "x", "y"]).groupBy("point_id").agg(F.max("z").alias("z"))
 
 
 def nearest_palette(colors: DataFrame, palette: DataFrame, distance: Column, keys: tuple = ("r", "g", "b", "a")) -> DataFrame:

@@ -20,6 +20,7 @@ QUERIES = [
     "native_pixel_report",
     "palette_asof",
     "pick_cels",
+    "pick_cels_bounds",
 ]
 
 #: Queries that sum up pixels to as many rows, or explode what they have summed up.
