@@ -152,7 +152,7 @@ def invertible(remap: DataFrame, keys: tuple = ()) -> DataFrame:
 
 def compose_remaps(first: DataFrame, then: DataFrame, keys: tuple = ()) -> DataFrame:
     """A remap (keys, src, dst) after another one; what the second does not name stays."""
-    return first.join(then.select(*keys, F.col("src").alias("dst"), F.col("dst").alias("__to")), [*keys, "dst"], "left").select(*keys, "src", F.coalesce("__to", "dst").alias("dst"))
+    return first.join(shuffled(then.select(*keys, F.col("src").alias("dst"), F.col("dst").alias("__to"))), [*keys, "dst"], "left").select(*keys, "src", F.coalesce("__to", "dst").alias("dst"))
 
 
 def invert_remap(remap: DataFrame, keys: tuple = ()) -> DataFrame:

@@ -21,10 +21,11 @@ QUERIES = [
     "palette_asof",
     "pick_cels",
     "pick_cels_bounds",
+    "remap",
 ]
 
 #: Queries that sum up pixels to as many rows, or explode what they have summed up.
-SUMMED = ["compose_groups"]
+SUMMED = ["compose_groups", "remap"]
 
 
 def broadcast_rows(plan, summed=False):
