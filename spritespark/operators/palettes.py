@@ -6,13 +6,17 @@ Whatever compares colours compares distinct colours of one sprite with one palet
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spritespark.functions.color import oklab
+from spritespark.operators.grouped import batch_rows, row_batches, whole_sheets
 from spritespark.operators.lookups import weighted_distance
 from spritespark.sources.files import stored
 
@@ -240,14 +244,15 @@ def free_rectangles(sizes: list[tuple[int, int]], width: int, most: int | None =
 def packed_sheets(samples: DataFrame, padding: int = 0, border: int = 0, sheet: str = "sheet", order: str = "item", content: str | None = None) -> DataFrame:
     """(sheet, item, x, y, w, h, width, height): samples on the smallest sheet found; samples of equal ``content`` share one place.
 
-    Widths from the widest sample to that of a square and a half are tried in twelve steps, the highest samples first. A group is one sheet.
+    Widths from the widest sample to that of a square and a half are tried in twelve steps, the highest samples first. One sheet's samples are in memory at a time.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        lead = pdf.groupby(content)[order].transform("min") if content else pdf[order]
-        own = pdf[pdf[order] == lead].sort_values(["h", "w", order], ascending=[False, False, True])
-        sizes = [(int(w) + padding, int(h) + padding) for w, h in zip(own.w, own.h, strict=True)]
+    def packed(rows: list[tuple]) -> list[tuple]:
+        leads: dict = {}  # of each content, the first item, rows being in their order
+        for r in rows:
+            leads.setdefault(r[4] if content else r[1], r)
+        own = sorted(leads.values(), key=lambda r: (-r[3], -r[2], r[1]))
+        sizes = [(r[2] + padding, r[3] + padding) for r in own]
         widest, area = max(w for w, _ in sizes), sum(w * h for w, h in sizes)
         ideal = max(widest, int(np.ceil(1.5 * np.sqrt(area))))
         best = None
@@ -258,9 +263,13 @@ def packed_sheets(samples: DataFrame, padding: int = 0, border: int = 0, sheet:
                 if best is None or (used * found[1], used) < best[:2]:
                     best = (used * found[1], used, found)
         _, used, (places, bottom) = best
-        at = dict(zip(own[order], places, strict=True))
-        rows = [(s, i, at[k][0] + border, at[k][1] + border, w, h, used - padding + 2 * border, bottom - padding + 2 * border) for s, i, k, w, h in zip(pdf[sheet], pdf[order], lead, pdf.w, pdf.h, strict=True)]
-        return pd.DataFrame(rows, columns=[sheet, order, "x", "y", "w", "h", "width", "height"])
+        at = {(r[4] if content else r[1]): place for r, place in zip(own, places, strict=True)}
+        x, y = zip(*(at[r[4] if content else r[1]] for r in rows), strict=True)
+        return [(*r[:2], i + border, j + border, *r[2:4], used - padding + 2 * border, bottom - padding + 2 * border) for r, i, j in zip(rows, x, y, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sheets = (list(rows) for _, rows in groupby(batch_rows(batches), key=lambda r: r[0]))
+        return row_batches((r for rows in sheets for r in packed(rows)), [sheet, order, "x", "y", "w", "h", "width", "height"])
 
     columns = [sheet, order, "w", "h", *([content] if content else [])]
-    return samples.select(*columns).groupBy(sheet).applyInPandas(run, f"{sheet} long, {order} int, x int, y int, w int, h int, width int, height int")
+    return whole_sheets(samples.select(*columns), sheet, order).mapInArrow(run, f"{sheet} long, {order} int, x int, y int, w int, h int, width int, height int")
