@@ -178,7 +178,7 @@ def dither_ordered_old(spark, d):
 @query("rotsprite_resize")
 def rotsprite_resize(spark, d):
     """Doubled three times along edges, then sampled down to 12 by 12."""
-    p = X.emb_gray(spark, d).select("image_id", "x", "y", F.floor(F.col("v") / 64).alias("v"))
+    p = X.emb_gray(spark, d).select("image_id", "x", "y", F.floor(F.col("v") / 64).alias("v")).repartition("image_id")
     for _ in range(3):
         p = N.scale2x(p)
     return N.resize_nearest(p, 64, 64, 12, 12)
