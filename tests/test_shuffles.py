@@ -22,3 +22,11 @@ def test_scale2x_of_a_picture_with_holes(spark):
         for i, j, a, b, c, e in ((0, 0, l, u, d, r), (1, 0, u, r, l, d), (0, 1, d, l, r, u), (1, 1, r, d, u, l)):
             want[2 * x + i, 2 * y + j] = a if a == b and a != c and b != e else v
     assert {(q.x, q.y): q.v for q in N.scale2x(p).collect()} == want
+
+
+def test_onion_skin_shuffles_pixels_before_they_are_multiplied(spark, small):
+    """By point: the ghosts' aggregate needs no shuffle of its own."""
+    for name in ("onion_skin", "onion_skin_tint"):
+        plan = catalog.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        top = plan.split("Exchange ")[0]
+        assert "collect_list" in top and "Generate explode(__k" in top
